@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import load
+from tessera.llm.decontaminate import contamination
 from tessera.llm.sharding import assign_shards
 
 
@@ -14,7 +15,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(load(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontamination": op5_decontamination,
     "op8_sharding": op8_sharding,
 }
 
