@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import load
 from tessera.llm.decontaminate import contamination
+from tessera.llm.language_id import identify
 from tessera.llm.sharding import assign_shards
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(load(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(load(spark, sf_dir, "documents"), shards=24)
 
@@ -20,6 +25,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op5_decontamination": op5_decontamination,
     "op8_sharding": op8_sharding,
 }
