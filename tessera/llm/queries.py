@@ -10,12 +10,17 @@ from tessera.llm.common import load
 from tessera.llm.decontaminate import contamination
 from tessera.llm.language_id import identify
 from tessera.llm.sharding import assign_shards
+from tessera.llm.topk import exact_top_k
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(load(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(load(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(load(spark, sf_dir, "documents"), shards=24)
 
@@ -27,7 +32,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op5_decontamination": op5_decontamination,
+    "op6_exact_top_k": op6_exact_top_k,
     "op8_sharding": op8_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
