@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import load
 from tessera.llm.decontaminate import contamination
 from tessera.llm.language_id import identify
+from tessera.llm.secrets import scan_secrets
 from tessera.llm.sharding import assign_shards
 from tessera.llm.topk import exact_top_k
 
@@ -29,11 +30,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_exact_top_k": op6_exact_top_k,
     "op8_sharding": op8_sharding,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
