@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -31,6 +31,8 @@ SHARE = 0.5
 LEAST_COUNT = 3
 #: Languages whose bits fit one word of the filter; more languages take more words.
 WORD_BITS = 64
+#: Characters whose trigrams are held at once; a longer text is held by itself.
+CHUNK_CHARS = 1 << 20
 
 # Odd multipliers of the multiply-shift hashes.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -45,6 +47,19 @@ def _letters() -> np.ndarray:
     return out
 
 
+def pieces(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of about CHUNK_CHARS, so that the arrays over them stay small."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t) if t else 0
+        if n >= CHUNK_CHARS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the letter trigrams of all texts one after the other, and where each text's begin.
 
@@ -74,7 +89,6 @@ class LanguageModel:
     default: int
     hashes: int = HASHES
     log2: int = LOG2_POSITIONS
-    bounded: bool = field(default=True)
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: its trigrams, and per language the hits that false positives do not explain."""
@@ -96,6 +110,10 @@ class LanguageModel:
         return total, np.maximum(0, (hits - total[:, None] * rate) / (1 - rate))
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
+        found = [self._predict(part) for part in pieces(texts)]
+        return pd.concat(found, ignore_index=True) if found else self._predict([])
+
+    def _predict(self, texts: list[str | None]) -> pd.DataFrame:
         total, hits = self.counts(texts)
         if not self.languages:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)})
@@ -113,9 +131,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pandas()
         for lang, texts in rows.groupby("lang")["text"]:
-            keys, n = np.unique(trigrams(texts.tolist())[0], return_counts=True)
-            new = pd.Series(n, index=keys)
-            seen[lang] = new if lang not in seen else seen[lang].add(new, fill_value=0)
+            for part in pieces(texts.tolist()):
+                keys, n = np.unique(trigrams(part)[0], return_counts=True)
+                new = pd.Series(n, index=keys)
+                seen[lang] = new if lang not in seen else seen[lang].add(new, fill_value=0)
     for lang, counts in seen.items():
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(counts)), pa.array(counts.index.to_numpy(np.uint64).view(np.int64)), pa.array(counts.to_numpy(np.int64))],
