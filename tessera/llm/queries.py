@@ -12,6 +12,7 @@ from tessera.llm.language_id import identify
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.sharding import assign_shards
 from tessera.llm.topk import exact_top_k
+from tessera.llm.toxicity import toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +35,17 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(load(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_exact_top_k": op6_exact_top_k,
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
