@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.bpe import bpe_digests
 from tessera.llm.common import load
 from tessera.llm.decontaminate import contamination
 from tessera.llm.language_id import identify
@@ -27,6 +29,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(load(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_digests(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -41,6 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_bpe": op2_bpe,
     "op5_decontamination": op5_decontamination,
     "op6_exact_top_k": op6_exact_top_k,
     "op8_sharding": op8_sharding,
