@@ -13,6 +13,7 @@ from tessera.llm.decontaminate import contamination
 from tessera.llm.language_id import identify
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.sharding import assign_shards
+from tessera.llm.simhash import simhash_components
 from tessera.llm.topk import exact_top_k
 from tessera.llm.toxicity import toxicity
 
@@ -34,6 +35,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(load(spark, sf_dir, "documents"), shingle=3, threshold=2)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -49,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
+    "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_exact_top_k": op6_exact_top_k,
     "op8_sharding": op8_sharding,
