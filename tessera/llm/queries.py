@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.bpe import bpe_digests
 from tessera.llm.common import load
 from tessera.llm.decontaminate import contamination
+from tessera.llm.importance import resample
 from tessera.llm.language_id import identify
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.sharding import assign_shards
 from tessera.llm.simhash import simhash_components
+from tessera.llm.token_counts import count_tokens
 from tessera.llm.topk import exact_top_k
 from tessera.llm.toxicity import toxicity
 
@@ -26,6 +28,11 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(load(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return count_tokens(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=50256)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(load(spark, sf_dir, "documents"), shards=24)
 
@@ -35,6 +42,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(load(spark, sf_dir, "documents"), shingle=3, threshold=2)
 
@@ -54,9 +65,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
+    "op3_importance": op3_importance,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
