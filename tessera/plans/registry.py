@@ -1,4 +1,13 @@
 """All registered queries of the engine and their SQL twins."""
 
+from __future__ import annotations
+
+from tessera.plans import window_queries
+
+_MODULES = (window_queries,)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
