@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens of a chunk, about; a longer document is a chunk of its own.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_200_000
 #: Words up to so many bytes are merged by scanning, longer ones with a heap.
 SCAN_BYTES = 64
+#: Tokens of one batch of documents, about.
+BATCH_TOKENS = 500_000
 
 # The characters with the Unicode property White_Space.
 _SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -242,42 +244,59 @@ def _encode(ranks):
     return run
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks and the ids of their words to documents' ids."""
-    for batch in batches:
-        for data, found in zip(batch.column("data"), batch.column("found"), strict=True):
-            buckets = data["buckets"]
-            codes, counts, flat = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for row in found.as_py() or []:
-                codes.append(_unpack(buckets[row["bucket"]]["codes"].as_py()))
-                counts.append(_unpack(row["counts"]))
-                flat.append(_unpack(row["ids"]))
-            code, count, ids = (np.concatenate(x).astype(np.int64) for x in (codes, counts, flat))
-            start = np.zeros(len(code), np.int64)
-            length = np.zeros(len(code), np.int64)
-            start[code] = np.cumsum(count) - count
-            length[code] = count
-            position = _unpack(data["codes"].as_py())
-            at = 0
-            keep = data["keep"].values
-            tokens, ends = [], [0]
-            sizes = _unpack(data["sizes"].as_py()).tolist()
-            for n in sizes:
-                words = position[at : at + n]
-                at += n
-                k = length[words]
-                index = np.arange(k.sum()) + np.repeat(start[words] - np.cumsum(k) + k, k)
-                tokens.append(ids[index].astype(np.int32))
-                ends.append(ends[-1] + len(index))
-                if ends[-1] > 4_000_000 or len(ends) > len(sizes):
-                    done = len(ends) - 1
-                    yield _documents(keep.slice(0, done), ends, tokens)
-                    keep, tokens, ends, sizes = keep.slice(done), [], [0], sizes[done:]
-
-
-def _documents(keep: pa.Array, ends: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
-    values = pa.array(np.concatenate(tokens))
-    return pa.RecordBatch.from_arrays([keep, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["_keep", "_tokens"])
+def _assemble(table):
+    """Chunks and the ids of their words to documents' ids and, with a token-byte table, the bytes these decode to."""
+
+    def documents(keep: pa.Array, ends: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens)))
+        if table is None:
+            return pa.RecordBatch.from_arrays([keep, lists], names=["_keep", "_tokens"])
+        raw = pa.array([decode_tokens(x, table.value) for x in tokens], pa.binary())
+        return pa.RecordBatch.from_arrays([keep, lists, raw], names=["_keep", "_tokens", "_bytes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, found in zip(batch.column("data"), batch.column("found"), strict=True):
+                buckets = data["buckets"]
+                codes, counts, flat = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for row in found.as_py() or []:
+                    codes.append(_unpack(buckets[row["bucket"]]["codes"].as_py()))
+                    counts.append(_unpack(row["counts"]))
+                    flat.append(_unpack(row["ids"]))
+                code, count, ids = (np.concatenate(x).astype(np.int64) for x in (codes, counts, flat))
+                start = np.zeros(len(code), np.int64)
+                length = np.zeros(len(code), np.int64)
+                start[code] = np.cumsum(count) - count
+                length[code] = count
+                position = _unpack(data["codes"].as_py())
+                keep = data["keep"].values
+                at, done, tokens, ends = 0, 0, [], [0]
+                for i, n in enumerate(_unpack(data["sizes"].as_py()).tolist()):
+                    words = position[at : at + n]
+                    at += n
+                    k = length[words]
+                    index = np.arange(k.sum()) + np.repeat(start[words] - np.cumsum(k) + k, k)
+                    tokens.append(ids[index].astype(np.int32))
+                    ends.append(ends[-1] + len(index))
+                    if ends[-1] >= BATCH_TOKENS:
+                        yield documents(keep.slice(done, i + 1 - done), ends, tokens)
+                        done, tokens, ends = i + 1, [], [0]
+                if tokens:
+                    yield documents(keep.slice(done, len(tokens)), ends, tokens)
+
+    return run
+
+
+def decode_tokens(ids: np.ndarray, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The token-byte table: as long as the vocabulary."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for raw, i in ranks.items():
+        table[i] = raw
+    return table
 
 
 def encode(
@@ -287,8 +306,10 @@ def encode(
     keep: list[str],
     text_col: str = "text",
     chunk_words: int = CHUNK_WORDS,
+    decode: bool = False,
 ) -> DataFrame:
-    """Columns _keep (a struct of the `keep` columns) and _tokens (array<int>) for each row of docs.
+    """Columns _keep (a struct of the `keep` columns) and _tokens (array<int>) for each row of docs; with decode, also
+    _bytes, to which the ids decode by the token-byte table.
 
     Each match of the pattern is encoded separately, without special tokens. A null or empty text has no tokens. Repeated
     rows are rows of their own; an empty table gives no rows. Words are dealt into as many buckets as there are
@@ -310,31 +331,26 @@ def encode(
     )
     back = encoded.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "ids")).alias("found"))
     joined = chunks.hint("shuffle_hash").join(back, "chunk", "left").select("data", "found")
-    return joined.mapInArrow(_assemble, f"_keep {kept}, _tokens array<int>")
+    table = spark.sparkContext.broadcast(token_bytes(ranks)) if decode else None
+    return joined.mapInArrow(_assemble(table), f"_keep {kept}, _tokens array<int>" + ", _bytes binary" * decode)
 
 
 def decoded(spark: SparkSession, ranks: dict[bytes, int], tokens: Column) -> Column:
     """The bytes of the tokens, looked up in the token-byte table, which is as long as the vocabulary."""
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for raw, i in ranks.items():
-        table[i] = raw
-    held = spark.sparkContext.broadcast(table)
+    held = spark.sparkContext.broadcast(token_bytes(ranks))
 
     def decode(ids: pd.Series) -> pd.Series:
-        look = held.value.__getitem__
-        return ids.map(lambda x: b"".join(map(look, x.tolist())), na_action="ignore")
+        return ids.map(lambda x: decode_tokens(x, held.value), na_action="ignore")
 
     return F.pandas_udf(decode, "binary").asNondeterministic()(tokens)
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256."""
-    spark = docs.sparkSession
-    ranks = load_ranks(spark, path)
-    out = encode(docs, ranks, pattern, [id_col], text_col)
-    out = out.select(F.col(f"_keep.{id_col}").alias(id_col), "_tokens", decoded(spark, ranks, F.col("_tokens")).alias("_bytes"))
+    ranks = load_ranks(docs.sparkSession, path)
+    out = encode(docs, ranks, pattern, [id_col], text_col, decode=True)
     return out.select(
-        id_col,
+        F.col(f"_keep.{id_col}").alias(id_col),
         F.size("_tokens").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("_tokens").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("_bytes", 256).alias("decoded_sha256"),
