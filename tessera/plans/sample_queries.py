@@ -312,7 +312,7 @@ SELECT vec_id, CASE WHEN y % 2 = 0 THEN 'L' ELSE 'H' END AS vert, * FROM d""".re
         "SELECT vec_id, CASE WHEN y % 2 = 0 THEN 'L' ELSE 'H' END AS vert, * FROM d",
         "SELECT vec_id, (CASE WHEN x % 2 = 0 THEN 'L' ELSE 'H' END) || (CASE WHEN y % 2 = 0 THEN 'L' ELSE 'H' END) AS band, y // 2 AS y, x // 2 AS x, v FROM d",
     ),
-    "dwt53_2d_roundtrip": "SELECT vec_id, 8 AS lines, true AS same FROM embeddings",
+    "dwt53_2d_roundtrip": "SELECT vec_id, 8::BIGINT AS lines, true AS same FROM embeddings",
     "tagtree_min": f"""WITH {_VEC}, p AS (SELECT vec_id, x // 8 AS y, x % 8 AS x, v FROM s)
 SELECT vec_id, k.range AS k, x >> k.range AS x, y >> k.range AS y, min(v) AS v FROM p, range(4) k GROUP BY vec_id, k.range, x >> k.range, y >> k.range""",
     "quantize_deadzone": f"""WITH {_PIX}, f AS (SELECT r, g, b, trunc((r * 3.75::DOUBLE - g * 2.5::DOUBLE) / (0.5 + b % 16 * 0.25::DOUBLE))::BIGINT AS q FROM px)
