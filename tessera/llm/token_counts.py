@@ -11,7 +11,6 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -24,29 +23,27 @@ from tessera.llm.common import materialize
 BLOCK_TOKENS = 1 << 16
 #: Blocks whose ends are scanned by one task.
 SPAN_BLOCKS = 1024
+#: Blocks that a writing task gathers before it hands them on.
+FLUSH_BLOCKS = 8
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns _keep (a struct of the `keep` columns) and tokens: the ids of each text, without special tokens."""
-    with open(path, encoding="ascii") as f:
-        lines = [x.split() for x in f.read().splitlines() if x]
-    held = docs.sparkSession.sparkContext.broadcast(({base64.b64decode(a): int(b) for a, b in lines}, pattern))
-
-    def run(texts: pd.Series) -> pd.Series:
-        ranks, pattern = held.value
-        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return texts.map(lambda t: np.array(library.encode_ordinary(t or ""), np.int32))
-
-    ids = F.pandas_udf(run, "array<int>").asNondeterministic()
-    return docs.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), ids(F.col(text_col)).alias("tokens"))
-
-
-def _to_files(end_id: int, block_tokens: int):
+def _to_files(held, end_id: int, block_tokens: int):
     """One file a task: blocks of ids, and the order of the documents in the file, for those who want names to the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, pattern = held.value
+        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         file, block, number = TaskContext.get().partitionId(), 0, 0
-        rest = np.empty(0, np.int32)
+        parts: list[np.ndarray] = []
+        waiting = 0
+
+        def cut(last: bool) -> list[bytes]:
+            """Whole blocks of the ids at hand; the rest waits, unless there is no more to come."""
+            nonlocal parts, waiting
+            flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
+            whole = len(flat) if last else len(flat) // block_tokens * block_tokens
+            parts, waiting = [flat[whole:].copy()], len(flat) - whole
+            return [flat[i : min(i + block_tokens, whole)].tobytes() for i in range(0, whole, block_tokens)]
 
         def rows(blocks: list[bytes], named: pa.Array) -> pa.RecordBatch:
             nonlocal block, number
@@ -64,25 +61,36 @@ def _to_files(end_id: int, block_tokens: int):
             block, number = block + n, number + m
             return out
 
+        kind = None
         for batch in batches:
-            parts = [rest]
-            for ids in batch.column("tokens"):
-                parts += [np.asarray(ids.values, np.int32), np.array([end_id], np.int32)]
-            flat = np.concatenate(parts)
-            whole = len(flat) // block_tokens * block_tokens
-            rest = flat[whole:]
-            yield rows([b.tobytes() for b in flat[:whole].reshape(-1, block_tokens)], batch.column("_keep"))
-        if len(rest):
-            yield rows([rest.tobytes()], pa.nulls(0, batch.column("_keep").type))
+            keep = batch.column("_keep")
+            kind = keep.type
+            for text in batch.column("_text"):
+                ids = encode(text.as_py() or "")
+                ids.append(end_id)
+                parts.append(np.array(ids, np.int32))
+                waiting += len(ids)
+                if waiting >= FLUSH_BLOCKS * block_tokens:
+                    yield rows(cut(False), keep.slice(0, 0))
+            yield rows([], keep)
+        if kind is not None and waiting:
+            yield rows(cut(True), pa.nulls(0, kind))
 
     return run
 
 
-def token_files(tokenized: DataFrame, end_id: int, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Flat token files of tokenize()'s rows: (file, block, ids), and which document is where: (file, number, _keep)."""
-    kept = tokenized.schema["_keep"].dataType.simpleString()
-    rows = tokenized.mapInArrow(
-        _to_files(end_id, block_tokens), f"file bigint, block bigint, ids binary, number bigint, _keep {kept}"
+def token_files(
+    docs: DataFrame, path: str, pattern: str, end_id: int, keep: list[str], text_col: str = "text", block_tokens: int = BLOCK_TOKENS
+) -> tuple[DataFrame, DataFrame]:
+    """Flat token files of the texts, without special tokens: (file, block, ids), and which document is where in them:
+    (file, number, _keep), where _keep is a struct of the `keep` columns."""
+    with open(path, encoding="ascii") as f:
+        lines = [x.split() for x in f.read().splitlines() if x]
+    held = docs.sparkSession.sparkContext.broadcast(({base64.b64decode(a): int(b) for a, b in lines}, pattern))
+    slim = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), F.col(text_col).alias("_text"))
+    kept = slim.schema["_keep"].dataType.simpleString()
+    rows = slim.mapInArrow(
+        _to_files(held, end_id, block_tokens), f"file bigint, block bigint, ids binary, number bigint, _keep {kept}"
     )
     rows = materialize(rows, "token-files")
     return (
@@ -172,6 +180,6 @@ def count_tokens(
 
     A null or empty text has no tokens. Repeated rows are rows of their own; an empty table gives no rows.
     """
-    blocks, order = token_files(tokenize(docs, path, pattern, [id_col], text_col), end_id, block_tokens)
+    blocks, order = token_files(docs, path, pattern, end_id, [id_col], text_col, block_tokens)
     counts = document_lengths(blocks, end_id, block_tokens)
     return order.join(counts, ["file", "number"]).select(F.col(f"_keep.{id_col}").alias(id_col), "n_tokens")
