@@ -75,7 +75,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i.i : i.i + least(len(w), 10) - 1], ' ') AS s
+  FROM b, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i) i WHERE len(w) > 0
+), ks AS (SELECT DISTINCT k FROM win),
+spots AS (
+  SELECT doc_id, p.i, k, array_to_string(w[p.i : p.i + k - 1], ' ') AS s
+  FROM (SELECT * FROM d, ks) t, LATERAL (SELECT unnest(range(1, len(t.w) - t.k + 2)) AS i) p
+), hit AS (SELECT o.doc_id, o.i, o.k, win.item FROM spots o JOIN win ON win.k = o.k AND win.s = o.s),
+n AS (SELECT doc_id, count(DISTINCT x.x) AS n_hit FROM hit, LATERAL (SELECT unnest(range(i, i + k)) AS x) x GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
     "op6_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
