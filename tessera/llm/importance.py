@@ -25,8 +25,6 @@ BUCKETS = 10_000
 SMOOTHING = 1.0
 #: Bins into which keys are counted at once while the kth is looked for.
 BINS = 4096
-#: Part of the documents with words that a selection keeps.
-KEEP = 0.5
 #: Labelled target rows that the target model reads at most, in expectation; their ids are broadcast.
 TARGET_ROWS = 200_000
 
@@ -94,7 +92,7 @@ def kth_greatest(rows: DataFrame, key: str, k: int) -> float:
 def resample(
     docs: DataFrame,
     labels: DataFrame,
-    keep: float = KEEP,
+    keep: float | None = None,
     seed: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -102,12 +100,15 @@ def resample(
 ) -> DataFrame:
     """One row per row of docs: id, n_grams, log_weight (of all its n-grams), score, sample_key, selected.
 
-    The target is the texts whose label is 1; of more than TARGET_ROWS, a sample by hash of the id. score is the mean log ratio of a text's n-grams. sample_key is the score
-    times the root of the n-grams, plus Gumbel noise that depends on the id, the text and the seed alone. The greatest
-    ceil(keep * texts with words) keys are selected, and with the last of them all rows of exactly its key, which are
+    The target is the texts whose label is 1; of more than TARGET_ROWS, a sample by hash of the id. score is the mean log ratio of a text's n-grams. sample_key is log_weight
+    plus Gumbel noise that depends on the id, the text and the seed alone. The greatest ceil(keep * texts with words)
+    keys are selected (keep: by default, the labelled ids' share of label 1, or all without labels), and with the last of them all rows of exactly its key, which are
     repeated rows. Texts that are null or without words have a null key and are never selected. Rows without an id or a
     label belong to the raw texts only. An empty table gives no rows. Other columns are not read.
     """
+    if keep is None:
+        labelled, target = labels.filter(F.col(label_col).isin(0, 1)).agg(F.count("*"), F.coalesce(F.sum(label_col), F.lit(0))).first()
+        keep = target / labelled if labelled else 1.0
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_lid")).filter("_lid is not null").distinct()
     total = good.count()
     if total > TARGET_ROWS:
@@ -127,7 +128,7 @@ def resample(
     scored = scored.select(
         "_id", "n", "w",
         F.when(words, F.col("w") / F.col("n")).alias("score"),
-        F.when(words, F.col("w") / F.sqrt("n") + F.col("g")).alias("key"),
+        F.when(words, F.col("w") + F.col("g")).alias("key"),
     )
     scored = materialize(scored, "weights")
     with_key = scored.filter("key is not null")
