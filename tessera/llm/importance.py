@@ -100,11 +100,12 @@ def resample(
 ) -> DataFrame:
     """One row per row of docs: id, n_grams, log_weight (of all its n-grams), score, sample_key, selected.
 
-    The target is the texts whose label is 1; of more than TARGET_ROWS, a sample by hash of the id. score is the mean log ratio of a text's n-grams. sample_key is log_weight
-    plus Gumbel noise that depends on the id, the text and the seed alone. The greatest ceil(keep * texts with words)
-    keys are selected (keep: by default, the labelled ids' share of label 1, or all without labels), and with the last of them all rows of exactly its key, which are
-    repeated rows. Texts that are null or without words have a null key and are never selected. Rows without an id or a
-    label belong to the raw texts only. An empty table gives no rows. Other columns are not read.
+    The target is the texts whose label is 1; of more than TARGET_ROWS, a sample by hash of the id. score is the mean log
+    ratio of a text's n-grams. sample_key is log_weight plus Gumbel noise that depends on the id, the text and the seed
+    alone. The greatest ceil(keep * texts with words) keys are selected (keep: by default, the labelled ids' share of label
+    1, or all without labels), and with the last of them all rows of exactly its key, which are repeated rows. Texts that
+    are null or without words have a null key and are never selected. Rows without an id or a label belong to the raw
+    texts only. An empty table gives no rows. Other columns are not read.
     """
     if keep is None:
         labelled, target = labels.filter(F.col(label_col).isin(0, 1)).agg(F.count("*"), F.coalesce(F.sum(label_col), F.lit(0))).first()
