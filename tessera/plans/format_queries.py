@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import frames
 from tessera.operators.viewport import discard_levels, with_defaults
 from tessera.plans import stream_queries
 from tessera.plans.common import REQUESTS_SQL, canvas, order_requests, part_images, table
