@@ -7,7 +7,6 @@ patterns; a layer carries, for each of its characters, the span of the text it c
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -40,6 +39,12 @@ MAX_LAYER_BYTES = 64 << 20
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{BASE64_LEAST},}}={{0,2}}")
+_LINE_END = re.compile(r"(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
+#: Bytes of a readable stretch among others; the least span, token=12345678, has 14.
+STRETCH_LEAST = 12
+_STRETCH = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]+")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd", re.DOTALL)
 
 Layer = tuple[str, list[tuple[int, int]] | None]
 
@@ -64,29 +69,76 @@ def _as_text(raw: bytes) -> str | None:
     return text if sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) > 0 else None
 
 
-def _unpack(raw: bytes) -> bytes | None:
-    """One compressed layer unpacked; None if it is none, or is broken or too large."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return _bounded(zlib.decompressobj(31), raw)
-        if raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return _bounded(zlib.decompressobj(), raw)
-        if raw[:3] == b"BZh":
-            return _bounded(bz2.BZ2Decompressor(), raw)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return _bounded(lzma.LZMADecompressor(), raw)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                out = r.read(MAX_LAYER_BYTES + 1)
-            return out if len(out) <= MAX_LAYER_BYTES else None
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        pass
+def _stretches(raw: bytes) -> Iterator[tuple[str, int]]:
+    """The bytes as a text if they are one, else their readable stretches; with the byte each begins at."""
+    whole = _as_text(raw)
+    if whole is not None:
+        yield whole, 0
+        return
+    text = raw.decode("utf-8", "surrogateescape")
+    at = byte = 0
+    for m in _STRETCH.finditer(text):
+        byte += len(text[at : m.start()].encode("utf-8", "surrogateescape"))
+        size = len(m[0].encode())
+        if size >= STRETCH_LEAST:
+            yield m[0], byte
+        at, byte = m.end(), byte + size
+
+
+def _unpacker(raw: bytes):
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
-def _bounded(unpacker, raw: bytes) -> bytes | None:
-    out = unpacker.decompress(raw, MAX_LAYER_BYTES + 1)
-    return out if len(out) <= MAX_LAYER_BYTES else None
+def _unpack(raw: bytes) -> tuple[bytes, int] | None:
+    """All members of a compressed layer unpacked, and the bytes they take; None if it is none, or is broken or too large."""
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        return _unpack_zstd(raw)
+    parts, size, left = [], 0, raw
+    while (unpacker := _unpacker(left)) is not None:
+        try:
+            out = unpacker.decompress(left, MAX_LAYER_BYTES + 1 - size)
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            break
+        parts.append(out)
+        size += len(out)
+        if size > MAX_LAYER_BYTES:
+            return None
+        left = unpacker.unused_data if unpacker.eof else b""
+    return (b"".join(parts), len(raw) - len(left)) if parts else None
+
+
+def _unpack_zstd(raw: bytes) -> tuple[bytes, int] | None:
+    out = bytearray()
+    with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as r:
+        try:
+            while len(out) <= MAX_LAYER_BYTES and (more := r.read(1 << 20)):
+                out += more
+        except zstandard.ZstdError:  # broken, or what follows the last frame
+            pass
+    return (bytes(out), 4) if 0 < len(out) <= MAX_LAYER_BYTES else None
+
+
+def _packed(raw: bytes) -> Iterator[bytes]:
+    """What the compressed layers in the bytes hold, wherever they begin, unpacked as often as they are compressed."""
+    at = 0
+    while m := _MAGIC.search(raw, at):
+        found = _unpack(raw[m.start() :])
+        if found is None or not found[0]:
+            at = m.start() + 1
+            continue
+        at = m.start() + max(1, found[1])
+        inner = found[0]
+        while (more := _unpack(inner)) is not None and more[0] and more[0] != inner:
+            inner = more[0]
+        yield inner
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -139,35 +191,46 @@ def _escape(run: str) -> list[tuple[str, int, int]] | None:
 
 
 def _inner(layer: Layer) -> Iterator[Layer]:
-    """What the base64 runs of a layer hold, unpacked as often as it is compressed."""
+    """What the base64 runs of a layer hold, at each of the four alignments, and what is compressed in them.
+
+    A run is tried line by line and joined over line ends.
+    """
     text, origin = layer
+    at = lambda i: origin[i] if origin else (i, i + 1)
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=").translate({45: 43, 95: 47})
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        at = lambda i: origin[i] if origin else (i, i + 1)
-        whole = (at(m.start())[0], at(m.end() - 1)[1])
-        packed = False
-        while (more := _unpack(raw)) is not None and more != raw:
-            raw, packed = more, True
-        found = _as_text(raw)
-        if found is None:
-            continue
-        if packed:
-            yield found, [whole] * len(found)
+        yield from _decoded(m[0], range(m.start(), m.end()), at)
+    for m in _WRAPPED.finditer(text):
+        places, last = [], m.start()
+        for end in _LINE_END.finditer(text, m.start(), m.end()):
+            places += range(last, end.start())
+            last = end.end()
+        places += range(last, m.end())
+        if len(places) >= BASE64_LEAST:
+            yield from _decoded("".join(text[i] for i in places), places, at)
+
+
+def _decoded(run: str, places, at) -> Iterator[Layer]:
+    """Layers of a run of base64 characters, which are at these places of the layer."""
+    chars = run.rstrip("=").translate({45: 43, 95: 47})
+    for first in range(4):
+        part = chars[first:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        if len(part) < 2:
             continue
-        where, byte = [], 0
-        for c in found:  # three bytes come from four characters
-            last = byte + len(c.encode()) - 1
-            first_char = m.start() + byte // 3 * 4
-            last_char = min(m.start() + last // 3 * 4 + 3, m.end() - 1)
-            where.append((at(first_char)[0], at(last_char)[1]))
-            byte = last + 1
-        yield found, where
+        raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+        whole = (at(places[first])[0], at(places[-1])[1])
+        for inner in _packed(raw):
+            for found, _ in _stretches(inner):
+                yield found, [whole] * len(found)
+        for found, byte in _stretches(raw):
+            where = []
+            for c in found:  # three bytes come from four characters
+                last = byte + len(c.encode()) - 1
+                first_char = first + byte // 3 * 4
+                last_char = min(first + last // 3 * 4 + 3, len(places) - 1)
+                where.append((at(places[first_char])[0], at(places[last_char])[1]))
+                byte = last + 1
+            yield found, where
 
 
 def layers(text: str) -> Iterator[Layer]:

@@ -68,3 +68,18 @@ def test_layers_end():
     assert len(list(layers("%2525252525252541"))) < 12
     assert secrets_of("%ff%fe\\ud800 \\u" + "=" * 40 + "A" * 100)[0] == []
     secrets_of("%E2%82%AC\\ud83d\\ude00" * 100 + "a" * 100_000)
+
+
+def test_wrapped_and_glued_base64():
+    secret = b"some text in front, then password=hunter2hunter2 and some text after it"
+    one = lambda b: base64.b64encode(b).decode()
+    wrap = lambda t, n: "\n".join(t[i : i + n] for i in range(0, len(t), n))
+    packed = gzip.compress(bytes(range(256)) + secret)
+    for n in (20, 64, 76):
+        for run in (wrap(one(secret), n), wrap(one(packed), n).replace("\n", "\r\n")):
+            text = f"before {run} after"
+            spans = [s for s in secrets_of(text)[1] if s[0] == "assign"]
+            assert spans and all(7 <= a < b <= 7 + len(run) for _, a, b in spans)
+    for front in ("https://h/a/", "https://h/ab/", "x-", "key_", "abc"):
+        for raw in (secret, packed, b"\xff" + secret, secret + b"\xff", bytes(range(200)) + secret):
+            assert any(k == "assign" for k, _, _ in secrets_of(f"see {front}{one(raw)} end")[1]), (front, raw)
