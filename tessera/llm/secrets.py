@@ -45,6 +45,11 @@ _WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:{_LINE_END.patte
 STRETCH_LEAST = 12
 _STRETCH = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]+")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd", re.DOTALL)
+# Escaped bytes and the plain characters between them; a run begins with at most 16 plain ones, a magic's.
+_PERCENT_BYTES = re.compile(r"[\w.~+!*'()-]{0,16}%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[\w.~+!*'()-])*", re.ASCII)
+_X_BYTES = re.compile(r"[ -\[\]-~]{0,16}\\x[0-9A-Fa-f]{2}(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|[ -\[\]-~])*")
+_BYTE = re.compile(rb"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\(.)", re.DOTALL)
+_SHORT = dict(zip(b"abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 
 Layer = tuple[str, list[tuple[int, int]] | None]
 
@@ -209,6 +214,21 @@ def _inner(layer: Layer) -> Iterator[Layer]:
             yield from _decoded("".join(text[i] for i in places), places, at)
 
 
+def _escaped_bytes(layer: Layer, pattern: re.Pattern) -> Iterator[Layer]:
+    """What is compressed in runs of escaped bytes; as a text those bytes would be lost."""
+    text, origin = layer
+    for m in pattern.finditer(text):
+        run = m[0].encode()
+        if pattern is _PERCENT_BYTES:
+            raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda e: bytes.fromhex(e[1].decode()), run.replace(b"+", b" "))
+        else:
+            raw = _BYTE.sub(lambda e: bytes.fromhex(e[2].decode()) if e[2] else bytes([_SHORT.get(e[3][0], e[3][0])]) if e[3] else e[0], run)
+        whole = (origin[m.start()][0], origin[m.end() - 1][1]) if origin else m.span()
+        for inner in _packed(raw):
+            for found, _ in _stretches(inner):
+                yield found, [whole] * len(found)
+
+
 def _decoded(run: str, places, at) -> Iterator[Layer]:
     """Layers of a run of base64 characters, which are at these places of the layer."""
     chars = run.rstrip("=").translate({45: 43, 95: 47})
@@ -249,6 +269,10 @@ def layers(text: str) -> Iterator[Layer]:
             worklist.append(more)
         if ("\\" in now or "&#" in now) and (more := _replaced(layer, _ESCAPE, _escape)):
             worklist.append(more)
+        if "%" in now:
+            worklist.extend(_escaped_bytes(layer, _PERCENT_BYTES))
+        if "\\x" in now:
+            worklist.extend(_escaped_bytes(layer, _X_BYTES))
         worklist.extend(_inner(layer))
 
 

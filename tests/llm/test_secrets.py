@@ -1,10 +1,12 @@
 import base64
+import bz2
 import gzip
 import hashlib
 import re
 import zlib
 from urllib.parse import quote
 
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm.secrets import layers, redact, redacted, scan_secrets, secrets_of
@@ -83,3 +85,15 @@ def test_wrapped_and_glued_base64():
     for front in ("https://h/a/", "https://h/ab/", "x-", "key_", "abc"):
         for raw in (secret, packed, b"\xff" + secret, secret + b"\xff", bytes(range(200)) + secret):
             assert any(k == "assign" for k, _, _ in secrets_of(f"see {front}{one(raw)} end")[1]), (front, raw)
+
+
+def test_escaped_bytes_and_members():
+    secret = b"password=hunter2hunter2"
+    for raw in (gzip.compress(secret), zlib.compress(secret), bz2.compress(secret), gzip.compress(b"first") + gzip.compress(secret)):
+        for run in (
+            "".join(f"%{b:02X}" for b in raw), "".join(f"\\x{b:02x}" for b in raw), quote(raw, safe=""), repr(raw)[2:-1],
+            base64.b64encode(raw).decode(),
+        ):
+            assert any(k == "assign" for k, _, _ in secrets_of(f"see <{run}> end")[1]), run
+    frames = zstandard.compress(b"first") + zstandard.compress(secret)
+    assert secrets_of(base64.b64encode(frames).decode())[1]
