@@ -35,10 +35,12 @@ def quantize(embedding: Column, scale: int = 256) -> Column:
 
 
 def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The approximation of each vector: its components' cells, two bytes each."""
+    """The approximation of each vector: its components' cells, eight bytes each if two do not hold them all."""
     for batch in batches:
-        v = [np.floor_divide(np.asarray(x.as_py(), np.int64), CELL).astype(np.int16).tobytes() for x in batch.column("v")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(v, pa.binary())], names=["id", "cells"])
+        cells = [np.floor_divide(np.asarray(x.as_py(), np.int64), CELL) for x in batch.column("v")]
+        bits = [16 if -(1 << 15) <= c.min() and c.max() < 1 << 15 else 64 for c in cells]
+        v = [c.astype(f"int{b}").tobytes() for c, b in zip(cells, bits, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(v, pa.binary()), pa.array(bits)], names=["id", "cells", "bits"])
 
 
 def _scan(queries, k: int):
@@ -48,10 +50,11 @@ def _scan(queries, k: int):
         blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            sizes = np.array([len(x.as_py()) // 2 for x in batch.column("cells")])
-            for d in np.unique(sizes):
-                rows = np.flatnonzero(sizes == d)
-                cells = np.frombuffer(b"".join(batch.column("cells")[int(i)].as_py() for i in rows), np.int16).reshape(-1, d)
+            bits = batch.column("bits").to_numpy()
+            sizes = np.array([len(x.as_py()) for x in batch.column("cells")]) * 8 // bits
+            for d, b in {*zip(sizes.tolist(), bits.tolist(), strict=True)}:
+                rows = np.flatnonzero((sizes == d) & (bits == b))
+                cells = np.frombuffer(b"".join(batch.column("cells")[int(i)].as_py() for i in rows), f"int{b}").reshape(-1, d)
                 blocks.setdefault(int(d), []).append((ids[rows], cells))
         for d, parts in blocks.items():
             if d not in queries.value:
@@ -64,6 +67,8 @@ def _scan(queries, k: int):
             found: list[list[np.ndarray]] = [[], [], []]
             ids = np.concatenate([p[0] for p in parts])
             cells = np.concatenate([p[1] for p in parts])
+            largest = max(float(np.abs(p[1].astype(np.float64)).max()) for p in parts) * CELL + CELL
+            width = width + np.abs(q).sum(axis=1) * largest * d * 2.0**-52  # what rounding may add
             for second in (False, True):  # first the kth best lower bounds, then what passes them
                 for at in range(0, len(ids), SCAN_ROWS):
                     centre = cells[at : at + SCAN_ROWS].astype(np.float64) * CELL + half
@@ -127,7 +132,7 @@ def exact_top_k(
     rows = materialize(rows, "vectors")
     same = Window.partitionBy("v").orderBy("id")
     file = rows.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).select("id", "v")
-    file = materialize(file.mapInArrow(_to_cells, "id bigint, cells binary"), "approximations")
+    file = materialize(file.mapInArrow(_to_cells, "id bigint, cells binary, bits bigint"), "approximations")
     queries = rows.filter(F.col("id") % query_every == 0)
     blocks = max(1, -(-queries.count() // query_block))
     found = None

@@ -37,3 +37,11 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [0.5]), (1, [0.1])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in exact_top_k(df).collect()] == [(0, 1, 1, 128 * 25)]
     assert exact_top_k(df.limit(0)).count() == 0
+
+
+def test_large_components(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-5000, 5000) if i % 3 else rng.uniform(-1, 1) for _ in range(4)]) for i in range(200)]
+    rows += [(200, [40_000.0, -40_000.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, exact_top_k(df, 5, 10).collect())) == brute(rows, 5, 10)
