@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node that has an edge to another; root is the component's least node.
 
     edges: columns a and b of one orderable type; direction, repeats and loops do not matter, rows with a null are
-    left out. Each round is written to the shared folder, so a lost executor costs one round at most.
+    left out. Each round is written to the shared folder, so a lost executor costs one round at most. An error is raised
+    if MAX_ROUNDS do not suffice.
     """
     greater = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     now = materialize(edges.filter("a <> b").select(*greater).distinct(), "edges")
@@ -43,6 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         new = materialize(_small_star(large).filter("a <> b").distinct(), "edges")
         drop_table(now)
         now = new
+    else:
+        raise RuntimeError(f"components are not settled after {MAX_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
