@@ -2,7 +2,7 @@
 
 A worklist holds the layers of a text: the text itself, then what URL escapes, Unicode escapes, base64 runs and
 compressed runs in it unwrap to, and so on until nothing unwraps any more. Every layer is scanned with the same
-patterns; a layer carries, for each of its characters, the span of the text it came from.
+patterns; a layer knows where its characters come from in the layer it was unwrapped from, as runs and not one by one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import html
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import zstandard
@@ -33,25 +35,48 @@ VALUE_LEAST, ACCESS_LEAST = 8, 16
 
 #: A run of base64 characters is tried from this length on.
 BASE64_LEAST = 16
-#: A layer that would unpack to more is left packed, so that memory stays bounded.
-MAX_LAYER_BYTES = 64 << 20
+#: What a compressed layer unpacks to is scanned in windows of so many bytes, each with the end of the one before it.
+WINDOW, OVERLAP = 8 << 20, 1 << 16
+#: Compressed bytes that are unpacked at once, fewer of zstd, and what the others may give at once.
+PACKED_STEP, ZSTD_STEP, UNPACKED_STEP = 1 << 16, 256, 1 << 20
+#: Bytes of a readable stretch; the least span, token=12345678, has 14. Bytes without one hold no secret.
+STRETCH_LEAST = 12
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{BASE64_LEAST},}}={{0,2}}")
+_CLUSTER = re.compile(r"[%\\&][%\\&#;0-9A-Fa-fuxX]*")
+_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+_ENTITY = re.compile(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+# Escapes whose mark is itself escaped, any number of times over: %252541, \u005cx41, \x5cx5cx41.
+_NESTED = re.compile(r"(%)(?:25)+(?=[0-9A-Fa-f]{2})|(\\)(?:u005[cC]|x5[cC])+(?=x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4})")
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{BASE64_LEAST},}}")
 _LINE_END = re.compile(r"(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*")
-_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
-#: Bytes of a readable stretch among others; the least span, token=12345678, has 14.
-STRETCH_LEAST = 12
-_STRETCH = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]+")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]+)+")
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{%d}" % STRETCH_LEAST)
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd", re.DOTALL)
+_MAGIC_TEXT = re.compile(_MAGIC.pattern.decode("latin-1"), re.DOTALL)
+# A text without one of these, escaped or not, holds no escaped magic.
+_ESCAPED_MAGIC = re.compile(r"[%x]1f[%\\]x?8b|[%x]78|[%x]9c|[%x]01|[%x]da|x\^|x[%\\]x?5e|BZh|[%x]42|[%x]5a|[%x]68|[%x]fd|[%x]b5", re.IGNORECASE)
 # Escaped bytes and the plain characters between them; a run begins with at most 16 plain ones, a magic's.
 _PERCENT_BYTES = re.compile(r"[\w.~+!*'()-]{0,16}%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[\w.~+!*'()-])*", re.ASCII)
 _X_BYTES = re.compile(r"[ -\[\]-~]{0,16}\\x[0-9A-Fa-f]{2}(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|[ -\[\]-~])*")
 _BYTE = re.compile(rb"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\(.)", re.DOTALL)
 _SHORT = dict(zip(b"abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
+_HEX = frozenset(map(ord, "0123456789abcdefABCDEF"))
+
+
+class Layer:
+    """A text and where it comes from: locate turns a span of it into one of the parent, which is None for a whole text."""
+
+    __slots__ = ("text", "parent", "locate")
 
-Layer = tuple[str, list[tuple[int, int]] | None]
+    def __init__(self, text: str, parent: Layer | None = None, locate: Callable[[int, int], tuple[int, int]] | None = None):
+        self.text, self.parent, self.locate = text, parent, locate
+
+    def origin(self, a: int, b: int) -> tuple[int, int]:
+        layer = self
+        while layer.parent is not None:
+            a, b = layer.locate(a, b)
+            layer = layer.parent
+        return a, b
 
 
 def matches(text: str) -> list[tuple[str, int, int]]:
@@ -66,214 +91,268 @@ def matches(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _as_text(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) > 0 else None
-
-
-def _stretches(raw: bytes) -> Iterator[tuple[str, int]]:
-    """The bytes as a text if they are one, else their readable stretches; with the byte each begins at."""
-    whole = _as_text(raw)
-    if whole is not None:
-        yield whole, 0
-        return
-    text = raw.decode("utf-8", "surrogateescape")
-    at = byte = 0
-    for m in _STRETCH.finditer(text):
-        byte += len(text[at : m.start()].encode("utf-8", "surrogateescape"))
-        size = len(m[0].encode())
-        if size >= STRETCH_LEAST:
-            yield m[0], byte
-        at, byte = m.end(), byte + size
-
-
-def _unpacker(raw: bytes):
-    if raw[:2] == b"\x1f\x8b":
-        return zlib.decompressobj(31)
-    if raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0:
-        return zlib.decompressobj()
-    if raw[:3] == b"BZh":
-        return bz2.BZ2Decompressor()
-    if raw[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor()
-    return None
-
-
-def _unpack(raw: bytes) -> tuple[bytes, int] | None:
-    """All members of a compressed layer unpacked, and the bytes they take; None if it is none, or is broken or too large."""
-    if raw[:4] == b"\x28\xb5\x2f\xfd":
-        return _unpack_zstd(raw)
-    parts, size, left = [], 0, raw
-    while (unpacker := _unpacker(left)) is not None:
-        try:
-            out = unpacker.decompress(left, MAX_LAYER_BYTES + 1 - size)
-        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-            break
-        parts.append(out)
-        size += len(out)
-        if size > MAX_LAYER_BYTES:
-            return None
-        left = unpacker.unused_data if unpacker.eof else b""
-    return (b"".join(parts), len(raw) - len(left)) if parts else None
-
-
-def _unpack_zstd(raw: bytes) -> tuple[bytes, int] | None:
-    out = bytearray()
-    with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as r:
-        try:
-            while len(out) <= MAX_LAYER_BYTES and (more := r.read(1 << 20)):
-                out += more
-        except zstandard.ZstdError:  # broken, or what follows the last frame
-            pass
-    return (bytes(out), 4) if 0 < len(out) <= MAX_LAYER_BYTES else None
-
-
-def _packed(raw: bytes) -> Iterator[bytes]:
-    """What the compressed layers in the bytes hold, wherever they begin, unpacked as often as they are compressed."""
-    at = 0
-    while m := _MAGIC.search(raw, at):
-        found = _unpack(raw[m.start() :])
-        if found is None or not found[0]:
-            at = m.start() + 1
-            continue
-        at = m.start() + max(1, found[1])
-        inner = found[0]
-        while (more := _unpack(inner)) is not None and more[0] and more[0] != inner:
-            inner = more[0]
-        yield inner
-
-
-def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with each match decoded in place; the decoded characters come from the whole match."""
-    text, origin = layer
-    parts, where, at = [], [], 0
-    same = lambda a, b: origin[a:b] if origin else [(i, i + 1) for i in range(a, b)]
-    for m in pattern.finditer(text):
-        pieces = decode(m[0])
-        if pieces is None:
+class _Runs:
+    """Places of a new text in an old one, as runs: a copied run keeps its characters apart, any other is one place."""
+
+    def __init__(self):
+        self.at, self.start, self.end, self.size = array("q"), array("q"), array("q"), 0
+
+    def copy(self, start: int, end: int) -> None:
+        if end > start:
+            self._add(start, -1, end - start)
+
+    def whole(self, start: int, end: int, size: int) -> None:
+        if size:
+            self._add(start, end, size)
+
+    def _add(self, start: int, end: int, size: int) -> None:
+        self.at.append(self.size)
+        self.start.append(start)
+        self.end.append(end)
+        self.size += size
+
+    def locate(self, a: int, b: int) -> tuple[int, int]:
+        i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
+        first = self.start[i] + (a - self.at[i] if self.end[i] < 0 else 0)
+        last = self.start[j] + b - self.at[j] if self.end[j] < 0 else self.end[j]
+        return first, last
+
+
+def _reduce(run: str) -> tuple[list[str], list[int], list[int]]:
+    """A run with its escapes decoded, and those that decoded characters are part of, until none is left: each character
+    is put on a stack, and an escape that it completes is replaced there. Characters, and the span of each."""
+    codes, first, last = [], [], []
+    for i, c in enumerate(map(ord, run)):
+        at = i
+        while True:
+            n = 0
+            if c in _HEX:
+                k = len(codes)
+                if k >= 2 and codes[k - 2] == 37 and codes[k - 1] in _HEX:
+                    n = 2
+                elif k >= 3 and codes[k - 3] == 92 and codes[k - 2] == 120 and codes[k - 1] in _HEX:
+                    n = 3
+                elif k >= 5 and codes[k - 5] == 92 and codes[k - 4] == 117 and all(x in _HEX for x in codes[k - 3 :]):
+                    n = 5
+                if n:
+                    digits = "".join(map(chr, codes[k - n + 2 - (n == 2) :])) + chr(c)
+                    new = int(digits, 16)
+                    if n < 5 and new > 127 or 0xD800 <= new < 0xE000:  # half a character
+                        new = 0xFFFD
+            elif c == 59:
+                tail = "".join(map(chr, codes[-9:])) + ";"
+                found = _ENTITY.fullmatch(tail, max(0, tail.rfind("&")))
+                if found:
+                    n = len(found[0]) - 1
+                    new = ord((html.unescape(found[0]) or "\ufffd")[0])
+                    if 0xD800 <= new < 0xE000:
+                        new = 0xFFFD
+            if not n:
+                break
+            at = first[-n]
+            del codes[-n:], first[-n:], last[-n:]
+            c = new
+        codes.append(c)
+        first.append(at)
+        last.append(i + 1)
+    return list(map(chr, codes)), first, last
+
+
+def _unescaped(layer: Layer) -> Layer | None:
+    """The layer with all escapes decoded, to the last; what is not ASCII is not told apart."""
+    text, runs, parts, at = layer.text, _Runs(), [], 0
+    for m in _CLUSTER.finditer(text):
+        if not _ESCAPE.search(text, m.start(), m.end()):
             continue
+        runs.copy(at, m.start())
         parts.append(text[at : m.start()])
-        where += same(at, m.start())
-        for piece, a, b in pieces:
-            covered = same(m.start() + a, m.start() + b)
-            parts.append(piece)
-            where += [(covered[0][0], covered[-1][1])] * len(piece)
+        chars, first, last = _reduce(m[0])
+        base, i, n = m.start(), 0, len(chars)
+        while i < n:
+            j = i
+            while j < n and last[j] - first[j] == 1:
+                j += 1
+            if j > i:
+                runs.copy(base + first[i], base + last[j - 1])
+            if j < n:
+                runs.whole(base + first[j], base + last[j], 1)
+            i = j + 1
+        parts.append("".join(chars))
         at = m.end()
+    return _rest(layer, runs, parts, at)
+
+
+def _unnested(layer: Layer) -> Layer | None:
+    """The layer with every escaped mark of an escape replaced by the mark."""
+    text, runs, parts, at = layer.text, _Runs(), [], 0
+    for m in _NESTED.finditer(text):
+        runs.copy(at, m.start())
+        runs.whole(m.start(), m.end(), 1)
+        parts += [text[at : m.start()], m[1] or m[2]]
+        at = m.end()
+    return _rest(layer, runs, parts, at)
+
+
+def _rest(layer: Layer, runs: _Runs, parts: list[str], at: int) -> Layer | None:
     if not parts:
         return None
-    return "".join(parts) + text[at:], where + same(at, len(text))
-
-
-def _percent(run: str) -> list[tuple[str, int, int]] | None:
-    raw = bytes.fromhex(run.replace("%", ""))
-    text = raw.decode("utf-8", "replace")
-    out, at = [], 0
-    for c in text:
-        n = 1 if c == "�" else len(c.encode())
-        out.append((c, at * 3, min(len(raw), at + n) * 3))
-        at = min(at + n, len(raw) - 1)
-    return out
-
-
-def _escape(run: str) -> list[tuple[str, int, int]] | None:
-    if run[0] == "&":
-        return [(html.unescape(run), 0, len(run))]
-    if run[1] == "x":
-        return [(chr(int(run[2:], 16)), 0, len(run))]
-    units = [int(x, 16) for x in run.split("\\u")[1:]]
-    out, i = [], 0
-    while i < len(units):
-        pair = 0xD800 <= units[i] < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1] < 0xE000
-        if pair:
-            out.append((chr(0x10000 + ((units[i] - 0xD800) << 10) + units[i + 1] - 0xDC00), 6 * i, 6 * i + 12))
-        else:
-            out.append((chr(units[i]), 6 * i, 6 * i + 6))
-        i += 1 + pair
-    return out
+    runs.copy(at, len(layer.text))
+    return Layer("".join(parts) + layer.text[at:], layer, runs.locate)
+
+
+class _Unpacked:
+    """The chunks of all members of a compressed layer that begins at a byte, and the byte at which the last one ends."""
+
+    def __init__(self, raw: bytes, at: int):
+        self.raw, self.end = raw, at
+
+    def _unpacker(self):
+        head = self.raw[self.end : self.end + 6]
+        if head[:2] == b"\x1f\x8b":
+            return zlib.decompressobj(31)
+        if head[:1] == b"\x78" and len(head) > 1 and int.from_bytes(head[:2], "big") % 31 == 0:
+            return zlib.decompressobj()
+        if head[:3] == b"BZh":
+            return bz2.BZ2Decompressor()
+        if head == b"\xfd7zXZ\x00":
+            return lzma.LZMADecompressor()
+        if head[:4] == b"\x28\xb5\x2f\xfd":
+            return zstandard.ZstdDecompressor().decompressobj()
+        return None
 
+    def __iter__(self) -> Iterator[bytes]:
+        while (unpacker := self._unpacker()) is not None:
+            start, some = self.end, False
+            zstd = self.raw[start] == 0x28
+            step = ZSTD_STEP if zstd else PACKED_STEP
+            try:
+                while not unpacker.eof and self.end < len(self.raw):
+                    given = self.raw[self.end : self.end + step]
+                    self.end += len(given)
+                    for out in (unpacker.decompress(given),) if zstd else _given(unpacker, given):
+                        some = some or bool(out)
+                        yield out
+            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+                self.end = self.end if some else start
+                return
+            if not unpacker.eof:
+                return
+            self.end -= len(unpacker.unused_data)
+
+
+def _given(unpacker, given: bytes) -> Iterator[bytes]:
+    """What a piece of compressed bytes gives, in parts of bounded size."""
+    while True:
+        out = unpacker.decompress(given, UNPACKED_STEP)
+        yield out
+        given = getattr(unpacker, "unconsumed_tail", b"")  # zlib hands back what it has not read, the others keep it
+        if unpacker.eof or (not given and len(out) < UNPACKED_STEP):
+            return
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of the chunks in windows; each begins with the end of the one before it."""
+    held = bytearray()
+    for chunk in chunks:
+        held += chunk
+        while len(held) >= WINDOW:
+            yield bytes(held[:WINDOW])
+            del held[: WINDOW - OVERLAP]
+    if held:
+        yield bytes(held)
+
+
+def _unpacked_layers(raw: bytes, parent: Layer, locate: Callable[[int, int], tuple[int, int]]) -> Iterator[Layer]:
+    """What the compressed layers in the bytes hold, wherever they begin; all of a layer comes from its whole run."""
+    at = 0
+    while m := _MAGIC.search(raw, at):
+        packed = _Unpacked(raw, m.start())
+        for window in _windows(iter(packed)):
+            span = locate(m.start(), packed.end)
+            yield Layer(window.decode("latin-1"), parent, lambda a, b, span=span: span)
+        at = max(packed.end, m.start() + 1)
+
+
+def _decoded(layer: Layer, start: int, end: int) -> Iterator[Layer]:
+    """What a run of base64 characters holds, at each of the four alignments, and what is compressed in it."""
+    run = layer.text[start:end].translate({45: 43, 95: 47})
+    for first in range(min(4, len(run) - 1)):
+        part = run[first : len(run) - ((len(run) - first) % 4 == 1)]
+        raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
 
-def _inner(layer: Layer) -> Iterator[Layer]:
-    """What the base64 runs of a layer hold, at each of the four alignments, and what is compressed in them.
+        def locate(a: int, b: int, first: int = first) -> tuple[int, int]:  # three bytes come from four characters
+            return start + first + a // 3 * 4, min(end, start + first + (b - 1) // 3 * 4 + 4)
 
-    A run is tried line by line and joined over line ends.
-    """
-    text, origin = layer
-    at = lambda i: origin[i] if origin else (i, i + 1)
-    for m in _BASE64.finditer(text):
-        yield from _decoded(m[0], range(m.start(), m.end()), at)
-    for m in _WRAPPED.finditer(text):
-        places, last = [], m.start()
-        for end in _LINE_END.finditer(text, m.start(), m.end()):
-            places += range(last, end.start())
-            last = end.end()
-        places += range(last, m.end())
-        if len(places) >= BASE64_LEAST:
-            yield from _decoded("".join(text[i] for i in places), places, at)
+        if _MAGIC.search(raw):
+            yield from _unpacked_layers(raw, layer, locate)
+        if _STRETCH.search(raw):
+            yield Layer(raw.decode("latin-1"), layer, locate)
+
+
+def _inner(layer: Layer) -> Iterator[Layer]:
+    """What the base64 runs of a layer hold. A run is tried line by line and joined over line ends."""
+    for m in _BASE64.finditer(layer.text):
+        yield from _decoded(layer, *m.span())
+    for m in _WRAPPED.finditer(layer.text):
+        runs, parts, last = _Runs(), [], m.start()
+        for line_end in _LINE_END.finditer(layer.text, m.start(), m.end()):
+            runs.copy(last, line_end.start())
+            parts.append(layer.text[last : line_end.start()])
+            last = line_end.end()
+        runs.copy(last, m.end())
+        if runs.size >= BASE64_LEAST:
+            joined = Layer("".join(parts) + layer.text[last : m.end()], layer, runs.locate)
+            yield from _decoded(joined, 0, runs.size)
 
 
 def _escaped_bytes(layer: Layer, pattern: re.Pattern) -> Iterator[Layer]:
     """What is compressed in runs of escaped bytes; as a text those bytes would be lost."""
-    text, origin = layer
-    for m in pattern.finditer(text):
+    if not _ESCAPED_MAGIC.search(layer.text):
+        return
+    for m in pattern.finditer(layer.text):
         run = m[0].encode()
         if pattern is _PERCENT_BYTES:
             raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda e: bytes.fromhex(e[1].decode()), run.replace(b"+", b" "))
         else:
             raw = _BYTE.sub(lambda e: bytes.fromhex(e[2].decode()) if e[2] else bytes([_SHORT.get(e[3][0], e[3][0])]) if e[3] else e[0], run)
-        whole = (origin[m.start()][0], origin[m.end() - 1][1]) if origin else m.span()
-        for inner in _packed(raw):
-            for found, _ in _stretches(inner):
-                yield found, [whole] * len(found)
-
-
-def _decoded(run: str, places, at) -> Iterator[Layer]:
-    """Layers of a run of base64 characters, which are at these places of the layer."""
-    chars = run.rstrip("=").translate({45: 43, 95: 47})
-    for first in range(4):
-        part = chars[first:]
-        part = part[: len(part) - (len(part) % 4 == 1)]
-        if len(part) < 2:
-            continue
-        raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
-        whole = (at(places[first])[0], at(places[-1])[1])
-        for inner in _packed(raw):
-            for found, _ in _stretches(inner):
-                yield found, [whole] * len(found)
-        for found, byte in _stretches(raw):
-            where = []
-            for c in found:  # three bytes come from four characters
-                last = byte + len(c.encode()) - 1
-                first_char = first + byte // 3 * 4
-                last_char = min(first + last // 3 * 4 + 3, len(places) - 1)
-                where.append((at(places[first_char])[0], at(places[last_char])[1]))
-                byte = last + 1
-            yield found, where
+        if _MAGIC.search(raw):
+            yield from _unpacked_layers(raw, layer, lambda a, b, span=m.span(): span)
+
+
+def _packed_bytes(layer: Layer) -> Iterator[Layer]:
+    """What is compressed in a layer of bytes; in one that is a text of its own, characters stand for no bytes."""
+    if layer.parent is not None and _MAGIC_TEXT.search(layer.text):
+        yield from _unpacked_layers(layer.text.encode("latin-1", "replace"), layer, lambda a, b: (a, b))
 
 
 def layers(text: str) -> Iterator[Layer]:
-    """The text and all layers in it, each once: a layer met before at the same place ends that branch."""
-    worklist: list[Layer] = [(text, None)]
-    seen: set[tuple[str, int]] = set()
+    """The text and all layers in it, each once: a layer met before at the same place ends that branch.
+
+    The worklist holds iterators, so that of a layer that is unpacked in windows only one is held.
+    """
+    seen: set[tuple[bytes, int]] = set()
+    worklist: list[Iterator[Layer]] = [iter((Layer(text),))]
     while worklist:
-        layer = worklist.pop()
-        key = (hashlib.sha256(layer[0].encode("utf-8", "surrogatepass")).hexdigest(), layer[1][0][0] if layer[1] else 0)
+        layer = next(worklist[-1], None)
+        if layer is None:
+            worklist.pop()
+            continue
+        now = layer.text
+        if not now:
+            continue
+        key = (hashlib.sha256(now.encode("utf-8", "surrogatepass")).digest(), layer.origin(0, 1)[0])
         if key in seen:
             continue
         seen.add(key)
         yield layer
-        now = layer[0]
-        if "%" in now and (more := _replaced(layer, _PERCENT, _percent)):
-            worklist.append(more)
-        if ("\\" in now or "&#" in now) and (more := _replaced(layer, _ESCAPE, _escape)):
-            worklist.append(more)
+        worklist.append(_inner(layer))
+        worklist.append(_packed_bytes(layer))
+        if "%" in now or "\\" in now or "&#" in now:
+            worklist.append(iter([x for x in (_unescaped(layer), _unnested(layer)) if x is not None]))
         if "%" in now:
-            worklist.extend(_escaped_bytes(layer, _PERCENT_BYTES))
+            worklist.append(_escaped_bytes(layer, _PERCENT_BYTES))
         if "\\x" in now:
-            worklist.extend(_escaped_bytes(layer, _X_BYTES))
-        worklist.extend(_inner(layer))
+            worklist.append(_escaped_bytes(layer, _X_BYTES))
 
 
 def secrets_of(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -283,13 +362,13 @@ def secrets_of(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple
         return [], []
     base: list[tuple[str, int, int]] = []
     spans: set[tuple[str, int, int]] = set()
-    for n, (layer, origin) in enumerate(layers(text)):
-        found = matches(layer)
-        if n == 0:
+    for layer in layers(text):
+        found = matches(layer.text)
+        if layer.parent is None:
             base = sorted(found, key=order)
             spans.update(found)
         else:
-            spans.update((k, origin[a][0], origin[b - 1][1]) for k, a, b in found)
+            spans.update((k, *layer.origin(a, b)) for k, a, b in found)
     return base, sorted(spans, key=order)
 
 

@@ -2,8 +2,12 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import re
+import time
+import tracemalloc
 import zlib
+from itertools import product
 from urllib.parse import quote
 
 import zstandard
@@ -97,3 +101,52 @@ def test_escaped_bytes_and_members():
             assert any(k == "assign" for k, _, _ in secrets_of(f"see <{run}> end")[1]), run
     frames = zstandard.compress(b"first") + zstandard.compress(secret)
     assert secrets_of(base64.b64encode(frames).decode())[1]
+
+
+ENCODERS = {
+    "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+    "quote": lambda t: quote(t, safe=""),
+    "x": lambda t: "".join(f"\\x{b:02x}" for b in t.encode()),
+    "u": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "entity": lambda t: "".join(f"&#{ord(c)};" for c in t),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "url64": lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+    "mime": lambda t: base64.encodebytes(t.encode()).decode().strip(),
+    **{
+        name: lambda t, pack=pack: base64.b64encode(pack(t.encode())).decode()
+        for name, pack in {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}.items()
+    },
+}
+
+
+def test_any_nesting_is_unwrapped():
+    """The layers of a text encoded three times over hold what was encoded, and its span lies in the encoded part."""
+    for a, b in product(ENCODERS, repeat=2):
+        c = list(ENCODERS)[(len(a) * 7 + len(b)) % len(ENCODERS)]
+        inner = ENCODERS[c](ENCODERS[b](ENCODERS[a](f"x, password=hunter2hunter2 {KEY}, y")))
+        text = f"é before <{inner}> after"
+        spans = secrets_of(text)[1]
+        assert {"assign", "access"} <= {k for k, _, _ in spans}, (a, b, c)
+        assert all(10 <= s <= e <= 10 + len(inner) for _, s, e in spans), (a, b, c)
+
+
+def test_chains_of_escaped_escapes_take_one_pass():
+    for chain in ("%" + "25" * 200_000 + "41", "\\u005c" + "u005c" * 80_000 + "u0041", "&#38;" + "#38;" * 100_000 + "#65;", "%" * 200_000 + "3341"):
+        began = time.monotonic()
+        found = [layer.text[:3] for layer in layers("password=hunter2hunter2 " + chain + "bcdefgh")]
+        assert len(found) < 8 and time.monotonic() - began < 10
+    assert any(layer.text == "A" for layer in layers("%" + "25" * 1000 + "41"))
+    text = "%" + "25" * 99 + "70assword=hunter2hunter2"
+    assert secrets_of(text)[1] == [("assign", 0, len(text)), ("hex", 1, text.index("ssword"))]
+
+
+def test_layers_larger_than_a_window():
+    data = bytes(range(128, 250)) * 100_000 + b" password=hunter2hunter2 " + bytes(5_000_000)
+    text = "see " + base64.b64encode(zlib.compress(data)).decode() + " end"
+    spans = secrets_of(text)[1]
+    assert any(k == "assign" and 4 <= a < b <= len(text) - 4 for k, a, b in spans)
+    big = "plain words " * 200_000 + "password%3Dhunter2hunter2"
+    tracemalloc.start()
+    assert secrets_of(big)[1] == [("assign", 2_400_000, len(big))]
+    assert tracemalloc.get_traced_memory()[1] < 20 * len(big)
+    tracemalloc.stop()
