@@ -1,115 +1,248 @@
 """Exact top-k by inner product with a vector-approximation file.
 
-The file holds, for each vector, the cell of every component on an even grid. A scan of the cells bounds every score
-from below and above; a query's candidates are the vectors whose upper bound reaches its kth best lower bound. Only
-their exact vectors are read, in order of their upper bounds, until no open bound can beat the kth exact score.
+The file holds, for each vector, the cell of every component on a grid that fills its cells evenly. A scan of the cells
+bounds every score from below and above; a query's candidates are the vectors whose upper bound reaches its kth best
+lower bound. Only their exact vectors are read, in order of their upper bounds, until no open bound can beat the kth
+exact score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import drop_table, materialize
 
-#: A component's cell is this many integers wide.
-CELL = 4
-#: Queries of one block; the blocks are broadcast one after the other.
-QUERY_BLOCK = 8192
-#: Vectors whose bounds are held at once.
-SCAN_ROWS = 4096
+#: Cells of a component; a cell's number takes one byte.
+CELLS = 256
+#: Vectors, and numbers in them, that the grid's inner edges are learned from. Any edges give exact results.
+GRID_ROWS, GRID_NUMBERS = 4096, 1 << 21
+#: Numbers in the queries of one block; the blocks are broadcast one after the other.
+BLOCK_NUMBERS = 1 << 21
+#: Queries and vectors of one tile, whose bounds are held at once.
+TILE_QUERIES, TILE_ROWS = 256, 2048
+#: Candidates that a task hands on at once.
+FLUSH = 1 << 16
 #: Exact vectors read first for a query, as a multiple of k.
 FIRST_READ = 4
+#: A query's candidates are ranked in so many parts before they meet.
+PARTS = 32
+#: Vectors whose inner product with themselves is larger take no part: their scores need not fit a long.
+LARGEST_NORM = 2.0**62
 
 
 def quantize(embedding: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component as a double; null for a vector that is null, empty, or has a null, NaN or infinite one."""
+    """floor(scale * x) of every component as a double; null for a vector that is null, empty, or has a null, NaN or
+    infinite one, or whose integers' squares add up to over LARGEST_NORM."""
     value = F.transform(embedding, lambda x: x.cast("double"))
     bad = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = embedding.isNotNull() & (F.size(embedding) > 0) & ~F.coalesce(bad, F.lit(True))
+    norm = F.aggregate(value, F.lit(0.0), lambda s, x: s + F.pow(F.abs(x) * F.lit(float(scale)) + 1, F.lit(2)))
+    good = embedding.isNotNull() & (F.size(embedding) > 0) & ~F.coalesce(bad, F.lit(True)) & (norm <= LARGEST_NORM)
     return F.when(good, F.transform(value, lambda x: F.floor(x * F.lit(float(scale))).cast("bigint")))
 
 
-def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The approximation of each vector: its components' cells, eight bytes each if two do not hold them all."""
+@dataclass
+class Grid:
+    """The edges between cells, and the least and greatest integer in each cell, of every component."""
+
+    edges: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def cells(self, v: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, v[:, j], side="right") for j, e in enumerate(self.edges)], axis=1).astype(np.uint8)
+
+
+def _extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least and greatest integer of each component of a task's vectors, by length."""
+    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        cells = [np.floor_divide(np.asarray(x.as_py(), np.int64), CELL) for x in batch.column("v")]
-        bits = [16 if -(1 << 15) <= c.min() and c.max() < 1 << 15 else 64 for c in cells]
-        v = [c.astype(f"int{b}").tobytes() for c, b in zip(cells, bits, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(v, pa.binary()), pa.array(bits)], names=["id", "cells", "bits"])
+        for d, _, v in _by_length(batch.column("v")):
+            low, high = seen.get(d, (v[0], v[0]))
+            seen[d] = np.minimum(low, v.min(axis=0)), np.maximum(high, v.max(axis=0))
+    for d, (low, high) in seen.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([d] * d), pa.array(np.arange(d)), pa.array(low), pa.array(high)], names=["d", "j", "low", "high"]
+        )
+
 
+def _by_length(vectors: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, their vectors as a matrix) for each length of vectors."""
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    start = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == d)
+        yield d, rows, flat[start[rows][:, None] + np.arange(d)]
 
-def _scan(queries, k: int):
-    """Bounds of all (query, vector) pairs of a task, of which it keeps what its own kth best lower bound lets pass."""
+
+def learn_grids(rows: DataFrame) -> dict[int, Grid]:
+    """A grid for each length of vectors: ends from all vectors, inner edges from a bounded sample's quantiles."""
+    spread = rows.mapInArrow(_extent, "d bigint, j bigint, low bigint, high bigint").groupBy("d", "j")
+    ends = spread.agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    grids = {}
+    for d, part in ends.sort_values("j").groupby("d"):
+        low, high = part["low"].to_numpy(np.int64), part["high"].to_numpy(np.int64)
+        some = rows.filter(F.size("v") == int(d)).orderBy(F.xxhash64("id")).limit(max(1, min(GRID_ROWS, GRID_NUMBERS // int(d))))
+        sample = np.array(some.select("v").toPandas()["v"].tolist(), np.int64).reshape(-1, int(d))
+        inner = np.quantile(sample, np.arange(1, CELLS) / CELLS, axis=0, method="higher").T
+        if (high - low).max() < CELLS:  # a cell for each integer
+            inner = np.minimum(low[:, None] + np.arange(1, CELLS), high[:, None] + 1)
+        inner = np.sort(inner, axis=1)
+        first = np.concatenate([low[:, None], inner], axis=1)
+        last = np.concatenate([inner - 1, high[:, None]], axis=1)
+        grids[int(d)] = Grid(inner, np.maximum(first, low[:, None]), np.minimum(last, high[:, None]))
+    return grids
+
+
+def _to_cells(held):
+    """The approximation of each vector: the cells of its components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            bits = batch.column("bits").to_numpy()
-            sizes = np.array([len(x.as_py()) for x in batch.column("cells")]) * 8 // bits
-            for d, b in {*zip(sizes.tolist(), bits.tolist(), strict=True)}:
-                rows = np.flatnonzero((sizes == d) & (bits == b))
-                cells = np.frombuffer(b"".join(batch.column("cells")[int(i)].as_py() for i in rows), f"int{b}").reshape(-1, d)
-                blocks.setdefault(int(d), []).append((ids[rows], cells))
-        for d, parts in blocks.items():
-            if d not in queries.value:
+            cells = [b""] * batch.num_rows
+            for d, rows, v in _by_length(batch.column("v")):
+                for i, c in zip(rows.tolist(), held.value[d].cells(v), strict=True):
+                    cells[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cells, pa.binary())], names=["id", "cells"])
+
+    return run
+
+
+@dataclass
+class QueryBlock:
+    """Queries by length, each with its bounds' tables."""
+
+    ids: np.ndarray
+    q: np.ndarray
+    floor: np.ndarray | None = None
+    floor_id: np.ndarray | None = None
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], grids: dict[int, Grid], queries: dict[int, QueryBlock]):
+    """(length, first query, ids, lower bounds, upper bounds) for each tile of queries and vectors.
+
+    A bound is the score of the cells' middles, less or plus what the cells' halves can add and what rounding may.
+    """
+    for batch in batches:
+        all_ids = batch.column("id").to_numpy()
+        sizes = np.array([len(x) for x in batch.column("cells").to_pylist()], np.int64)
+        for d in np.unique(sizes).tolist():
+            if d not in queries:
                 continue
-            qid, q = queries.value[d]
-            # floor(x / CELL) * CELL <= x <= that + CELL - 1: an even grid, so all bounds of a query are equally wide
-            half = (CELL - 1) / 2
-            width = np.abs(q).sum(axis=1) * half
-            floor = np.full((len(qid), k + 1), -np.inf)
-            found: list[list[np.ndarray]] = [[], [], []]
-            ids = np.concatenate([p[0] for p in parts])
-            cells = np.concatenate([p[1] for p in parts])
-            largest = max(float(np.abs(p[1].astype(np.float64)).max()) for p in parts) * CELL + CELL
-            width = width + np.abs(q).sum(axis=1) * largest * d * 2.0**-52  # what rounding may add
-            for second in (False, True):  # first the kth best lower bounds, then what passes them
-                for at in range(0, len(ids), SCAN_ROWS):
-                    centre = cells[at : at + SCAN_ROWS].astype(np.float64) * CELL + half
-                    score = q @ centre.T
-                    if second:
-                        a, b = np.nonzero(score + width[:, None] >= floor[:, :1])
-                        for held, x in zip(found, (qid[a], ids[at + b], score[a, b]), strict=True):
-                            held.append(x)
-                        if sum(map(len, found[0])) > 1 << 20:
-                            yield _candidates(found, qid, width)
-                            found = [[], [], []]
-                    else:
-                        score -= width[:, None]
-                        merged = np.concatenate([floor, score], axis=1)
-                        cut = merged.shape[1] - k - 1
-                        floor = np.partition(merged, cut, axis=1)[:, cut:]
-                if not second:
-                    floor = np.sort(floor, axis=1)  # the first: the (k+1)th best, since the query itself may be one
-            if found[0]:
-                yield _candidates(found, qid, width)
+            rows, grid, block = np.flatnonzero(sizes == d), grids[d], queries[d]
+            middle, half = (grid.low + grid.high) / 2, (grid.high - grid.low) / 2
+            largest = float(np.abs(np.concatenate([grid.low, grid.high])).max())
+            for at in range(0, len(rows), TILE_ROWS):
+                some = rows[at : at + TILE_ROWS]
+                cells = np.frombuffer(b"".join(batch.column("cells").take(pa.array(some)).to_pylist()), np.uint8).reshape(-1, d)
+                m, h = middle[np.arange(d), cells].T, half[np.arange(d), cells].T
+                for first in range(0, len(block.ids), TILE_QUERIES):
+                    q = block.q[first : first + TILE_QUERIES]
+                    size = np.abs(q)
+                    width = size @ h + size.sum(axis=1)[:, None] * (largest * (d + 4) * 2.0**-51)
+                    centre = q @ m
+                    yield d, first, all_ids[some], centre - width, centre + width
+
+
+def _floors(held_grids, held, k: int):
+    """Each query's k+1 best lower bounds in a task, since the query itself may be one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: dict[int, QueryBlock] = held.value
+        best = {d: (np.full((len(b.ids), k + 1), -np.inf), np.zeros((len(b.ids), k + 1), np.int64)) for d, b in queries.items()}
+        for d, first, ids, low, _ in _tiles(batches, held_grids.value, queries):
+            values, of = (x[first : first + TILE_QUERIES] for x in best[d])
+            if low.shape[1] > k + 1:
+                at = np.argpartition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1 :]
+                low, new = np.take_along_axis(low, at, axis=1), ids[at]
+            else:
+                new = np.broadcast_to(ids, low.shape)
+            merged, named = np.concatenate([values, low], axis=1), np.concatenate([of, new], axis=1)
+            at = np.argpartition(merged, merged.shape[1] - k - 1, axis=1)[:, merged.shape[1] - k - 1 :]
+            values[:], of[:] = np.take_along_axis(merged, at, axis=1), np.take_along_axis(named, at, axis=1)
+        for d, (values, of) in best.items():
+            keep = values.ravel() > -np.inf
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(queries[d].ids, k + 1)[keep]), pa.array(of.ravel()[keep]), pa.array(values.ravel()[keep])],
+                names=["query_id", "vec_id", "low"],
+            )
 
     return run
 
 
-def _candidates(found: list[list[np.ndarray]], qid: np.ndarray, width: np.ndarray) -> pa.RecordBatch:
-    q, v, centre = (np.concatenate(x) for x in found)
-    order = np.argsort(qid)
-    w = width[order[np.searchsorted(qid, q, sorter=order)]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(q), pa.array(v), pa.array(centre - w), pa.array(centre + w)], names=["query_id", "vec_id", "low", "high"]
-    )
+def _candidates(held_grids, held):
+    """The vectors whose upper bound reaches the query's floor, or equals it where the id can still decide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: dict[int, QueryBlock] = held.value
+        found: list[list[np.ndarray]] = [[], [], []]
+        for d, first, ids, _, high in _tiles(batches, held_grids.value, queries):
+            block = queries[d]
+            floor, last = (x[first : first + TILE_QUERIES, None] for x in (block.floor, block.floor_id))
+            passing = (high > floor) | ((high == floor) & (ids[None, :] <= last))
+            a, b = np.nonzero(passing)
+            for x, new in zip(found, (block.ids[first + a], ids[b], high[a, b]), strict=True):
+                x.append(new)
+            if sum(map(len, found[0])) > FLUSH:
+                yield _batch(found)
+                found = [[], [], []]
+        if found[0]:
+            yield _batch(found)
+
+    return run
+
+
+def _batch(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["query_id", "vec_id", "high"])
+
+
+def _first_of(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """The first n rows of each query by falling `by`, then id, with their rank. Parts are ranked first, so that a query
+    with very many rows is no single task's."""
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))
+    order = (F.desc(by), "vec_id")
+    some = rows.withColumn("_p", part).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(*order)))
+    some = some.filter(F.col("rank") <= n).drop("_p", "rank")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= n)
 
 
 def _exact(pairs: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Reads the exact vectors of (query_id, vec_id) pairs and scores them."""
+    """Reads the exact vectors of (query_id, vec_id) pairs and scores them; queries are of one block, so of bounded size."""
     vectors = rows.select(F.col("id").alias("vec_id"), "v")
-    of = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    of = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv")))
     product = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return pairs.join(vectors, "vec_id").join(of, "query_id").select("query_id", "vec_id", product.alias("score"))
 
 
+def _search(file: DataFrame, rows: DataFrame, queries: DataFrame, grids, k: int) -> DataFrame:
+    """The k best of each query of one block."""
+    sc = file.sparkSession.sparkContext
+    blocks: dict[int, QueryBlock] = {}
+    held = queries.toPandas()
+    for d, part in held.groupby(held["v"].map(len)):
+        blocks[int(d)] = QueryBlock(part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.float64))
+    lows = file.mapInArrow(_floors(grids, sc.broadcast(blocks), k), "query_id bigint, vec_id bigint, low double")
+    # one row for each query of the block reaches the driver
+    floors = _first_of(lows, "low", k + 1).filter(F.col("rank") == k + 1).select("query_id", "vec_id", "low").toPandas().set_index("query_id")
+    for block in blocks.values():
+        block.floor = floors["low"].reindex(block.ids).fillna(-np.inf).to_numpy(np.float64)
+        block.floor_id = floors["vec_id"].reindex(block.ids).fillna(0).to_numpy().astype(np.int64)
+    found = file.mapInArrow(_candidates(grids, sc.broadcast(blocks)), "query_id bigint, vec_id bigint, high double")
+    found = materialize(found.filter("query_id <> vec_id"), "candidates")
+    # read by falling upper bound: the first few give the kth exact score, then all whose bound still reaches it
+    read = _first_of(found, "high", FIRST_READ * k).select("query_id", "vec_id")
+    kth = _first_of(_exact(read, rows, queries), "score", k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+    kth = F.broadcast(kth)  # at most one row a query of the block
+    open_ = found.join(kth, "query_id").filter("least is null or high >= least").select("query_id", "vec_id")
+    return _first_of(_exact(open_, rows, queries), "score", k).select("query_id", "rank", "vec_id", "score")
+
+
 def exact_top_k(
     vectors: DataFrame,
     k: int = 5,
@@ -117,47 +250,36 @@ def exact_top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     scale: int = 256,
-    query_block: int = QUERY_BLOCK,
+    block_numbers: int = BLOCK_NUMBERS,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows but itself, by integer inner product.
 
     Queries are the rows whose id is divisible by query_every. Ties go to the smaller vec_id. Vectors that are null or
-    empty, hold a null or non-finite component, or whose id is null, take no part. Vectors of different lengths are not
-    compared. Rows that share an id are one row, of which the vector that sorts first counts. No rows, no result.
-    Of equal vectors only the k+1 smallest ids can be in any result, so no more of each are kept.
+    empty, hold a null or non-finite component, or whose id is null, take no part; nor does one so long that its inner
+    product with itself passes LARGEST_NORM, so every score fits a long. Vectors of different lengths are not compared.
+    Rows that share an id are one row, of which the vector that sorts first counts. No rows, no result. Other columns
+    are not read. Of equal vectors only the k+1 smallest ids can be in any result, so no more of each are scanned.
+    Queries are searched in blocks of block_numbers numbers; a block and its floors are what is broadcast.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), quantize(F.col(vector_col), scale).alias("v"))
     rows = rows.filter("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
     rows = materialize(rows, "vectors")
+    grids = spark.sparkContext.broadcast(learn_grids(rows))
     same = Window.partitionBy("v").orderBy("id")
     file = rows.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).select("id", "v")
-    file = materialize(file.mapInArrow(_to_cells, "id bigint, cells binary, bits bigint"), "approximations")
+    file = materialize(file.mapInArrow(_to_cells(grids), "id bigint, cells binary"), "approximations")
     queries = rows.filter(F.col("id") % query_every == 0)
-    blocks = max(1, -(-queries.count() // query_block))
-    found = None
+    numbers = queries.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
+    blocks = max(1, -(-numbers // block_numbers))
+    if blocks == 1:
+        return _search(file, rows, queries, grids, k)
+    done = []
     for b in range(blocks):
-        held = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas() if blocks > 1 else queries.toPandas()
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for d, part in held.groupby(held["v"].map(len)):
-            by_size[int(d)] = (part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.float64))
-        scanned = file.mapInArrow(
-            _scan(spark.sparkContext.broadcast(by_size), k), "query_id bigint, vec_id bigint, low double, high double"
-        ).filter("query_id <> vec_id")
-        found = scanned if found is None else found.unionByName(scanned)
-    found = materialize(found, "candidates")
-    best = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
-    kth = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).groupBy("query_id").agg(
-        F.when(F.count("*") == k, F.min("low")).alias("floor")
-    )
-    passing = found.join(kth, "query_id").filter("floor is null or high >= floor").select("query_id", "vec_id", "high")
-    # read by falling upper bound: the first few give the kth exact score, then all whose bound still reaches it
-    by_bound = Window.partitionBy("query_id").orderBy(F.desc("high"), "vec_id")
-    first = passing.withColumn("n", F.row_number().over(by_bound)).filter(F.col("n") <= FIRST_READ * k)
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    read = _exact(first.select("query_id", "vec_id"), rows, queries)
-    read = read.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k)
-    certain = read.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
-    open_ = passing.join(certain, "query_id").filter("least is null or high >= least").select("query_id", "vec_id")
-    ranked = _exact(open_, rows, queries).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        mine = materialize(queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), "queries")
+        done.append(materialize(_search(file, rows, mine, grids, k), "best"))
+        drop_table(mine)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

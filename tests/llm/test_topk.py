@@ -1,7 +1,11 @@
 import math
 import random
+import tracemalloc
 
-from tessera.llm.topk import exact_top_k
+import numpy as np
+import pyarrow as pa
+
+from tessera.llm.topk import Grid, QueryBlock, _tiles, exact_top_k
 
 
 def brute(rows, k, every):
@@ -30,7 +34,7 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(a, b, 7) for a, b in rows], "vec_id long, embedding array<double>, score int")
     want = brute(rows, 5, 10)
     assert sorted(map(tuple, exact_top_k(df, 5, 10).collect())) == want
-    assert sorted(map(tuple, exact_top_k(df, 5, 10, query_block=7).collect())) == want
+    assert sorted(map(tuple, exact_top_k(df, 5, 10, block_numbers=60).collect())) == want
 
 
 def test_few_and_no_rows(spark):
@@ -39,6 +43,38 @@ def test_few_and_no_rows(spark):
     assert exact_top_k(df.limit(0)).count() == 0
 
 
+def test_scales_clusters_and_outliers(spark):
+    """At any scale, with crowded values, single far ones and queries that tie with all."""
+    rng = random.Random(5)
+    for scale in (1.0, 1e3, 1e6):
+        centres = [[rng.gauss(0, scale) for _ in range(6)] for _ in range(4)]
+        rows = [(i, [x + rng.gauss(0, scale / 50) for x in centres[i % 4]]) for i in range(400)]
+        rows += [(i, [0.0] * 6) for i in range(400, 500)] + [(500, [min(scale * 1e3, 3e6)] * 6), (501, [-min(scale * 1e3, 3e6)] * 6)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, exact_top_k(df, 5, 10).collect())) == brute(rows, 5, 10)
+
+
+def test_huge_components_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(0, 40)] + [(40, [1e300, 1.0]), (41, [-1e300, 1e300]), (42, [1e17, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, exact_top_k(df, 5, 10).collect())) == brute(rows[:40], 5, 10)
+
+
+def test_a_task_holds_tiles_only():
+    """8192 queries of 64 numbers against 6144 vectors: one tile's bounds at a time."""
+    gen = np.random.default_rng(1)
+    v = gen.integers(-256, 256, (6144, 64))
+    grid = Grid(np.arange(-255, 0), np.full((64, 256), -256), np.full((64, 256), 256))
+    grid.edges = np.tile(np.linspace(-255, 255, 255).astype(np.int64), (64, 1))
+    cells = pa.array([c.tobytes() for c in grid.cells(v)], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6144)), cells], names=["id", "cells"])
+    block = QueryBlock(np.arange(8192), gen.integers(-256, 256, (8192, 64)).astype(float))
+    tracemalloc.start()
+    assert sum(low.size for _, _, _, low, _ in _tiles(iter([batch]), {64: grid}, {64: block})) == 6144 * 8192
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
 def test_large_components(spark):
     rng = random.Random(4)
     rows = [(i, [rng.uniform(-5000, 5000) if i % 3 else rng.uniform(-1, 1) for _ in range(4)]) for i in range(200)]
