@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,6 +117,29 @@ def group_bits(together: np.ndarray, n: int, parts: int) -> list[int]:
     return masks
 
 
+def parts_for(bits_set: np.ndarray, n: int, threshold: int) -> int:
+    """How many parts to cut fingerprints into, so that a probe plan costs least: few narrow parts meet more and more
+    as there are more fingerprints, and wide ones take more probes.
+
+    bits_set: in which share of n fingerprints each bit is 1. A bit that is nearly always alike tells little apart, so
+    a part's values are taken as evenly filled over as many bits as its bits are worth.
+    """
+    worth = -np.log2(np.maximum(bits_set**2 + (1 - bits_set) ** 2, 1e-12))
+    costs = {}
+    for parts in range(threshold + 1, 0, -1):
+        width, mean = 64 / parts, worth.sum() / parts
+        price, ball, size = [0.0], 1.0, 1.0
+        for u in range(1, threshold + 2):
+            price.append(n / 2.0**mean * ball + PROBE_COST * ball)
+            size *= (width - u + 1) / u
+            ball += size
+        best = [0.0] + [math.inf] * (threshold + 1)
+        for _ in range(parts):
+            best = [min(best[s - u] + price[u] for u in range(s + 1)) for s in range(threshold + 2)]
+        costs[parts] = best[-1]
+    return min(costs, key=lambda p: (costs[p], -p))
+
+
 def allocate(counts: np.ndarray, widths: list[int], n: int, threshold: int) -> np.ndarray:
     """Thresholds per part, -1 for a part that is not probed, of least estimated cost for each fingerprint.
 
@@ -191,22 +215,18 @@ def _signed(mask: int) -> int:
     return mask - 2**64 if mask >= 2**63 else mask
 
 
-def link_fingerprints(prints: DataFrame, threshold: int = 2, parts: int = 3, most: int = MOST_CANDIDATES) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of fingerprints at most `threshold` (2) bits apart.
-
-    prints: distinct values in a column fp, written to files. Fingerprints whose probes meet few others are linked to
-    all of them within the threshold. One in dense surroundings is linked to the least fingerprint, of those like it,
-    in the ball of one bit around itself and around each of its 64 neighbours: two such fingerprints within two bits
-    share a point of theirs, and all that share a point are within two bits of each other. So no pair is lost, and
-    no group of pairs is listed.
-    """
-    if threshold != 2:
-        raise ValueError("dense surroundings are linked through shared points, which fit a threshold of 2")
+def probe_fingerprints(
+    prints: DataFrame, threshold: int = 2, parts: int | None = None, most: int = MOST_CANDIDATES
+) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) of all pairs at most `threshold` bits apart of which one meets up to `most` others by its probes, and
+    the fingerprints (fp) that meet more. prints: distinct values in a column fp, written to files; they are cut into
+    parts, the fewer the more there are."""
     n = prints.count()
     together = np.zeros((64, 64))
     sums = prints.select("fp").mapInArrow(_correlations, "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n"))
     for r in sums.collect():
         together[r["i"], r["j"]] = r["n"]
+    parts = parts or parts_for(np.diag(together) / max(n, 1), n, threshold)
     masks = group_bits(together, n, parts)
     value = lambda p: F.col("fp").bitwiseAND(F.lit(_signed(masks[p])))
     index = prints.select("fp", F.posexplode(F.array(*[value(p) for p in range(parts)])).alias("part", "value"))
@@ -225,6 +245,21 @@ def link_fingerprints(prints: DataFrame, threshold: int = 2, parts: int = 3, mos
         .filter((F.col("q") != F.col("fp")) & (apart <= threshold))
         .select(F.least("q", "fp").alias("a"), F.greatest("q", "fp").alias("b"))
     )
+    return edges, dense
+
+
+def link_fingerprints(prints: DataFrame, threshold: int = 2, parts: int | None = None, most: int = MOST_CANDIDATES) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of fingerprints at most `threshold` (2) bits apart.
+
+    Fingerprints whose probes meet few others are linked to all of them within the threshold. Only where they crowd,
+    whatever the size of the table, it is otherwise: such a one is linked to the least fingerprint, of those like it,
+    in the ball of one bit around itself and around each of its 64 neighbours: two such fingerprints within two bits
+    share a point of theirs, and all that share a point are within two bits of each other. So no pair is lost, and
+    no group of pairs is listed.
+    """
+    if threshold != 2:
+        raise ValueError("dense surroundings are linked through shared points, which fit a threshold of 2")
+    edges, dense = probe_fingerprints(prints, threshold, parts, most)
     points = dense.select("fp", F.explode(F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << b)) for b in range(64)])).alias("flip"))
     points = points.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")

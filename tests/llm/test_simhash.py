@@ -4,8 +4,9 @@ import re
 import numpy as np
 import xxhash
 
+from tessera.llm.common import materialize
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import allocate, link_fingerprints, simhash_components
+from tessera.llm.simhash import allocate, link_fingerprints, parts_for, probe_fingerprints, simhash_components
 
 
 def brute_print(text, k=3):
@@ -68,8 +69,6 @@ def test_dense_and_sparse_links(spark):
             prints.add(fp)
     items = [(fp, fp) for fp in sorted(prints)]
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    from tessera.llm.common import materialize
-
     df = materialize(spark.createDataFrame([(signed(fp),) for fp in prints], "fp long"), "t")
     want = {}
     for fp, _, c in brute_components(items):
@@ -82,6 +81,25 @@ def test_dense_and_sparse_links(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_many_fingerprints_still_go_through_probes(spark):
+    """20 000 values of 28 bits crowd a part of a third of them as 1.3e8 values would one of 21 bits: two parts take over."""
+    assert [parts_for(np.full(64, 0.5), n, 2) for n in (10**4, 10**7, 1.3e8, 10**12)] == [3, 3, 2, 1]
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 1 << 28, 20_000))
+    df = materialize(spark.createDataFrame([(int(v),) for v in values], "fp long"), "t")
+    edges, dense = probe_fingerprints(df)
+    assert dense.count() == 0
+    want = set()
+    for i, v in enumerate(values):
+        near = values[i + 1 :][np.bitwise_count(values[i + 1 :] ^ v) <= 2]
+        want |= {(int(v), int(x)) for x in near}
+    assert {tuple(r) for r in edges.distinct().collect()} == want and want
+    few = materialize(df.limit(40), "few")
+    one, _ = probe_fingerprints(few, parts=1)
+    three, _ = probe_fingerprints(few, parts=3)
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in three.collect()}
+
+
 def test_allocation_adds_up():
     rng = np.random.default_rng(0)
     counts = rng.integers(1, 2000, (500, 3)).astype(float)
