@@ -10,14 +10,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
 from tessera.llm.fm_index import FMIndex
 
 #: Words of a window.
 WINDOW = 10
-#: Words of one shard; a longer document is a shard of its own.
-SHARD_WORDS = 1 << 20
+#: Words of one shard; a longer document is cut into several, which share the words that a window may bridge.
+SHARD_WORDS = 1 << 19
+#: Bytes of a text that are cut into words at once, and words of a piece of an item.
+RUN_BYTES, PIECE_WORDS = 1 << 20, 1 << 15
 #: Bytes of test text that one pass holds; more test text is searched in further passes over the documents.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Windows that are searched at once.
+SEARCHED = 1 << 15
 
 # Bytes that end a word are 00-2F, 3A-60 and 7B-7F once A-Z are lower-cased; they become spaces.
 _TO_WORDS = bytes(
@@ -30,62 +35,124 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split() if text else []
 
 
-def _pattern_block(rows: list[tuple[str, str]], window: int) -> dict:
-    """Distinct windows by length, as ids of the test words, and the items that have each."""
+def _word_runs(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in runs of about RUN_BYTES, so that a very long text is no list of all its words."""
+    raw = text.encode("utf-8", "surrogatepass").translate(_TO_WORDS) if text else b""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + RUN_BYTES) if at + RUN_BYTES < len(raw) else -1
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end
+
+
+def _item_pieces(window: int):
+    """Items to pieces of bounded size: each holds the windows that begin in it. k: words of its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("i"), batch.column("t"), strict=True):
+                words = words_of(text.as_py())
+                k = min(window, len(words))
+                first = range(0, len(words) - k + 1, PIECE_WORDS) if k else ()
+                pieces = [b" ".join(words[at : at + PIECE_WORDS + k - 1]) for at in first]
+                n = len(pieces)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name.as_py()] * n, pa.string()), pa.array(list(first), pa.int64()), pa.array(pieces, pa.binary()), pa.array([k] * n, pa.int64())],
+                    names=["i", "at", "words", "k"],
+                )
+
+    return run
+
+
+def _pattern_block(pieces: Iterator) -> dict:
+    """Distinct windows by length, as places in an array of word numbers, and the items that have each.
+
+    pieces: (item, words, words of a window).
+    """
     vocab: dict[bytes, int] = {}
-    windows: dict[tuple[int, ...], set[int]] = {}
-    names = sorted({r[0] for r in rows})
-    number = {x: i for i, x in enumerate(names)}
-    for name, text in rows:
-        ids = [vocab.setdefault(w, len(vocab) + 1) for w in words_of(text)]
-        for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            windows.setdefault(tuple(ids[i : i + window]), set()).add(number[name])
+    names: dict[str, int] = {}
+    parts: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for name, words, k in pieces:
+        ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in bytes(words).split()), np.int32)
+        parts.setdefault(k, []).append((names.setdefault(name, len(names)), ids))
     lengths = []
-    for k in sorted({len(w) for w in windows}):
-        of = [w for w in windows if len(w) == k]
-        lengths.append((np.array(of, np.int64), [np.array(sorted(windows[w])) for w in of]))
-    return {"vocab": vocab, "names": names, "lengths": lengths}
-
-
-def _search_shard(docs: list[list[int]], block: dict) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(document, first word, words, items) of every occurrence. docs: ids of words, 0 for words in no test item."""
-    least = min((p.shape[1] for p, _ in block["lengths"]), default=0)
-    if not least:
-        return
-    n = sum(map(len, docs)) + len(docs)
-    text = np.zeros(n, np.int64)
-    start = np.zeros(len(docs), np.int64)
-    at = 0
-    for i, ids in enumerate(docs):
-        start[i] = at
-        text[at : at + len(ids)] = ids
-        at += len(ids) + 1
-    # only runs of test words that are as long as the shortest window can hold an occurrence; all else is left out
-    known = np.concatenate(([0], text != 0, [0])).astype(np.int8)
-    edge = np.flatnonzero(np.diff(known))
-    begin, end = edge[::2], edge[1::2]
-    wide = end - begin >= least
-    begin, end = begin[wide], end[wide]
-    if not len(begin):
-        return
-    size = end - begin + 1  # with the separator
-    out = np.concatenate(([0], np.cumsum(size)))
-    source = np.arange(out[-1]) - np.repeat(out[:-1] - begin, size)
-    kept = text[np.minimum(source, n - 1)]
-    kept[out[1:] - 1] = 0
-    index = FMIndex(kept, len(block["vocab"]) + 1)
-    for patterns, items in block["lengths"]:
-        lo, hi = index.search(patterns)
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            continue
-        count = hi[hit] - lo[hit]
-        which = np.repeat(hit, count)
-        rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo[hit], count)
-        where = source[index.locate(rows)]
-        doc = np.searchsorted(start, where, side="right") - 1
-        for d, w, p in zip(doc.tolist(), (where - start[doc]).tolist(), which.tolist(), strict=True):
-            yield d, w, patterns.shape[1], items[p]
+    for k, held in sorted(parts.items()):
+        ids = np.concatenate([x for _, x in held])
+        size = np.array([len(x) for _, x in held])
+        begin = np.cumsum(size) - size
+        n = size - k + 1
+        start = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item = np.repeat(np.array([i for i, _ in held], np.int32), n)
+        mixed = np.zeros(len(start), np.uint64)
+        for j in range(k):
+            mixed = (mixed ^ ids[start + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        order = np.lexsort((item, mixed))
+        start, item, mixed = start[order], item[order], mixed[order]
+        same = mixed[1:] == mixed[:-1]
+        for j in range(k):  # windows of one hash that differ stay apart
+            same &= ids[start[1:] + j] == ids[start[:-1] + j]
+        first = np.flatnonzero(np.concatenate(([True], ~same)))
+        lengths.append((k, ids, start[first].astype(np.int32), np.append(first, len(item)).astype(np.int32), item))
+    return {"vocab": b" ".join(vocab), "names": list(names), "lengths": lengths}
+
+
+class _Row:
+    """What is known of one document: its words so far, the words hit, and the items."""
+
+    def __init__(self, spans, items):
+        self.n, self.spans, self.items, self.tail = 0, [(s["first"], s["end"]) for s in spans or []], set(items or []), []
+
+
+class _Shard:
+    """Words of documents, or of parts of long ones, one after the other with a separator between them."""
+
+    def __init__(self):
+        self.local: dict[bytes, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.rows: list[_Row] = []
+        self.first: list[int] = []
+        self.start: list[int] = []
+        self.size = 0
+
+    def begin(self, row: _Row) -> None:
+        self._put(np.zeros(1, np.int32))
+        self.rows.append(row)
+        self.first.append(row.n - len(row.tail))
+        self.start.append(self.size)
+        self.add(row.tail)
+
+    def add(self, words: list[bytes]) -> None:
+        local = self.local
+        self._put(np.fromiter((local.setdefault(w, len(local) + 1) for w in words), np.int32, len(words)))
+
+    def _put(self, ids: np.ndarray) -> None:
+        self.parts.append(ids)
+        self.size += len(ids)
+
+    def search(self, block: dict, known: list[bytes]) -> None:
+        """Adds every occurrence of the block's windows to the documents."""
+        if not block["lengths"] or not self.local:
+            return
+        index = FMIndex(np.concatenate(self.parts), len(self.local) + 1)
+        start = np.array(self.start)
+        number = np.fromiter((self.local.get(w, 0) for w in known), np.int32, len(known))
+        for k, ids, at, of, items in block["lengths"]:
+            mine = number[ids]
+            absent = np.concatenate(([0], np.cumsum(mine == 0)))
+            can = np.flatnonzero(absent[at + k] == absent[at])
+            for some in np.array_split(can, max(1, -(-len(can) // SEARCHED))):
+                lo, hi = index.search(mine[at[some][:, None] + np.arange(k)])
+                hit = np.flatnonzero(hi > lo)
+                count = hi[hit] - lo[hit]
+                which = np.repeat(some[hit], count)
+                where = index.locate(np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo[hit], count))
+                piece = np.searchsorted(start, where, side="right") - 1
+                for p, w, x in zip(piece.tolist(), (where - start[piece]).tolist(), which.tolist(), strict=True):
+                    row, first = self.rows[p], self.first[p] + w
+                    row.spans.append((first, first + k))
+                    row.items.update(block["names"][i] for i in items[of[x] : of[x + 1]].tolist())
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,48 +169,44 @@ _SPANS_ARROW = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 _SPANS = "array<struct<first: bigint, end: bigint>>"
 
 
-def _pass(block: Broadcast, shard_words: int, more: bool):
+def _pass(block: Broadcast, window: int, shard_words: int, more: bool):
     """One pass over the documents: adds a block's occurrences to the spans and items found so far."""
 
-    def shard(slices: list[pa.RecordBatch], docs: list[list[int]]) -> pa.RecordBatch:
-        held = block.value
-        rows = pa.Table.from_batches(slices)
-        found = [[(s["first"], s["end"]) for s in x or []] for x in rows.column("_spans").to_pylist()]
-        items = [set(x or []) for x in rows.column("_items").to_pylist()]
-        hit: set[int] = set()
-        for d, w, k, of in _search_shard(docs, held):
-            found[d].append((w, w + k))
-            items[d].update(held["names"][i] for i in of)
-            hit.add(d)
-        for d in hit:
-            found[d] = _merge(found[d])
-        out = {
-            "_keep": rows.column("_keep"),
-            "_n_words": pa.array(list(map(len, docs)), pa.int64()),
-            "_spans": pa.array([[{"first": a, "end": b} for a, b in s] for s in found], _SPANS_ARROW),
-            "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-        }
-        if more:
-            out["_text"] = rows.column("_text")
-        return pa.table(out).combine_chunks().to_batches(max_chunksize=rows.num_rows)[0]
+    def done(rows: list[_Row], held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in held:
+            mine, rows = rows[: part.num_rows], rows[part.num_rows :]
+            spans = [[{"first": a, "end": b} for a, b in _merge(r.spans)] for r in mine]
+            out = [part.column("_keep"), pa.array([r.n for r in mine], pa.int64()), pa.array(spans, _SPANS_ARROW)]
+            out.append(pa.array([sorted(r.items) for r in mine], pa.list_(pa.string())))
+            names = ["_keep", "_n_words", "_spans", "_items"]
+            if more:
+                out, names = [*out, part.column("_text")], [*names, "_text"]
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = block.value["vocab"]
-        slices: list[pa.RecordBatch] = []
-        docs: list[list[int]] = []
-        n = 0
+        known = block.value["vocab"].split()
+        shard, rows, held = _Shard(), [], []
         for batch in batches:
             begun = 0
-            for i, text in enumerate(batch.column("_text")):
-                docs.append([vocab.get(w, 0) for w in words_of(text.as_py())])
-                n += len(docs[-1])
-                if n >= shard_words:
-                    yield shard([*slices, batch.slice(begun, i + 1 - begun)], docs)
-                    slices, docs, n, begun = [], [], 0, i + 1
+            for i, (text, spans, items) in enumerate(zip(batch.column("_text"), batch.column("_spans"), batch.column("_items"), strict=True)):
+                row = _Row(spans.as_py(), items.as_py())
+                rows.append(row)
+                shard.begin(row)
+                for words in _word_runs(text.as_py()):
+                    shard.add(words)
+                    row.n += len(words)
+                    row.tail = (row.tail + words)[-(window - 1) :] if window > 1 else []
+                    if shard.size >= shard_words:
+                        shard.search(block.value, known)
+                        shard = _Shard()
+                        shard.begin(row)
+                        if rows[:-1]:
+                            yield from done(rows[:-1], [*held, *([batch.slice(begun, i - begun)] if i > begun else [])])
+                            rows, held, begun = [row], [], i
             if begun < batch.num_rows:
-                slices.append(batch.slice(begun))
-        if docs:
-            yield shard(slices, docs)
+                held.append(batch.slice(begun))
+        shard.search(block.value, known)
+        yield from done(rows, held)
 
     return run
 
@@ -164,11 +227,13 @@ def find_windows(
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
     Nulls: a null text has no words; an item whose id is null is named by the empty string. Repeated rows of docs are
     rows of their own; rows of bench with one id are one item. Either table may be empty. Only the columns named are read.
-    The test text is broadcast in blocks of about block_bytes, one pass over docs each.
+    All words of a shard are indexed, once for a block; the test text is cut into pieces, broadcast in blocks of about
+    block_bytes whatever its rows and ids, one pass over docs each.
     """
     spark = docs.sparkSession
     items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    pieces = materialize(items.mapInArrow(_item_pieces(window), "i string, at bigint, words binary, k bigint"), "test-pieces")
+    size = pieces.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     now = docs.select(
         F.struct(*[F.col(c) for c in keep]).alias("_keep"),
@@ -178,11 +243,11 @@ def find_windows(
     )
     kept = now.schema["_keep"].dataType.simpleString()
     for b in range(blocks):
-        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
-        block = spark.sparkContext.broadcast(_pattern_block(rows, window))
+        mine = pieces.filter(F.pmod(F.xxhash64("i", "at", "words"), F.lit(blocks)) == b).select("i", "words", "k")
+        block = spark.sparkContext.broadcast(_pattern_block(mine.toLocalIterator(prefetchPartitions=True)))
         more = b < blocks - 1
         schema = f"_keep {kept}, _n_words bigint, _spans {_SPANS}, _items array<string>" + ", _text string" * more
-        now = now.mapInArrow(_pass(block, shard_words, more), schema)
+        now = now.mapInArrow(_pass(block, window, shard_words, more), schema)
     return now
 
 
