@@ -3,17 +3,27 @@
 A requests table has one row per query: req_id, fx, fy (canvas size wanted), ox, oy (offset), sx, sy (window size; both
 0 means the rest of the canvas), comps (component numbers; null or empty means all), round ('down', 'up', 'closest'),
 and image_id. Many queries over many images are one job: requests join images on image_id and everything else follows
-by arithmetic on the row, so no table of precincts is scanned.
+by arithmetic on the row, so no table of precincts is scanned. Components that are sampled alike need the same precincts
+of their own, so ranges are worked out once for each way of sampling.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.geometry import cdiv, reduced_size, sat
 
 
+def let(rows: DataFrame, **columns: str) -> DataFrame:
+    """Adds columns that later ones read many times. They come from a generator of one row, which Catalyst does not
+    inline, so each is worked out once and not wherever it is named."""
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    return rows.selectExpr("*", f"inline(array(named_struct({fields})))")
+
+
 def with_defaults(requests: DataFrame) -> DataFrame:
     """A missing canvas size means the full canvas (0), a missing window the whole of it, a missing rounding 'down'."""
     filled = requests
@@ -32,102 +42,117 @@ def discard_levels(asked: DataFrame) -> DataFrame:
     """Adds k, the number of resolutions left out. asked: requests joined with images."""
     w = lambda q: reduced_size("xsiz", "xosiz", q)
     h = lambda q: reduced_size("ysiz", "yosiz", q)
-    full = asked.selectExpr(
-        "*", f"if(fx = 0, {w('0')}, fx) AS _fx", f"if(fy = 0, {h('0')}, fy) AS _fy", "sequence(0, levels) AS _q"
-    )
-    return full.selectExpr(
-        "*",
-        f"""CASE round
+    full = asked.selectExpr("*", f"if(fx = 0, {w('0')}, fx) AS _fx", f"if(fy = 0, {h('0')}, fy) AS _fy", "sequence(0, levels) AS _q")
+    k = f"""CASE round
           WHEN 'up' THEN coalesce(array_max(filter(_q, q -> {w('q')} >= _fx AND {h('q')} >= _fy)), 0)
           WHEN 'closest' THEN array_min(transform(_q, q -> struct(abs({w('q')} * {h('q')} - _fx * _fy) AS d, q AS q))).q
-          ELSE coalesce(array_min(filter(_q, q -> {w('q')} <= _fx AND {h('q')} <= _fy)), levels) END AS k""",
-    ).drop("_fx", "_fy", "_q")
+          ELSE coalesce(array_min(filter(_q, q -> {w('q')} <= _fx AND {h('q')} <= _fy)), levels) END"""
+    return let(full, k=k).drop("_fx", "_fy", "_q")
 
 
 def canvas_boxes(asked: DataFrame) -> DataFrame:
     """Adds the window [ax, bx) x [ay, by) on the reference grid; windows that are empty there go."""
-    out = asked
+    ends = {}
     for axis, o, s in (("x", "ox", "sx"), ("y", "oy", "sy")):
-        out = out.withColumns(
-            {
-                f"a{axis}": F.expr(f"{o} * shiftleft(1L, k) + {axis}osiz"),
-                f"b{axis}": F.expr(
-                    f"if(sx = 0 AND sy = 0, {axis}siz, least(({o} + {s}) * shiftleft(1L, k) + {axis}osiz, {axis}siz))"
-                ),
-            }
-        )
-    return out.filter("ax < bx AND ay < by")
+        ends[f"a{axis}"] = f"{o} * shiftleft(1L, k) + {axis}osiz"
+        ends[f"b{axis}"] = f"if(sx = 0 AND sy = 0, {axis}siz, least(({o} + {s}) * shiftleft(1L, k) + {axis}osiz, {axis}siz))"
+    return let(asked, **ends).filter("ax < bx AND ay < by")
 
 
 def window_tiles(boxes: DataFrame) -> DataFrame:
     """One row per request and tile that its window meets, in tile order: t and the window clipped to it."""
-    span = boxes.selectExpr("*", f"{cdiv('xsiz - xtosiz', 'xtsiz')} AS tiles_x", f"{cdiv('ysiz - ytosiz', 'ytsiz')} AS tiles_y")
+    span = let(boxes, tiles_x=cdiv("xsiz - xtosiz", "xtsiz"), tiles_y=cdiv("ysiz - ytosiz", "ytsiz"))
+    ends = {}
     for axis in "xy":
-        span = span.withColumns(
-            {
-                f"t{axis}lo": F.expr(f"{sat(f'a{axis}', f'{axis}tosiz')} div {axis}tsiz"),
-                f"t{axis}hi": F.expr(f"least(tiles_{axis}, {cdiv(sat(f'b{axis}', f'{axis}tosiz'), f'{axis}tsiz')})"),
-            }
-        )
-    some = span.filter("txhi > txlo AND tyhi > tylo")
+        ends[f"t{axis}lo"] = f"{sat(f'a{axis}', f'{axis}tosiz')} div {axis}tsiz"
+        ends[f"t{axis}hi"] = f"least(tiles_{axis}, {cdiv(sat(f'b{axis}', f'{axis}tosiz'), f'{axis}tsiz')})"
+    some = let(span, **ends).filter("txhi > txlo AND tyhi > tylo")
     each = some.selectExpr("*", "explode(sequence(tylo, tyhi - 1)) AS ty").selectExpr("*", "explode(sequence(txlo, txhi - 1)) AS tx")
+    rect = {}
     for axis in "xy":
-        begin, end = f"{axis}tosiz + t{axis} * {axis}tsiz", f"{axis}tosiz + (t{axis} + 1) * {axis}tsiz"
-        each = each.withColumns(
-            {
-                f"t{axis}0": F.expr(f"greatest({begin}, {axis}osiz)"),
-                f"t{axis}1": F.expr(f"least({end}, {axis}siz)"),
-            }
-        ).withColumns({f"ca{axis}": F.expr(f"greatest(a{axis}, t{axis}0)"), f"cb{axis}": F.expr(f"least(b{axis}, t{axis}1)")})
-    return each.selectExpr("*", "ty * tiles_x + tx AS t").filter("cax < cbx AND cay < cby")
+        rect[f"t{axis}0"] = f"greatest({axis}tosiz + t{axis} * {axis}tsiz, {axis}osiz)"
+        rect[f"t{axis}1"] = f"least({axis}tosiz + (t{axis} + 1) * {axis}tsiz, {axis}siz)"
+    each = let(each, **rect)
+    clipped = {f"ca{axis}": f"greatest(a{axis}, t{axis}0)" for axis in "xy"} | {f"cb{axis}": f"least(b{axis}, t{axis}1)" for axis in "xy"}
+    return let(each, t="ty * tiles_x + tx", **clipped).filter("cax < cbx AND cay < cby")
+
+
+def sampling_classes(images: DataFrame) -> DataFrame:
+    """Images with comps replaced by comps_n and classes: each way of sampling, with the components cs that have it."""
+    cs = "filter(sequence(0, size(comps) - 1), c -> comps[c] = s)"
+    each = f"transform(array_distinct(comps), s -> named_struct('xr', s.xr, 'yr', s.yr, 'cs', {cs}))"
+    return images.selectExpr("*", "size(comps) AS comps_n", f"{each} AS classes").drop("comps")
 
 
-def precinct_ranges(of_tiles: DataFrame) -> DataFrame:
-    """One row per request, tile, component and resolution with the range of precinct columns and rows it needs.
+def class_ranges(of_tiles: DataFrame) -> DataFrame:
+    """One row per request, tile, way of sampling and resolution with the range of precinct columns and rows that each of
+    the components cs needs, and their number n_each.
 
     A window is widened on each resolution but the top one by what the synthesis filters reach: 8 samples, or 4 if reversible.
     """
-    by_comp = of_tiles.selectExpr("*", "posexplode(comps_of) AS (c, comp)")
-    by_comp = by_comp.filter("comps IS NULL OR size(comps) = 0 OR array_contains(comps, c)")
-    for axis, sub in (("x", "comp.xr"), ("y", "comp.yr")):
-        for end in "ab":
-            by_comp = by_comp.withColumn(f"tc{end}{axis}", F.expr(cdiv(f"c{end}{axis}", sub)))
-    by_res = by_comp.filter("tcax < tcbx AND tcay < tcby").selectExpr(
-        "*", "explode(sequence(0, if(k >= levels, 0, levels - k))) AS r"
+    by_class = of_tiles.selectExpr("*", "inline(classes)")
+    wanted = "if(comps IS NULL OR size(comps) = 0, cs, array_intersect(cs, comps))"
+    on_grid = {f"tc{end}{axis}": cdiv(f"c{end}{axis}", f"{axis}r") for axis in "xy" for end in "ab"}
+    on_grid |= {f"tt{end}{axis}": cdiv(f"t{axis}{end}", f"{axis}r") for axis in "xy" for end in "01"}
+    by_class = let(by_class, wanted=wanted, **on_grid).filter("size(wanted) > 0 AND tcax < tcbx AND tcay < tcby")
+    by_res = by_class.selectExpr("*", "explode(sequence(0, if(k >= levels, 0, levels - k))) AS r")
+    by_res = let(
+        by_res,
+        scale="shiftleft(1L, levels - r)",
+        margin="CASE WHEN r = levels THEN 0 WHEN reversible THEN 4 ELSE 8 END",
+        psx="shiftleft(1L, precincts[r].ppx)",
+        psy="shiftleft(1L, precincts[r].ppy)",
     )
-    by_res = by_res.selectExpr(
-        "*",
-        "shiftleft(1L, levels - r) AS scale",
-        "CASE WHEN r = levels THEN 0 WHEN reversible THEN 4 ELSE 8 END AS margin",
-        "shiftleft(1L, precincts[r].ppx) AS psx",
-        "shiftleft(1L, precincts[r].ppy) AS psy",
-    )
-    for axis, sub in (("x", "comp.xr"), ("y", "comp.yr")):
-        r0, r1 = (cdiv(cdiv(f"t{axis}{e}", sub), "scale") for e in "01")
-        by_res = by_res.withColumns(
-            {
-                f"off{axis}": F.expr(f"{r0} div ps{axis}"),
-                f"np{axis}": F.expr(f"if({r1} > {r0}, {cdiv(r1, f'ps{axis}')} - {r0} div ps{axis}, 0)"),
-                f"lo{axis}": F.expr(sat(f"tca{axis} div scale", "margin")),
-                f"hi{axis}": F.expr(f"{cdiv(f'tcb{axis}', 'scale')} + margin"),
-            }
-        ).withColumns(
-            {
-                f"p{axis}lo": F.expr(f"greatest(lo{axis} div ps{axis} - off{axis}, 0)"),
-                f"p{axis}hi": F.expr(f"least(np{axis}, {cdiv(f'hi{axis}', f'ps{axis}')} - off{axis})"),
-            }
-        )
-    return by_res.filter("pxhi > pxlo AND pyhi > pylo").selectExpr(
-        "req_id", "image_id", "t", "c", "r", "npx AS npw", "npy AS nph", "pxlo AS px_lo", "pxhi AS px_hi", "pylo AS py_lo",
-        "pyhi AS py_hi", "(pxhi - pxlo) * (pyhi - pylo) AS n_precincts", "tiles_x * tiles_y AS tiles_n", "size(comps_of) AS comps_n",
+    by_res = let(by_res, **{f"r{end}{axis}": cdiv(f"tt{end}{axis}", "scale") for axis in "xy" for end in "01"})
+    grid = {}
+    for axis in "xy":
+        grid[f"off{axis}"] = f"r0{axis} div ps{axis}"
+        grid[f"np{axis}"] = f"if(r1{axis} > r0{axis}, {cdiv(f'r1{axis}', f'ps{axis}')} - r0{axis} div ps{axis}, 0)"
+        grid[f"lo{axis}"] = sat(f"tca{axis} div scale", "margin")
+        grid[f"hi{axis}"] = f"{cdiv(f'tcb{axis}', 'scale')} + margin"
+    ends = {}
+    for axis in "xy":
+        ends[f"p{axis}_lo"] = f"greatest(lo{axis} div ps{axis} - off{axis}, 0)"
+        ends[f"p{axis}_hi"] = f"least(np{axis}, {cdiv(f'hi{axis}', f'ps{axis}')} - off{axis})"
+    found = let(let(by_res, **grid), **ends).filter("px_hi > px_lo AND py_hi > py_lo")
+    return found.selectExpr(
+        "req_id", "image_id", "t", "wanted AS cs", "r", "npx AS npw", "npy AS nph", "px_lo", "px_hi", "py_lo", "py_hi",
+        "(px_hi - px_lo) * (py_hi - py_lo) AS n_each", "tiles_x * tiles_y AS tiles_n", "comps_n",
     )
 
 
+def resolve_classes(requests: DataFrame, images: DataFrame) -> DataFrame:
+    """class_ranges of every request; requests that need nothing have no rows. Counting needs no more: sum n_each times
+    size(cs). The side that is joined is one row per image. Rows are dealt by request first: a request is small and
+    what follows from it is not, and sums by request then need no further exchange."""
+    asked = with_defaults(requests).repartition("req_id").join(sampling_classes(images), "image_id")
+    return class_ranges(window_tiles(canvas_boxes(discard_levels(asked))))
+
+
 def resolve(requests: DataFrame, images: DataFrame) -> DataFrame:
-    """precinct_ranges of every request; requests that need nothing have no rows. Counting needs no precinct rows: sum
-    n_precincts. The side that is joined is one row per image."""
-    asked = with_defaults(requests).join(images.withColumnRenamed("comps", "comps_of"), "image_id")
-    return precinct_ranges(window_tiles(canvas_boxes(discard_levels(asked))))
+    """The ranges of every request, one row per tile, component c and resolution, with their number n_precincts."""
+    found = resolve_classes(requests, images).selectExpr("*", "explode(cs) AS c", "n_each AS n_precincts")
+    return found.drop("cs", "n_each")
+
+
+def union_counts(ranges: DataFrame, by: list[str], part: str, parts: int) -> DataFrame:
+    """by..., n: how many precincts are in any of the ranges of `parts` parts (numbered from 0, one range each at most) of a
+    tile, component and resolution, by inclusion and exclusion of their rectangles; no precinct is listed."""
+    sides = ("px_lo", "px_hi", "py_lo", "py_hi")
+    wide = ranges.groupBy(*by).agg(*[F.max(F.when(F.col(part) == i, F.col(s))).alias(f"{s}{i}") for i in range(parts) for s in sides])
+    total = F.lit(0).cast("bigint")
+    for size in range(1, parts + 1):
+        for some in combinations(range(parts), size):
+            pick = lambda s: [F.col(f"{s}{i}") for i in some]  # noqa: E731, B023
+            hi, lo = (F.least, F.greatest) if size > 1 else (lambda x: x, lambda x: x)
+            wide_x = hi(*pick("px_hi")) - lo(*pick("px_lo"))
+            wide_y = hi(*pick("py_hi")) - lo(*pick("py_lo"))
+            there = F.lit(True)
+            for c in pick("px_lo"):
+                there = there & c.isNotNull()
+            area = F.when(there & (wide_x > 0) & (wide_y > 0), wide_x * wide_y).otherwise(0)
+            total = total + area if size % 2 else total - area
+    return wide.select(*by, total.alias("n"))
 
 
 def precinct_keys(ranges: DataFrame, of_resolutions: DataFrame) -> DataFrame:

@@ -42,8 +42,9 @@ def _levels(round_: str | None):
 
 
 def viewport_precincts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = view.resolve(order_requests(spark, sf_dir), canvas(spark))
-    return found.groupBy("req_id").agg(F.sum("n_precincts").alias("n"), F.max("r").cast("bigint").alias("top"))
+    found = view.resolve_classes(order_requests(spark, sf_dir), canvas(spark))
+    n = F.sum(F.col("n_each") * F.size("cs")).alias("n")
+    return found.groupBy("req_id").agg(n, F.max("r").cast("bigint").alias("top"))
 
 
 def viewport_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def viewport_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def viewport_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = view.with_defaults(order_requests(spark, sf_dir)).join(F.broadcast(canvas(spark, 500)).withColumnRenamed("comps", "comps_of"), "image_id")
+    asked = view.with_defaults(order_requests(spark, sf_dir)).join(F.broadcast(canvas(spark, 500)).drop("comps"), "image_id")
     found = view.window_tiles(view.canvas_boxes(view.discard_levels(asked)))
     return found.groupBy("req_id").agg(F.count("*").alias("n_tiles"), F.min("t").alias("first_tile"), F.max("t").alias("last_tile"))
 
@@ -64,25 +65,20 @@ def _gazes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cones(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = view.foveated_requests(_gazes(spark, sf_dir), 1920, 1920, 128, 240)
-    asked = asked.withColumn("req_id", F.col("req_id") * 4 + F.col("cone"))
-    found = view.resolve(asked, canvas(spark))
-    return found.withColumns({"cone": F.col("req_id") % 4, "req_id": F.expr("req_id div 4")})
+    asked = asked.withColumn("req_id", F.struct("req_id", "cone")).drop("cone")
+    found = view.resolve_classes(asked, canvas(spark))
+    return found.withColumns({"cone": F.col("req_id.cone"), "req_id": F.col("req_id.req_id")})
 
 
 def foveated_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct precincts of the three cones per gaze. Cones overlap in rectangles of one resolution, so the union is
-    counted from the rectangles' columns, without listing precincts."""
-    cones = _cones(spark, sf_dir)
-    column = cones.selectExpr("req_id", "t", "c", "r", "py_lo", "py_hi", "explode(sequence(px_lo, px_hi - 1)) AS px")
-    # at most three intervals in a column: their union, by the ends sorted
-    ranges = column.groupBy("req_id", "t", "c", "r", "px").agg(F.sort_array(F.collect_list(F.struct("py_lo", "py_hi"))).alias("v"))
-    length = """aggregate(v, named_struct('n', 0L, 'end', -1L), (a, x) -> named_struct(
-      'n', a.n + greatest(x.py_hi - greatest(x.py_lo, a.end), 0L), 'end', greatest(a.end, x.py_hi)), a -> a.n)"""
-    return ranges.groupBy("req_id").agg(F.sum(F.expr(length)).alias("n"))
+    counted from the rectangles, without listing precincts."""
+    found = view.union_counts(_cones(spark, sf_dir), ["req_id", "t", "cs", "r"], "cone", 3)
+    return found.groupBy("req_id").agg(F.sum(F.col("n") * F.size("cs")).alias("n"))
 
 
 def foveation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cones = _cones(spark, sf_dir).groupBy("req_id", "cone").agg(F.sum("n_precincts").alias("n"))
+    cones = _cones(spark, sf_dir).groupBy("req_id", "cone").agg(F.sum(F.col("n_each") * F.size("cs")).alias("n"))
     return cones.groupBy("cone").agg(
         F.count("*").alias("gazes"), F.sum("n").alias("precincts"), F.expr("sum(n) div count(*)").alias("mean_precincts"),
         F.max("n").alias("most"), F.round(F.sum("n") * 100.0 / (F.count("*") * 3630), 6).alias("percent_of_all"),
