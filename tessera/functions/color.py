@@ -116,6 +116,12 @@ def chroma_index(x: Column, chroma_width: Column, width: Column) -> Column:
     return F.floor(x * chroma_width / width).cast("bigint")
 
 
+def upsampled(chroma: Column, width: Column) -> Column:
+    """A row of chroma samples drawn out to a row's width: each luma position gets the one that stands for it."""
+    at = lambda i: F.get(chroma, chroma_index(i, F.size(chroma), width).cast("int"))
+    return F.transform(F.sequence(F.lit(0), width - 1), at)
+
+
 def chroma_format(xr: Column, yr: Column) -> Column:
     return F.when((xr == 1) & (yr == 1), "444").when((xr == 2) & (yr == 1), "422").when((xr == 2) & (yr == 2), "420")
 

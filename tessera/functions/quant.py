@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -71,13 +72,37 @@ def daly(f: Column, luminance: float = 100.0, eps: float = 0.9) -> Column:
     return a * eps * f * F.exp(-x) * F.sqrt(1 + 0.06 * F.exp(x))
 
 
-def luma_weight(f: Column, model: str, spark: SparkSession) -> Column:
-    """Sensitivity at a frequency, 1 up to the model's peak; the peak is found by a scan over 0.002 to 200."""
-    curve = {"mannos": mannos_sakrison, "daly": daly}[model]
-    grid = spark.range(1, 100_000).select((F.col("id") * 0.002).alias("f")).select("f", curve(F.col("f")).alias("h"))
-    peak, top = grid.agg(F.max_by("f", "h"), F.max("h")).first()
-    w = curve(f) / top
-    return F.when(f <= peak, 1.0).otherwise(F.when(w > 0, w).otherwise(1e-300))
+def _peak(curve) -> tuple[float, float]:
+    """Where a curve of one peak between 0 and 100 is highest, and how high: golden-section search on plain numbers."""
+    lo, hi, g = 0.0, 100.0, (math.sqrt(5) - 1) / 2
+    while hi - lo > 1e-9:
+        a, b = hi - g * (hi - lo), lo + g * (hi - lo)
+        lo, hi = (lo, b) if curve(a) > curve(b) else (a, hi)
+    return lo, curve(lo)
+
+
+def _plain(model: str, f: float) -> float:
+    if model == "mannos":
+        return 2.6 * (0.0192 + 0.114 * f) * math.exp(-((0.114 * f) ** 1.1))
+    a, b = 0.801 * (1 + 0.7 / 100.0) ** -0.2, 0.3 * (1 + 100 / 100.0) ** 0.15
+    x = b * 0.9 * f
+    return a * 0.9 * f * math.exp(-x) * math.sqrt(1 + 0.06 * math.exp(x))
+
+
+def luma_weight(f: Column, model: str) -> Column:
+    """Sensitivity at a frequency as a part of the model's greatest, 1 up to where that is; null where it is too small for
+    a number."""
+    peak, top = _peak(lambda x: _plain(model, x))
+    w = {"mannos": mannos_sakrison, "daly": daly}[model](f) / top
+    return F.when(f <= peak, 1.0).when(w > 0, w)
+
+
+def band_frequencies(level: Column, sx: float = 1.0, sy: float = 1.0, per_degree: float = 72.0, zoom: float = 1.0) -> dict[str, Column]:
+    """Cycles a degree in the middle of each band of a level (1: finest) of a component sampled every sx by sy: half the
+    samples a degree, halved with each level, at the octave's geometric mean."""
+    middle = F.pow(F.lit(2.0), 0.5 - level) * (per_degree / zoom / 2)
+    x, y = middle / sx, middle / sy
+    return {"HH": F.sqrt(x * x + y * y), "LH": y, "HL": x}
 
 
 def chroma_weight(f: Column, component: str) -> Column:
@@ -127,13 +152,20 @@ def estimate_q(observed: DataFrame, by: list[str], component: str, depth: int, l
     observed: by..., band, eps, mu. The least factor wins a tie. verdict: exact up to 0.05 per band, near up to 0.25, else other.
     """
     spark = observed.sparkSession
-    model = bands(spark, levels, component, chroma_format).crossJoin(spark.range(1, 101).withColumnRenamed("id", "q"))
-    model = steps(model, "q", component, depth).select("band", "q", F.log2(unpack_step(F.col("eps"), F.col("mu"))).alias("want"))
-    seen = observed.withColumn("have", F.log2(unpack_step(F.col("eps"), F.col("mu"))))
-    d = F.col("have") - F.col("want")
-    # 100 factors a band at most, 97 bands: a table of fixed size
-    sums = seen.join(F.broadcast(model), "band").groupBy(*by, "q").agg(F.round(F.sum(d * d), 9).alias("residual"), F.count("*").alias("n"))
-    best = sums.groupBy(*by).agg(F.min(F.struct("residual", "q", "n")).alias("b")).select(*by, "b.q", "b.residual", "b.n")
+    # 100 factors a band at most, 97 bands: a table of fixed size, which goes into the plan as a constant
+    model = steps(bands(spark, levels, component, chroma_format).withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(100)))), "q", component, depth)
+    rows = model.select("q", "band", F.log2(unpack_step(F.col("eps"), F.col("mu"))).alias("want")).orderBy("q", "band").collect()
+    count = len(rows) // 100
+    table = json.dumps([[r["want"] for r in rows[i * count : (i + 1) * count]] for i in range(100)])
+    want = F.from_json(F.lit(table), "array<array<double>>")
+    have = F.struct("band", F.log2(unpack_step(F.col("eps"), F.col("mu"))).alias("have"))
+    seen = observed.filter((F.col("band") >= 0) & (F.col("band") < count)).groupBy(*by).agg(F.sort_array(F.collect_list(have)).alias("_b"))
+
+    def residual(w: Column) -> Column:
+        return F.round(F.aggregate("_b", F.lit(0.0), lambda s, x: s + F.pow(x["have"] - F.get(w, x["band"]), F.lit(2))), 9)
+
+    each = F.transform(want, lambda w, i: F.struct(residual(w).alias("residual"), (i + 1).alias("q")))
+    best = seen.select(*by, F.array_min(each).alias("b"), F.size("_b").alias("n")).select(*by, "b.q", "b.residual", "n")
     per_band = F.sqrt(F.col("residual") / F.col("n"))
     verdict = F.when(per_band <= 0.05, "exact").when(per_band <= 0.25, "near").otherwise("other")
     return best.select(*by, "q", "residual", per_band.alias("per_band"), verdict.alias("verdict"))
@@ -154,6 +186,39 @@ def dequantize(v: Column, step: Column, reconstruct: float = 0.5) -> Column:
     return F.when(v > 0, (v + reconstruct) * step).when(v < 0, (v - reconstruct) * step).otherwise(0.0)
 
 
+def block_coefficient(bits31: Column, negative: Column, missing: Column, magnitude_bits: int, roi: int, reversible: bool, step: Column | None = None) -> Column:
+    """A coefficient from the 31 bits of a decoded block, whose upper magnitude_bits are the band's.
+
+    Of a region-of-interest shift `roi`, what lies below the band's bits is background and is shifted up again; no planes
+    count as missing then. A value other than 0 with missing planes gets the middle of what they could hold. Reversible: the
+    whole part. Else: the middle of the interval in any case, rounded to 16 bits, times the step with 13 fraction bits.
+    """
+    below = 31 - magnitude_bits
+    v = bits31.cast("bigint")
+    if roi:
+        v = F.when(v < 1 << below, F.shiftleft(v, roi)).otherwise(v)
+        missing = F.lit(0)
+    one = F.lit(1).cast("bigint")
+    if reversible:
+        middle = F.when(missing > 0, one * F.pow(F.lit(2.0), F.lit(below - 1) + missing).cast("bigint")).otherwise(0)
+        whole = F.shiftright(F.when(v != 0, v.bitwiseOR(middle)).otherwise(v), below)
+    else:
+        middle = F.pow(F.lit(2.0), F.lit(below - 1) + F.greatest(missing, F.lit(0))).cast("bigint")
+        v = F.when(v != 0, v.bitwiseOR(middle)).otherwise(v)
+        scale = F.floor(step * F.pow(F.lit(2.0), F.lit(13 - below + 31)) + 0.5).cast("bigint")
+        whole = F.shiftright(F.shiftright(v + (1 << 15), 16) * scale + (1 << 14), 15)
+    return F.when(negative, -whole).otherwise(whole)
+
+
+def block_coefficient_ht(bits31: Column, negative: Column, magnitude_bits: int, reversible: bool, step: Column | None = None) -> Column:
+    """The same for a high-throughput block without a region of interest: no middle is added; lossy values are a real
+    product of the bits, the step and 13 fraction bits."""
+    below = 31 - magnitude_bits
+    v = bits31.cast("bigint")
+    out = F.shiftright(v, below) if reversible else v * step * 2.0 ** (13 - below)
+    return F.when(negative, -out).otherwise(out)
+
+
 def roi_unshift(v: Column, shift: Column, magnitude_bits: Column) -> Column:
     """Undoes the max-shift of a region of interest: magnitudes over the band's bits were shifted up."""
     big = F.abs(v) >= F.pow(F.lit(2.0), magnitude_bits)

@@ -156,3 +156,8 @@ def tag_tree(leaves: DataFrame, by: list[str], x: str, y: str, value: str, level
         now = now.groupBy(*by, F.floor(F.col(x) / 2).alias(x), F.floor(F.col(y) / 2).alias(y)).agg(F.min(value).alias(value)).withColumn("k", F.lit(k))
         out = out.unionByName(now)
     return out
+
+
+def all_zero(row: Column) -> Column:
+    """Whether all samples of a row are 0; a plane of such rows needs no synthesis."""
+    return F.forall(row, lambda v: v == 0)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,10 +132,54 @@ def lru_victims(used: DataFrame, by: list[str], item: str, at: str) -> DataFrame
 
 
 def lru_kept(touches: DataFrame, by: list[str], item: str, at: str, size: str, budget: int) -> DataFrame:
-    """The items that remain when the oldest go until the rest fits the budget: by..., item, bytes, last_touch."""
-    last = touches.groupBy(*by, item).agg(F.max(at).alias("last_touch"), F.max_by(size, at).alias("bytes"))
-    newest = Window.partitionBy(*by).orderBy(F.desc("last_touch"), item).rowsBetween(Window.unboundedPreceding, 0)
-    return last.withColumn("_sum", F.sum("bytes").over(newest)).filter(F.col("_sum") <= budget).drop("_sum")
+    """by..., item, bytes, last_touch of what each cache holds after its touches in order of `at`.
+
+    A touch makes an item the newest, with the size of that touch; then the oldest go until the rest fits the budget.
+    Sizes may change, so what was pushed out depends on the order: each cache is one fold over its touches, which pass in
+    order and are not held; what it holds is bounded by the budget. Equal `at` are taken in order of the item.
+    """
+    names = [*by, item, at, size]
+    rows = touches.select(*names).repartition(*by).sortWithinPartitions(*by, at, item)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict = OrderedDict()
+        now, total = None, 0
+
+        def out() -> pa.RecordBatch:
+            last = [(*now, i, n, t) for i, (n, t) in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in last], t) for k, t in enumerate(arrow)], names=[*by, item, "bytes", "last_touch"])
+
+        for batch in batches:
+            arrow = [batch.schema.field(c).type for c in [*by, item, size, at]]
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                key, (i, t, n) = row[: len(by)], row[len(by) :]
+                if key != now:
+                    if held:
+                        yield out()
+                    held, now, total = OrderedDict(), key, 0
+                total += n - held.pop(i, (0, None))[0]
+                held[i] = (n, t)
+                while total > budget and held:
+                    total -= held.popitem(last=False)[1][0]
+        if held:
+            yield out()
+
+    fields = ", ".join(f"`{c}` {types[c]}" for c in [*by, item]) + f", bytes {types[size]}, last_touch {types[at]}"
+    return rows.mapInArrow(fold, fields)
+
+
+def committed(holdings: DataFrame, sent: DataFrame, keys: list[str]) -> DataFrame:
+    """What a session's client holds once a response is out: of each bin the longer of what it held and what was sent. Both
+    have keys..., bytes, complete. Responses are made from the holdings as they were, and committed when they are out."""
+    columns = [*keys, "bytes", "complete"]
+    return merge_bins(holdings.select(*columns).unionByName(sent.select(*columns)), keys)
+
+
+def with_headers(bins: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The bins, and of the other set the headers only; both have keys..., class, bytes, complete."""
+    both = bins.unionByName(headers_only(other).select(*bins.columns))
+    return merge_bins(both, [*keys, "class"])
 
 
 def headers_only(bins: DataFrame) -> DataFrame:

@@ -99,3 +99,8 @@ def pacing(frames: DataFrame, by: list[str], at: str, ts: str) -> DataFrame:
     """Adds due: seconds after its stream's first frame at which a frame is to be shown."""
     w = Window.partitionBy(*by).orderBy(at)
     return frames.withColumn("due", tick_difference(F.col(ts), F.first(ts).over(w)) / 90000.0)
+
+
+def first_frames(frames: DataFrame, by: list[str], at: str, most: int) -> DataFrame:
+    """The first `most` frames of each stream: where a receiver stops."""
+    return frames.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(at))).filter(F.col("_n") <= most).drop("_n")

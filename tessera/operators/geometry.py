@@ -56,6 +56,40 @@ def resolutions(of_tiles: DataFrame) -> DataFrame:
     return grid.withColumn("s_offset", F.coalesce(F.sum(F.expr("npw * nph")).over(lower), F.lit(0)))
 
 
+def subbands(of_resolutions: DataFrame) -> DataFrame:
+    """One row per subband of each resolution: band (LL, or HL LH HH above the lowest), its rectangle [bx0, bx1) x
+    [by0, by1), and the exponents of precincts and, given columns cbw and cbh, code-blocks in it."""
+    xo = "if(band IN ('HL', 'HH'), 1, 0)"
+    yo = "if(band IN ('LH', 'HH'), 1, 0)"
+    each = of_resolutions.selectExpr("*", "explode(if(r = 0, array('LL'), array('HL', 'LH', 'HH'))) AS band")
+    each = each.selectExpr("*", "if(r = 0, levels, levels - r + 1) AS nb", f"{xo} AS xob", f"{yo} AS yob", "if(r = 0, 0, 1) AS half")
+    ends = []
+    for axis, sub in (("x", "comp.xr"), ("y", "comp.yr")):
+        for end in "01":
+            inner = f"({cdiv(f't{axis}{end}', sub)} - if(nb > 0, shiftleft(1L, nb - 1) * {axis}ob, 0L))"
+            ends.append(f"greatest({inner} + shiftleft(1L, nb) - 1, 0) div shiftleft(1L, nb) AS b{axis}{end}")
+    return each.selectExpr("*", *ends, "precincts[r].ppx - half AS bpx", "precincts[r].ppy - half AS bpy")
+
+
+def code_blocks(of_subbands: DataFrame) -> DataFrame:
+    """One row per subband and precinct (p): its code-blocks' grid ncbw x ncbh. A code-block is no larger than the
+    precinct's part of the band. of_subbands: subbands() with columns cbw and cbh, exponents."""
+    some = of_subbands.filter("npw * nph > 0").selectExpr("*", "explode(sequence(0L, npw * nph - 1)) AS p")
+    ends = []
+    for axis, at, n in (("x", "p % npw", "w"), ("y", "p div npw", "h")):
+        first = f"(tr{axis}0 div p{n}) + {at}"
+        ends += [f"greatest(b{axis}0, ({first}) * shiftleft(1L, bp{axis})) AS c{axis}0", f"least(b{axis}1, ({first} + 1) * shiftleft(1L, bp{axis})) AS c{axis}1"]
+    cut = some.selectExpr("*", *ends, "least(cbw, bpx) AS ecw", "least(cbh, bpy) AS ech")
+    count = lambda a, e: f"if(c{a}1 > c{a}0, ((c{a}1 + shiftleft(1L, {e}) - 1) div shiftleft(1L, {e})) - c{a}0 div shiftleft(1L, {e}), 0)"
+    grid = cut.selectExpr("*", f"{count('x', 'ecw')} AS ncbw", f"{count('y', 'ech')} AS ncbh")
+    return grid.withColumns({c: F.expr(f"if(ncbw * ncbh = 0, 0, {c})") for c in ("ncbw", "ncbh")})
+
+
+def smallest_precinct(images: DataFrame) -> DataFrame:
+    """image_id, ppx, ppy: the least exponents over all resolutions."""
+    return images.selectExpr("image_id", "array_min(transform(precincts, p -> p.ppx)) AS ppx", "array_min(transform(precincts, p -> p.ppy)) AS ppy")
+
+
 def precincts(of_resolutions: DataFrame) -> DataFrame:
     """One row per precinct: p (row-major), px, py, its sequence number s in the tile-component, and its id
     I = t + (c + s * components) * tiles."""

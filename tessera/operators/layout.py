@@ -27,16 +27,33 @@ def absolute_offsets(offsets: DataFrame, tile_parts: DataFrame, by: list[str], o
 
 def precinct_payload(packets: DataFrame, keys: list[str], order: str = "layer", payload: str = "payload") -> DataFrame:
     """Each precinct's packets, one after the other: keys..., ranges [(offset, length)], payload."""
-    listed = F.array_sort(F.collect_list(F.struct(order, "offset", "length", payload)))
-    held = packets.groupBy(*keys).agg(listed.alias("_l"))
-    joined = F.aggregate("_l", F.lit(b""), lambda a, x: F.concat(a, x[payload]))
+    listed = F.array_sort(F.collect_list(F.struct(order, "offset", "length")))
+    joined = F.expr(f"listagg({payload}, x'') WITHIN GROUP (ORDER BY {order}, offset, length)")
+    held = packets.groupBy(*keys).agg(listed.alias("_l"), F.coalesce(joined, F.lit(b"")).alias("payload"))
     ranges = F.transform("_l", lambda x: F.struct(x["offset"].alias("offset"), x["length"].alias("length")))
-    return held.select(*keys, ranges.alias("ranges"), joined.alias("payload"))
+    return held.select(*keys, ranges.alias("ranges"), "payload")
 
 
 def reassemble(grid: DataFrame, bins: DataFrame, keys: list[str], by: list[str], order: list[str], payload: str = "payload") -> DataFrame:
     """by..., body: the tile's packets in order, a zero byte (an empty packet) for each one that is not at hand."""
     present = bins.select(*keys, F.col(payload).alias("_p"))
     filled = grid.join(present, keys, "left").withColumn("_p", F.coalesce("_p", F.lit(b"\x00")))
-    listed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), "_p")))
-    return filled.groupBy(*by).agg(F.aggregate(listed, F.lit(b""), lambda a, x: F.concat(a, x["_p"])).alias("body"))
+    return filled.groupBy(*by).agg(F.expr(f"listagg(_p, x'') WITHIN GROUP (ORDER BY {', '.join(order)})").alias("body"))
+
+
+def bytes_by(packets: DataFrame, by: list[str], length: str = "length") -> DataFrame:
+    """by..., packets, bytes: what a tile, or a codestream, takes."""
+    return packets.groupBy(*by).agg(F.count("*").alias("packets"), F.sum(length).alias("bytes"))
+
+
+def pass_starts(passes: DataFrame, by: list[str], layer: str, count: str) -> DataFrame:
+    """Adds start: how many coding passes of a block (by) the layers before this one hold."""
+    earlier = Window.partitionBy(*by).orderBy(layer).rowsBetween(Window.unboundedPreceding, -1)
+    return passes.withColumn("start", F.coalesce(F.sum(count).over(earlier), F.lit(0)))
+
+
+def wanted_packets(packets: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """All packets, those of precincts that are not wanted without a body, so that headers stay in step: length 0, dropped."""
+    flag = wanted.select(*keys).distinct().withColumn("_w", F.lit(True))
+    joined = packets.join(flag, keys, "left").withColumn("dropped", F.col("_w").isNull())
+    return joined.withColumn("length", F.when(F.col("dropped"), F.lit(0)).otherwise(F.col("length"))).drop("_w")

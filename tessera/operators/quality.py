@@ -28,7 +28,7 @@ def order_statistics(values: DataFrame, by: list[str], value: str, at: dict[str,
     rows = values.select(*by, F.col(value).alias("_v")).filter("_v is not null")
     spread = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / BINS)
-    binned = rows.join(F.broadcast(spread), by).withColumn(
+    binned = rows.join(spread, by).withColumn(
         "_bin", F.coalesce(F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BINS - 1)), F.lit(0))
     )
     counts = binned.groupBy(*by, "n", "_bin").agg(F.count("*").alias("_c"))
@@ -37,7 +37,7 @@ def order_statistics(values: DataFrame, by: list[str], value: str, at: dict[str,
     placed = counts.withColumn("_before", F.coalesce(upto, F.lit(0))).withColumn("_want", F.explode(wanted))
     placed = placed.filter("_want.i >= _before and _want.i < _before + _c")
     needed = placed.select(*by, "n", "_bin", "_before", "_want.name", "_want.i")
-    inside = binned.join(F.broadcast(needed.select(*by, "_bin").distinct()), [*by, "_bin"])
+    inside = binned.join(needed.select(*by, "_bin").distinct(), [*by, "_bin"])
     inside = inside.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_v")) - 1)
     found = inside.select(*by, "_bin", "_k", "_v").join(needed, [*by, "_bin"]).filter("_before + _k = i")
     return found.groupBy(*by, "n").pivot("name", list(at)).agg(F.first("_v"))

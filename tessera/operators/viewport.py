@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.geometry import cdiv, reduced_size, sat
@@ -167,6 +167,17 @@ def precinct_keys(ranges: DataFrame, of_resolutions: DataFrame) -> DataFrame:
     )
 
 
+def in_order(keys: DataFrame) -> DataFrame:
+    """Adds place: the precincts of each request from the least id (I) up, as they are sent."""
+    return keys.withColumn("place", F.row_number().over(Window.partitionBy("req_id").orderBy("I")) - 1)
+
+
+def tiles_in_order(keys: DataFrame) -> DataFrame:
+    """(req_id, t, place): each request's tiles, once each, in the order in which its precincts first name them."""
+    first = keys.groupBy("req_id", "t").agg(F.min("I").alias("_i"))
+    return first.select("req_id", "t", (F.row_number().over(Window.partitionBy("req_id").orderBy("_i")) - 1).alias("place"))
+
+
 def foveated_requests(gazes: DataFrame, width: int, height: int, fovea: int, parafovea: int, ratios=(1.0, 0.5, 0.125)) -> DataFrame:
     """Three windows per gaze (req_id, gx, gy): the fovea at full size, the parafovea at a smaller one, and the whole image
     at the smallest."""

@@ -166,9 +166,16 @@ SELECT source, count(*) FILTER (is_last AND sent = msg_length) AS whole_bins, su
     "vbas_length": f"SELECT doc_id, {_VBAS.format(v='n_chars')}::BIGINT AS length_bytes, ({_BIN_ID.format(v='doc_id')})::BIGINT AS id_bytes FROM documents",
     "lru_victims": """WITH u AS (SELECT event_type, user_id, max(event_id) AS seen FROM events GROUP BY ALL)
 SELECT event_type, arg_min(user_id, seen) AS victim FROM u GROUP BY event_type""",
-    "lru_budget": f"""WITH u AS (SELECT user_id, event_id % 97 AS item, max(event_id) AS last_touch, arg_max(1 + event_id % 1400, event_id) AS bytes FROM events GROUP BY ALL),
-s AS (SELECT *, sum(bytes) OVER (PARTITION BY user_id ORDER BY last_touch DESC, item ROWS UNBOUNDED PRECEDING) AS total FROM u)
-SELECT user_id, item, last_touch, bytes FROM s WHERE total <= {LRU_BUDGET}""",
+    "lru_budget": f"""WITH RECURSIVE e AS (
+  SELECT user_id, event_id, event_id % 97 AS item, 1 + event_id % 1400 AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+), f AS (
+  SELECT user_id, 0::BIGINT AS n, []::STRUCT(item BIGINT, bytes BIGINT, seen BIGINT)[] AS held FROM e WHERE n = 1
+  UNION ALL
+  SELECT g.user_id, g.n, list_filter(g.held, lambda x, i: list_sum(list_transform(g.held[i:], lambda y: y.bytes)) <= {LRU_BUDGET}) FROM (
+    SELECT e.user_id, e.n, list_append(list_filter(f.held, lambda x: x.item <> e.item), {{'item': e.item, 'bytes': e.bytes, 'seen': e.event_id}}) AS held
+    FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) g
+), last AS (SELECT user_id, max(n) AS n FROM e GROUP BY user_id)
+SELECT user_id, h.item, h.seen AS last_touch, h.bytes FROM (SELECT f.user_id, unnest(f.held) AS h FROM f JOIN last ON last.user_id = f.user_id AND last.n = f.n)""",
     "zero_fill_reassembly": f"""WITH {_HELD}, g AS (SELECT s_suppkey AS client, i.range AS id FROM supplier, range(3630) i)
 SELECT g.client, count(*) AS packets, count(h.client) AS present, sum(coalesce(h.bytes, 1))::BIGINT AS bytes
 FROM g LEFT JOIN h ON h.client = g.client AND h.id = g.id GROUP BY g.client""",

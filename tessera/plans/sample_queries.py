@@ -61,11 +61,9 @@ def matrix_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chroma_upsample_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every luma sample with the chroma sample that stands for it: 64 luma samples a row, 32 chroma samples."""
-    rows = _samples(spark, sf_dir)
-    luma = rows.select("vec_id", F.posexplode("v").alias("x", "luma"))
-    chroma = rows.select("vec_id", F.posexplode(F.slice("v", 1, 32)).alias("cx", "chroma"))
-    placed = luma.withColumn("cx", color.chroma_index(F.col("x"), F.lit(32), F.lit(64)).cast("int"))
-    return placed.join(chroma, ["vec_id", "cx"]).select("vec_id", F.col("x").cast("bigint").alias("x"), *_named((F.col("luma"), F.col("chroma")), ("luma", "chroma")))
+    chroma = color.upsampled(F.slice("v", 1, 32), F.size("v"))
+    each = _samples(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip("v", chroma.alias("c"))).alias("x", "s"))
+    return each.select("vec_id", F.col("x").cast("bigint").alias("x"), *_named((F.col("s.v"), F.col("s.c")), ("luma", "chroma")))
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
