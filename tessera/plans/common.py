@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 GEOMETRY = "image_id bigint, xsiz bigint, ysiz bigint, xosiz bigint, yosiz bigint, xtsiz bigint, ytsiz bigint, xtosiz bigint, ytosiz bigint, levels int, reversible boolean, comps array<struct<xr: int, yr: int>>, precincts array<struct<ppx: int, ppy: int>>"
@@ -11,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if they are one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tessera-")
+
+
 def canvas(spark: SparkSession, tile: int = 1920) -> DataFrame:
     """One image of 1920 x 1920 samples, three components, five levels, precincts of 64 x 64, 9/7 filters."""
     return spark.range(1).selectExpr(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.viewport import discard_levels, with_defaults
 from tessera.plans import stream_queries
-from tessera.plans.common import REQUESTS_SQL, canvas, order_requests, part_images, table
+from tessera.plans.common import REQUESTS_SQL, canvas, order_requests, part_images, shared_dir, table
 from tessera.sources import codestream, jpp, requests, rtp
-from tessera.streaming.frames import assemble_stream
+from tessera.streaming.frames import assemble_stream, message_stream
 
 
 def rtp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,24 +62,43 @@ def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_assembly_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames of frame_assembly, by a streaming query over the packets in files; open frames are not closed by it."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessera-streams"
-    at = f"{base}/frames-{uuid.uuid4().hex}"
     packets = stream_queries.event_packets(spark, sf_dir)
-    packets.repartitionByRange(4, "arrival").sortWithinPartitions("arrival").write.parquet(f"{at}/in")
-    source = spark.readStream.schema(packets.schema).parquet(f"{at}/in")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        query = assemble_stream(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
-        query.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.parquet(f"{at}/out").withColumn("meta_arrival", F.coalesce("meta_arrival", F.lit(-1)))
+    found = in_steps(packets, assemble_stream, "arrival", "frames")
+    return found.withColumn("meta_arrival", F.coalesce("meta_arrival", F.lit(-1)))
+
+
+def in_steps(rows: DataFrame, stream, order: str, name: str, steps: int = 4) -> DataFrame:
+    """What a streaming query gives for rows that come in so many files one after the other, each a micro-batch of its own,
+    so that state is carried from each to the next. The files are in the folder that driver and executors share."""
+    spark = rows.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    width = ((hi or 0) - (lo or 0)) // steps + 1
+    for k in range(steps):
+        rows.filter(F.expr(f"({order} - {lo or 0}) div {width} = {k}")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    own = spark.newSession()  # so that the caller's settings stay as they are
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    source = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    query = stream(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+def jpp_resumed_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams of jpp_parse in pieces of 700 bytes, which come in four micro-batches and cut messages anywhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("class"), F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("payload"))
+    whole = jpp.emit(docs, ["doc_id"], "id").withColumn("k", F.explode(F.expr("sequence(0, (octet_length(bytes) - 1) div 700)")))
+    cut = F.substring("bytes", F.col("k") * 700 + 1, F.lit(700)).alias("bytes")
+    pieces = whole.select(F.col("doc_id").alias("stream_id"), F.col("k").cast("bigint").alias("arrival"), cut)
+    found = in_steps(pieces, message_stream, "arrival", "messages")
+    return found.groupBy(F.col("stream_id").alias("doc_id")).agg(
+        F.count_if(F.col("eor").isNull()).alias("messages"), F.sum(F.when(F.col("eor").isNull(), F.col("msg_length"))).alias("bytes"),
+        F.max("eor").cast("bigint").alias("eor"), F.count_if("is_last").alias("last"),
+    )
 
 
-QUERIES = {f.__name__: f for f in (rtp_parse, jpp_parse, marker_parse, request_parse, frame_assembly_streaming)}
+QUERIES = {f.__name__: f for f in (rtp_parse, jpp_parse, marker_parse, request_parse, frame_assembly_streaming, jpp_resumed_streaming)}
 
 ORACLE_SQL = {
     "rtp_parse": """WITH e AS (SELECT *, event_id % 19 = 0 AS cut FROM events)
@@ -85,6 +106,8 @@ SELECT event_id, CASE WHEN cut THEN 'overrun' ELSE '' END AS reject, event_id %
   event_id % 5 = 0 AS main, event_id % 5 = 0 AND event_type = 'view' AS r, event_id % 256 AS eseq, CASE WHEN cut THEN 0 ELSE event_id % 50 END AS length FROM e""",
     "jpp_parse": """WITH d AS (SELECT doc_id, strlen(text) AS n FROM documents)
 SELECT doc_id, greatest(1, (n + 986) // 987) AS messages, n AS bytes, 2::BIGINT AS eor, 1::BIGINT AS last FROM d""",
+    "jpp_resumed_streaming": """WITH d AS (SELECT doc_id, strlen(text) AS n FROM documents)
+SELECT doc_id, greatest(1, (n + 986) // 987) AS messages, n AS bytes, 2::BIGINT AS eor, 2::BIGINT AS last FROM d""",
     "marker_parse": """SELECT p_partkey AS image_id, 256 + 64 * p_size::BIGINT AS xsiz, 256 + 48 * (p_partkey % 32) AS ysiz, p_partkey % 6 AS levels, p_partkey % 2 = 1 AS reversible,
   3::BIGINT AS comps, p_partkey % 6 + 1 AS resolutions, 6::BIGINT AS ppx FROM part""",
     "request_parse": f"WITH {REQUESTS_SQL} SELECT req_id, ox, oy, sx, k FROM kk",

@@ -9,10 +9,13 @@ from __future__ import annotations
 import glob
 import os
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, c int, y int, row array<int>"
@@ -57,6 +60,35 @@ def write_pgx(plane: np.ndarray, depth: int = 8, signed: bool = False) -> bytes:
     return b"PG ML %s %d %d %d\n" % (b"-" if signed else b"+", depth, width, height) + plane.astype(kind).tobytes()
 
 
+def _lines(kind: str):
+    parse = {"pnm": read_pnm, "pgx": read_pgx}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                try:
+                    planes, error = parse(content.as_py() or b""), None
+                except ValueError as e:
+                    planes, error = [], str(e)
+                rows = [(c, y, line) for c, plane in enumerate(planes) for y, line in enumerate(plane)]
+                rows += [(None, None, None)] * (error is not None)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path.as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                        pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([error] * len(rows), pa.string()),
+                    ],
+                    names=["path", "c", "y", "row", "error"],
+                )
+
+    return run
+
+
+def image_lines(files: DataFrame, kind: str) -> DataFrame:
+    """(path, c, y, row, error) of images in any store that Spark reads. files: path and content, as from its format
+    "binaryFile"; kind: "pnm" or "pgx". A file that is no such image has one row, with the error."""
+    return files.select("path", "content").mapInArrow(_lines(kind), f"{SCHEMA}, error string")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -81,29 +113,61 @@ class _Reader(DataSourceReader):
                 yield partition.path, c, y, row.tolist()
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
 class _Writer(DataSourceWriter):
-    """Writes the images of a partition; repartition by path first, so that an image's lines are in one."""
+    """Writes the images of a partition to a folder that driver and executors share; repartition by path first, so that an
+    image's lines are in one. Lines may come in any order; one image's are held at a time if they come image by image.
+    Files get their names when all tasks are done; an image with lines in two partitions is an error."""
 
     def __init__(self, path: str, suffix: str, options: dict):
         self.path, self.suffix = path, suffix
         self.depth, self.signed = int(options.get("depth", 8)), options.get("signed", "false") == "true"
 
     def write(self, rows) -> WriterCommitMessage:
-        held: dict[str, dict[int, dict[int, list[int]]]] = {}
+        os.makedirs(self.path, exist_ok=True)
+        files: list[tuple[str, str]] = []
+        now, comps = None, {}
         for r in rows:
-            held.setdefault(os.path.basename(r["path"]), {}).setdefault(r["c"], {})[r["y"]] = r["row"]
-        for name, comps in held.items():
-            planes = [np.array([lines[y] for y in sorted(lines)], np.int32) for _, lines in sorted(comps.items())]
-            stem = os.path.splitext(name)[0]
-            if self.suffix == ".pgx":
-                parts = [(f"{stem}_{c:02d}.pgx", write_pgx(p, self.depth, self.signed)) for c, p in enumerate(planes)]
-            else:
-                parts = [(f"{stem}{'.pgm' if len(planes) == 1 else '.ppm'}", write_pnm(planes, self.depth))]
-            os.makedirs(self.path, exist_ok=True)
-            for file, data in parts:
-                with open(os.path.join(self.path, file), "wb") as f:
-                    f.write(data)
-        return WriterCommitMessage()
+            if r["path"] != now:
+                files += self._put(now, comps)
+                now, comps = r["path"], {}
+            comps.setdefault(r["c"], {})[r["y"]] = r["row"]
+        return _Written(files + self._put(now, comps))
+
+    def _put(self, path: str | None, comps: dict[int, dict[int, list[int]]]) -> list[tuple[str, str]]:
+        if path is None:
+            return []
+        planes = [np.array([lines[y] for y in sorted(lines)], np.int32) for _, lines in sorted(comps.items())]
+        stem = os.path.splitext(os.path.basename(path))[0]
+        if self.suffix == ".pgx":
+            parts = [(f"{stem}_{c:02d}.pgx", write_pgx(p, self.depth, self.signed)) for c, p in enumerate(planes)]
+        else:
+            parts = [(f"{stem}{'.pgm' if len(planes) == 1 else '.ppm'}", write_pnm(planes, self.depth))]
+        out = []
+        for file, data in parts:
+            held = os.path.join(self.path, f".{file}.{uuid.uuid4().hex}")
+            with open(held, "wb") as f:
+                f.write(data)
+            out.append((held, file))
+        return out
+
+    def commit(self, messages) -> None:
+        files = [x for m in messages if m is not None for x in m.files]
+        twice = {name for name, n in Counter(name for _, name in files).items() if n > 1}
+        if twice:
+            self.abort(messages)
+            raise ValueError(f"lines of {sorted(twice)[:3]} are in several partitions: repartition by path")
+        for held, name in files:
+            os.replace(held, os.path.join(self.path, name))
+
+    def abort(self, messages) -> None:
+        for held, _ in (x for m in messages if m is not None for x in m.files):
+            if os.path.exists(held):
+                os.remove(held)
 
 
 class PnmSource(DataSource):

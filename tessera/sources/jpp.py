@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,13 @@ CLASSES = {0: "precinct", 1: "extended precinct", 2: "tile header", 4: "tile", 5
 WITH_AUX = (1, 5)
 REASONS = {1: "image done", 2: "window done", 3: "window change", 4: "byte limit", 5: "quality limit", 6: "session limit", 7: "response limit", 255: "other"}
 
-MESSAGE = "struct<class: int, stream: int, id: bigint, msg_offset: bigint, msg_length: bigint, aux: bigint, is_last: boolean, eor: int, begin: bigint, end: bigint>"
+MESSAGE = "struct<class: int, stream: int, id: bigint, msg_offset: bigint, msg_length: bigint, aux: bigint, is_last: boolean, eor: int, begin: bigint, end: bigint, error: string>"
+
+
+class Malformed(ValueError):
+    """Bytes that begin no message; found: the messages before them."""
+
+    found: list[tuple] = []
 
 
 def vbas(data: bytes, at: int) -> tuple[int, int] | None:
@@ -22,7 +31,7 @@ def vbas(data: bytes, at: int) -> tuple[int, int] | None:
         if data[i] < 128:
             return value, i + 1
     if len(data) - at >= 10:
-        raise ValueError("a number takes more than ten bytes")
+        raise Malformed("a number takes more than ten bytes")
     return None
 
 
@@ -51,7 +60,16 @@ def read_messages(data: bytes, class_: int = 0, stream: int = 0) -> tuple[list[t
 
     A message's class and stream are those of the one before unless it names its own. Ends of responses are rows with `eor`.
     """
-    out, at = [], 0
+    out: list[tuple] = []
+    try:
+        return _read(data, class_, stream, out)
+    except Malformed as e:
+        e.found = out
+        raise
+
+
+def _read(data: bytes, class_: int, stream: int, out: list[tuple]) -> tuple[list[tuple], int, int, int]:
+    at = 0
     while at < len(data):
         if data[at] == 0:
             found = vbas(data, at + 2) if at + 2 <= len(data) else None
@@ -63,7 +81,7 @@ def read_messages(data: bytes, class_: int = 0, stream: int = 0) -> tuple[list[t
         lead, pos = data[at], at + 1
         form, last, id_ = lead >> 5 & 3, bool(lead & 16), lead & 15
         if form == 0:
-            raise ValueError(f"byte {at} begins no message")
+            raise Malformed(f"byte {at} begins no message")
         more = lead >> 7
         while more and pos < len(data):
             id_, more, pos = id_ << 7 | data[pos] & 127, data[pos] >> 7, pos + 1
@@ -98,11 +116,19 @@ def read_messages(data: bytes, class_: int = 0, stream: int = 0) -> tuple[list[t
 
 
 def messages(streams: DataFrame, raw: str = "bytes") -> DataFrame:
-    """One row per message of each stream: streams' columns, number, the message's fields and its payload."""
+    """One row per message of each stream: streams' columns, number, the message's fields and its payload. A stream that
+    goes on with something else has a last row with nothing but `error`."""
+    names = [x.split(":")[0].strip() for x in MESSAGE[7:-1].split(",")]
+
+    def read(data: bytes) -> list[dict]:
+        try:
+            found, error = read_messages(data)[0], []
+        except Malformed as e:
+            found, error = e.found, [{"error": str(e)}]
+        return [dict(zip(names, m, strict=False)) for m in found] + error
 
     def parse(data: pd.Series) -> pd.Series:
-        names = [x.split(":")[0].strip() for x in MESSAGE[7:-1].split(",")]
-        return data.map(lambda d: [dict(zip(names, m, strict=True)) for m in read_messages(bytes(d))[0]] if d is not None else [])
+        return data.map(lambda d: read(bytes(d)) if d is not None else [])
 
     rows = streams.withColumn("_m", F.pandas_udf(parse, f"array<{MESSAGE}>").asNondeterministic()(F.col(raw)))
     each = rows.select("*", F.posexplode("_m").alias("number", "_x")).select(*streams.columns, "number", "_x.*")
@@ -116,29 +142,41 @@ def bins(of_messages: DataFrame, by: list[str], order: str = "number") -> DataFr
     keys = [*by, "class", "id"]
     w = Window.partitionBy(*keys).orderBy(order)
     before = F.coalesce(F.sum("msg_length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = of_messages.filter("eor is null").withColumn("_ok", F.col("msg_offset") == before)
+    rows = of_messages.filter("eor is null and error is null").withColumn("_ok", F.col("msg_offset") == before)
     rows = rows.withColumn("_good", F.min(F.col("_ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1).filter("_good")
-    parts = F.array_sort(F.collect_list(F.struct("msg_offset", "payload")))
-    joined = F.aggregate(F.transform(parts, lambda x: x["payload"]), F.lit(b""), lambda a, x: F.concat(a, x))
+    joined = F.coalesce(F.expr("listagg(payload, x'') WITHIN GROUP (ORDER BY msg_offset)"), F.lit(b""))
     return rows.groupBy(*keys).agg(F.sum("msg_length").alias("bytes"), F.bool_or("is_last").alias("complete"), joined.alias("payload"))
 
 
 def emit(bins_: DataFrame, by: list[str], order: str, class_: str = "class", id_: str = "id", payload: str = "payload", most: int = 987) -> DataFrame:
-    """One stream per group: the messages of its bins in order, ended by `window done`. A group's bins are one response."""
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for c, i, p in zip(pdf[class_], pdf[id_], pdf[payload], strict=True):
-            p = bytes(p) if p is not None else b""
-            for at in range(0, max(1, len(p)), most):
-                part = p[at : at + most]
-                out.append(message_header(None if c == last else int(c), int(i), at, len(part), at + most >= len(p)) + part)
-                last = c
-        first = {k: [pdf[k].iloc[0]] for k in by}
-        return pd.DataFrame(first | {"bytes": [b"".join(out) + b"\x00\x02\x00"]})
-
-    kinds = ", ".join(f"{k} {bins_.schema[k].dataType.simpleString()}" for k in by)
-    return bins_.groupBy(*by).applyInPandas(lambda pdf: write(pdf.sort_values(order)), f"{kinds}, bytes binary")
+    """One stream per group: the messages of its bins in order, ended by `window done`. A group's bins are one response,
+    the only thing that is held; bins pass in order."""
+    names = [*by, class_, id_, payload]
+    rows = bins_.repartition(*by).sortWithinPartitions(*by, order).select(*names)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, out = None, None, []
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(now, kinds, strict=True)), pa.array([b"".join(out) + b"\x00\x02\x00"])], names=[*by, "bytes"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in by]
+            for *key, c, i, p in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+                if key != now:
+                    if now is not None:
+                        yield whole()
+                    now, last, out = key, None, []
+                p = p or b""
+                for at in range(0, max(1, len(p)), most):
+                    part = p[at : at + most]
+                    out.append(message_header(None if c == last else int(c), int(i), at, len(part), at + most >= len(p)) + part)
+                    last = c
+        if now is not None:
+            yield whole()
+
+    kinds_ = ", ".join(f"`{k}` {bins_.schema[k].dataType.simpleString()}" for k in by)
+    return rows.mapInArrow(write, f"{kinds_}, bytes binary")
 
 
 def reason_name(eor: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.frames import WRAP
+from tessera.sources.jpp import Malformed, read_messages
 
 STATE = "ext int, marker boolean, ts bigint, frame bigint, first_ts bigint, packets bigint, own bigint, gaps bigint, first_main boolean, kept_first bigint, kept bigint, meta bigint"
 OUTPUT = "ssrc bigint, frame bigint, ts bigint, packets bigint, bytes bigint, gaps bigint, status string, meta_arrival bigint"
@@ -80,30 +81,35 @@ class BinAssembler(StatefulProcessor):
     """Keeps what of a stream's bytes did not make a whole message yet, and the class and stream in force."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "data binary, class int, stream int, number bigint")
+        self.tail = handle.getValueState("tail", "data binary, class int, stream int, number bigint, broken boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        from tessera.sources.jpp import read_messages
-
-        data, class_, stream, number = self.tail.get() if self.tail.exists() else (b"", 0, 0, 0)
-        chunks = pd.concat(list(rows)).sort_values("arrival")["bytes"]
-        data = bytes(data) + b"".join(map(bytes, chunks))
-        found, end, class_, stream = read_messages(data, class_, stream)
-        self.tail.update((data[end:], class_, stream, number + len(found)))
+        data, class_, stream, number, broken = self.tail.get() if self.tail.exists() else (b"", 0, 0, 0, False)
         names = ["class", "stream", "id", "msg_offset", "msg_length", "aux", "is_last", "eor"]
-        out = pd.DataFrame([m[:8] for m in found], columns=names).astype({n: "Int64" for n in names if n != "is_last"})
-        out.insert(0, "number", range(number, number + len(found)))
+        chunks = pd.concat(list(rows)).sort_values("arrival")["bytes"]
+        if broken:
+            return
+        data, error = bytes(data) + b"".join(map(bytes, chunks)), None
+        try:
+            found, end, class_, stream = read_messages(data, class_, stream)
+        except Malformed as e:
+            found, end, error = e.found, len(data), str(e)
+        count = len(found) + (error is not None)
+        self.tail.update((data[end:], class_, stream, number + count, error is not None))
+        out = pd.DataFrame([m[:8] for m in found] + [(None,) * 8] * (count - len(found)), columns=names).astype({n: "Int64" for n in names if n != "is_last"})
+        out.insert(0, "number", range(number, number + count))
         out.insert(0, "stream_id", key[0])
-        out["payload"] = [data[m[8] : m[9]] for m in found]
+        out["payload"] = [data[m[8] : m[9]] for m in found] + [None] * (count - len(found))
+        out["error"] = [None] * len(found) + [error] * (count - len(found))
         yield out.astype({"class": "Int32", "stream": "Int32", "eor": "Int32"})
 
     def close(self) -> None:
         pass
 
 
-MESSAGES = "stream_id bigint, number bigint, class int, stream int, id bigint, msg_offset bigint, msg_length bigint, aux bigint, is_last boolean, eor int, payload binary"
+MESSAGES = "stream_id bigint, number bigint, class int, stream int, id bigint, msg_offset bigint, msg_length bigint, aux bigint, is_last boolean, eor int, payload binary, error string"
 
 
 def message_stream(chunks: DataFrame) -> DataFrame:
-    """Messages of streams that arrive cut anywhere: chunks has stream_id, arrival, bytes."""
+    """Messages of streams that arrive cut anywhere: chunks has stream_id, arrival, bytes. What follows an error is ignored."""
     return chunks.groupBy("stream_id").transformWithStateInPandas(BinAssembler(), MESSAGES, "Append", "none")
