@@ -12,12 +12,15 @@ import base64
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,15 +33,67 @@ SCAN_BYTES = 64
 #: Tokens of one batch of documents, about.
 BATCH_TOKENS = 500_000
 
+#: Distinct words of a bucket whose ids are held at once; beyond, a word may be encoded again.
+HELD_WORDS = 1 << 20
+
 # The characters with the Unicode property White_Space.
 _SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: What a splitting pattern may be made of: endings after an apostrophe, runs of one class behind at most one space, and
+#: white space. In such a pattern white space and what follows it splits alike wherever it stands.
+_ALTERNATIVE = re.compile(r"'[a-z]+| \?(?:\\p\{[LN]\}|\[\^\\s\\p\{L\}\\p\{N\}\])\+|\\s\+(?:\(\?!\\S\))?")
+
+
+@cache
+def _library_class(name: str) -> str:
+    """The characters that the tokenizer library takes as letters (L) or numbers (N), as ranges for a character set. The
+    Unicode version of the library at hand decides, not that of the regular expressions used here."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    probe = tiktoken.Encoding("probe", pat_str=rf"\p{{{name}}}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return _ranges([ord(c) for c in bytes(probe.encode_ordinary(every)).decode()])
+
+
+def _ranges(points: list[int]) -> str:
+    at = np.array(points)
+    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    last = np.append(first[1:], len(at)) - 1
+    return "".join(rf"\U{at[a]:08x}-\U{at[b]:08x}" for a, b in zip(first.tolist(), last.tolist(), strict=True))
 
 
-def compile_pattern(pattern: str) -> regex.Pattern:
-    """The splitting pattern with its white-space classes spelled out, so that all regex libraries agree on them."""
-    spelled = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
-    return regex.compile(spelled)
+@dataclass
+class Splitter:
+    """Cuts texts into pre-tokens as the tokenizer library does.
+
+    quick: the pattern with white space spelled out; exact: with letters and numbers, too, which is slower and used where a
+    character occurs on which libraries differ (odd).
+    """
+
+    quick: str
+    exact: str
+    odd: str
+
+    def compiled(self) -> Callable[[str], list[str]]:
+        quick, exact = regex.compile(self.quick).findall, regex.compile(self.exact).findall
+        odd = re.compile(f"[{self.odd}]").search if self.odd else lambda text: None
+        return lambda text: exact(text) if odd(text) else quick(text)
+
+
+def splitter(pattern: str) -> Splitter:
+    """The splitter of a pattern; an error if it has other parts than those in _ALTERNATIVE."""
+    for part in pattern.split("|"):
+        if not _ALTERNATIVE.fullmatch(part):
+            raise ValueError(f"this splitting pattern is not supported: {part}")
+    quick = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
+    exact, odd = quick, set()
+    for name in "LN":
+        known = _library_class(name)
+        exact = exact.replace(rf"\p{{{name}}}", "\0")
+        inside = re.sub(r"\[\^[^\]]*\]", lambda m: m[0].replace("\0", known), exact)
+        exact = inside.replace("\0", f"[{known}]")
+        ours, theirs = regex.compile(rf"\p{{{name}}}"), re.compile(f"[{known}]")
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        odd |= set(ours.findall(every)) ^ set(theirs.findall(every))
+    return Splitter(quick, exact, _ranges(sorted(map(ord, odd))) if odd else "")
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -118,7 +173,7 @@ def _unpack(packed: bytes) -> np.ndarray:
 _BUCKET = pa.struct([("codes", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
 
 
-def _build(pattern: str, buckets: int, chunk_words: int):
+def _build(split_as: Splitter, buckets: int, chunk_words: int):
     """Documents to chunks: one row a chunk, with its words dealt into buckets by hash."""
 
     def chunk(number: int, keep: list[pa.Array], sizes: list[int], codes: list[int], words: dict[str, int]) -> pa.RecordBatch:
@@ -156,7 +211,7 @@ def _build(pattern: str, buckets: int, chunk_words: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = compile_pattern(pattern).findall
+        split = split_as.compiled()
         number = TaskContext.get().partitionId() << 32
         words: dict[str, int] = {}
         units: dict[str, tuple[int, ...]] = {}
@@ -167,7 +222,7 @@ def _build(pattern: str, buckets: int, chunk_words: int):
             begun = 0
             for i, text in enumerate(batch.column("text")):
                 at = len(codes)
-                # white space and what follows it splits alike wherever it stands, so each such unit is split once
+                # each unit of white space and what follows it is split once
                 for unit in _UNIT.findall(text.as_py() or ""):
                     found = units.get(unit)
                     if found is None:
@@ -227,6 +282,8 @@ def _encode(ranks):
                     at += n
                     found = known.get(word)
                     if found is None:
+                        if len(known) >= HELD_WORDS:
+                            known.clear()
                         found = known[word] = encode_word(word, table)
                     counts.append(len(found))
                     ids += found
@@ -313,7 +370,8 @@ def encode(
 
     Each match of the pattern is encoded separately, without special tokens. A null or empty text has no tokens. Repeated
     rows are rows of their own; an empty table gives no rows. Words are dealt into as many buckets as there are
-    shuffle partitions; a bucket's distinct words, and a chunk, are what a task holds.
+    shuffle partitions; a chunk, and up to HELD_WORDS distinct words, are what a task holds. Only patterns that
+    splitter() knows are taken.
     """
     spark = docs.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -322,7 +380,7 @@ def encode(
     bucket = "struct<codes: binary, sizes: binary, words: binary>"
     data = f"struct<keep: array<{kept}>, sizes: binary, codes: binary, buckets: array<{bucket}>>"
     # both uses below read this one exchange
-    chunks = rows.mapInArrow(_build(pattern, parts, chunk_words), f"chunk bigint, data {data}").repartition(parts, "chunk")
+    chunks = rows.mapInArrow(_build(splitter(pattern), parts, chunk_words), f"chunk bigint, data {data}").repartition(parts, "chunk")
     words = chunks.mapInArrow(_deal, "chunk bigint, bucket int, sizes binary, words binary")
     encoded = (
         words.repartition(parts, "bucket")
@@ -346,7 +404,11 @@ def decoded(spark: SparkSession, ranks: dict[bytes, int], tokens: Column) -> Col
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256."""
+    """One row per row of docs: id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256.
+
+    A null or empty text has no tokens and decodes to no bytes. Null and repeated ids are rows of their own; an empty table
+    gives no rows; other columns are not read. Decoding looks ids up in the token-byte table, which every task holds.
+    """
     ranks = load_ranks(docs.sparkSession, path)
     out = encode(docs, ranks, pattern, [id_col], text_col, decode=True)
     return out.select(

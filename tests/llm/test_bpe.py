@@ -1,12 +1,13 @@
 import hashlib
 import random
+from functools import cache
 
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import bpe_digests, compile_pattern, decoded, encode, encode_word, load_ranks
+from tessera.llm.bpe import _UNIT, bpe_digests, decoded, encode, encode_word, load_ranks, splitter
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -29,11 +30,28 @@ def texts():
 
 
 def test_words_as_the_library(ranks, library):
-    split = compile_pattern(public_tokenizers.PATTERN).findall
+    split = splitter(public_tokenizers.PATTERN).compiled()
     for t in texts():
         assert [i for w in split(t) for i in encode_word(w.encode(), ranks)] == library.encode_ordinary(t), t
 
 
+def test_every_code_point_as_the_library(ranks, library):
+    """Between letters, digits, signs and spaces, all characters fall into the classes that the library has them in."""
+    split, word = splitter(public_tokenizers.PATTERN).compiled(), cache(lambda w: encode_word(w.encode(), ranks))
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    for at in range(0, len(points), 20_000):
+        for c in ("a{0}1{0}! {0}a",):
+            text = " ".join(c.format(chr(p)) for p in points[at : at + 20_000])
+            got = [i for unit in _UNIT.findall(text) for w in split(unit) for i in word(w)]
+            assert got == library.encode_ordinary(text), hex(points[at])
+
+
+def test_other_patterns_are_refused():
+    for pattern in (r"\p{L}+|\s+", r"\w+", r" ?\p{Lu}+|\s+", r"a b|\s+"):
+        with pytest.raises(ValueError):
+            splitter(pattern)
+
+
 def test_documents(spark, ranks, library):
     rows = [(i, t, "x") for i, t in enumerate(texts())] + [(-1, None, "x"), (-2, "", "x"), (None, "hi there", "x"), (3, texts()[3], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(3)
