@@ -25,8 +25,9 @@ FIT_ROWS = 20_000
 #: log2 of the positions of the filter, and positions looked up for a trigram.
 LOG2_POSITIONS = 20
 HASHES = 3
-#: A trigram belongs to the languages in which it is at least this fraction as frequent as where it is most frequent.
-SHARE = 0.5
+#: A trigram that is rarer in a language than this fraction of where it is most frequent is a stray there: a name, a word of
+#: another language, a label that is wrong. All other languages that have it are in the filter.
+SHARE = 0.02
 #: Trigrams seen less often than this in a language are noise there.
 LEAST_COUNT = 3
 #: Languages whose bits fit one word of the filter; more languages take more words.

@@ -141,8 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_co
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
     if toxic in (0, n):
         return ToxicityModel({}, None, None, toxic / n if n else 0.0)
-    lexicon = learn_lexicon(rows)
+    # rows kept for calibration teach neither the trees nor the lexicon, so their scores are as those of unseen texts
     part = F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(CALIBRATION_PART)) == 0
+    lexicon = learn_lexicon(rows.filter(~part))
     ready = materialize(_with_features(rows, lexicon, "_text").withColumn("_held", part), "toxicity-features").repartition(
         spark.sparkContext.defaultParallelism
     )
