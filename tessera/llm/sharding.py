@@ -96,10 +96,11 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
         ]
         if not full or round_no == MAX_ROUNDS - 1 or len(splitters) > 4 * MAX_RANGES:
             break
-        inside = placed.filter(F.col("_range").isin(full)).withColumn("_size", F.lit(1))
-        held = sum(sums[b][1] for b in full)
+        # drawn half by size and half evenly, so that a range of one huge record and many small ones is cut, too
+        held, held_bytes = sum(sums[b][1] for b in full), sum(sums[b][0] for b in full)
+        inside = placed.filter(F.col("_range").isin(full)).withColumn("_size", F.col("_size") + held_bytes // max(held, 1))
         more = max(2 * len(full), 4 * held * ranges // max(rows, 1))
-        splitters = sorted({*splitters, *_quantiles(_draw(inside, min(1.0, more * DRAWS_PER_RANGE / max(held, 1)), 2 + round_no), more)})
+        splitters = sorted({*splitters, *_quantiles(_draw(inside, more * DRAWS_PER_RANGE / max(2 * held_bytes, 1), 2 + round_no), more)})
     before, start = {}, 0
     for b in sorted(sums):
         before[b] = start
@@ -133,7 +134,9 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes docs as Parquet folders shard=0.. ; ids must be unique, since rows and shards are joined by id."""
+    """Writes docs as Parquet folders shard=0.. ; rows and shards are joined by id, so a null or repeated id is an error."""
+    if docs.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
+        raise ValueError(f"{id_col} has null or repeated values")
     placed = assign_shards(docs, shards, id_col, text_col).select(F.col(id_col).alias("_sid"), "shard", "slot")
     joined = docs.join(placed, F.col(id_col).eqNullSafe(F.col("_sid"))).drop("_sid")
     joined.repartitionByRange("shard", "slot").write.partitionBy("shard").parquet(path)

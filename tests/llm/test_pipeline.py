@@ -51,3 +51,18 @@ def test_whole_pipeline(spark, tmp_path):
     once = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["tokens"] for r in once} == {i: library.encode_ordinary(t) for i, t in clean.items()}
     assert all(r["n_tokens"] == len(r["tokens"]) for r in once)
+
+
+def test_empty_repeated_and_null_rows(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(WORDS["en"]) + rng.choice(["", "er", "in"]) for _ in range(40))
+    one, two = text(), text()
+    rows = [(1, one, "en"), (1, one, "en"), (1, two, "en"), (None, text(), "en"), (None, one, None), (2, None, None), (3, "", "en"), (4, "!!", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    full = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in rows], schema)
+    full.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 1), (False, 1), (True, 0)]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, full.limit(0), str(tmp_path)).count() == 0

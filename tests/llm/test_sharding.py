@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.sharding import assign_shards, write_shards
@@ -41,5 +42,26 @@ def test_written_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
     write_shards(df, str(tmp_path / "out"), 5)
     back = spark.read.parquet(str(tmp_path / "out"))
+    with pytest.raises(ValueError):
+        write_shards(df.unionByName(df.limit(1)), str(tmp_path / "other"), 5)
     assert back.count() == 100 and back.select("shard").distinct().count() == 5
     assert back.groupBy("shard").agg((F.max("slot") + 1 == F.count("*")).alias("ok")).filter("not ok").count() == 0
+
+
+def test_assignment_against_brute_force(spark):
+    """Records in the order of their texts' and ids' hashes; each goes where its middle byte lies."""
+    rng = random.Random(8)
+    docs = [(i, rng.choice(["hot text", None]) if i % 3 == 0 else "x" * rng.choice([0, 3, 40, 900, 20_000 if i == 50 else 7])) for i in range(1200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    keys = df.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("doc_id").alias("b")).collect()
+    order = sorted(keys, key=lambda r: (r["a"] % 2**64, r["b"] % 2**64))
+    texts, before, slots, want = dict(docs), 0, {}, {}
+    total = sum(len(t or "") + 8 for t in texts.values())
+    for r in order:
+        size = len(texts[r["doc_id"]] or "") + 8
+        shard = min(6, int((before + size / 2) * 7 // total))
+        want[r["doc_id"]] = (shard, slots.get(shard, 0))
+        slots[shard] = slots.get(shard, 0) + 1
+        before += size
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in assign_shards(df, 7).collect()}
+    assert got == want
