@@ -29,6 +29,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """materialize() in as many buckets by the key as there are shuffle partitions, so that joins on it read the table as it
+    lies. df should be dealt by the key already, else every task writes to every bucket."""
+    spark = df.sparkSession
+    table = f"tessera_{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/tessera/{table}"
+    df.write.format("parquet").bucketBy(parts, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table that materialize() wrote."""
     spark = df.sparkSession
