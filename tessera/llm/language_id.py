@@ -235,8 +235,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per row of docs: id, held_out, lang_pred, score.
 
     Learns from the rows whose crc32(id) mod folds is not 0 and whose language is not null; a row whose id is null
-    is neither learned from nor held out. Repeated rows are predicted alike; an empty table gives no rows; without
-    labels every text is `und`. Other columns are not read.
+    is neither learned from nor held out. Repeated rows are predicted alike; an empty table gives no rows. A null text or one
+    without letters is `und`; one of unknown letters gets the most frequent language with score 0; without any label
+    there is no language to give, so every text is `und`. Long texts are looked at as a whole. Other columns are not read.
     """
     fold = F.pmod(crc32_of_id(id_col), F.lit(folds))
     model = fit(docs.filter(fold != 0), text_col, lang_col, id_col)

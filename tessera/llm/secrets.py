@@ -406,8 +406,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: id, n_assign, n_access, n_hex, base_sha256, spans.
 
     The counts and the hash are of the patterns' matches in the text itself; spans are those and what layers add.
-    A null or empty text has none. Repeated rows are scanned alike; an empty table gives no rows; other columns
-    are not read.
+    A null or empty text has none. Null ids and repeated rows are scanned alike; an empty table gives no rows; other columns
+    are not read. Any depth of nesting is followed, in time in proportion to the text's escapes; what a compressed layer
+    unpacks to is scanned in windows of WINDOW bytes, so it may be of any size; a text is held as a whole.
     """
     fields = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
     scan = F.pandas_udf(_scan, fields).asNondeterministic()

@@ -178,7 +178,8 @@ def count_tokens(
     """One row per row of docs: id, n_tokens. The texts are tokenized and written as flat token files; the counts come
     from those files alone, and the files' order of documents gives them their ids.
 
-    A null or empty text has no tokens. Repeated rows are rows of their own; an empty table gives no rows.
+    A null or empty text has no tokens. Null ids and repeated rows are rows of their own; an empty table gives no rows; other
+    columns are not read. A text is encoded as a whole, and may fill any number of blocks.
     """
     blocks, order = token_files(docs, path, pattern, end_id, [id_col], text_col, block_tokens)
     counts = document_lengths(blocks, end_id, block_tokens)
