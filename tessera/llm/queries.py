@@ -12,6 +12,7 @@ from tessera.llm.common import load
 from tessera.llm.decontaminate import contamination
 from tessera.llm.importance import resample
 from tessera.llm.language_id import identify
+from tessera.llm.pieces import piece_digests
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.sharding import assign_shards
 from tessera.llm.simhash import simhash_components
@@ -62,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
