@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.bpe import bpe_digests
 from tessera.llm.common import load
 from tessera.llm.decontaminate import contamination
+from tessera.llm.filter_audit import filter_audit
 from tessera.llm.importance import resample
 from tessera.llm.language_id import identify
 from tessera.llm.pieces import piece_digests
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.sharding import assign_shards
 from tessera.llm.simhash import simhash_components
+from tessera.llm.target_resampling import target_resample
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.topk import exact_top_k
 from tessera.llm.toxicity import toxicity
@@ -63,10 +65,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -78,7 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op11_target_resampling": op11_target_resampling,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -112,4 +124,60 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_target_resampling": f"""
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT i::BIGINT, i::BIGINT, 0 FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8),
+w AS (SELECT true AS raw, row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents UNION ALL SELECT false, 0, 0, {_WORDS} FROM benchmark),
+f AS (
+  SELECT raw, row, array_to_string(w[i.i : i.i + n - 1], ' ') AS f
+  FROM (SELECT * FROM w, (VALUES (1), (2), (3)) s(n)) t, LATERAL (SELECT unnest(range(1, len(t.w) - t.n + 2)) AS i) i
+), names AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+bytes AS (
+  SELECT f, list_transform(range(0, len(h) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1) AS b
+  FROM names
+), b AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc
+), fb AS (SELECT raw, row, bucket FROM f JOIN b USING (f)),
+n AS (SELECT bucket, count(*) FILTER (raw) AS s, count(*) FILTER (NOT raw) AS t FROM fb GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE)))::BIGINT AS g FROM n
+), weights AS (SELECT row, count(*) AS n_features, sum(g)::BIGINT AS weight FROM fb JOIN gain USING (bucket) WHERE raw GROUP BY row),
+scored AS (
+  SELECT row, doc_id, len(w) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5)::DOUBLE / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM w LEFT JOIN weights USING (row) WHERE raw
+), ranked AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END::BIGINT AS rank FROM scored LEFT JOIN ranked USING (row)""",
+    "op13_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), fails AS (
+  SELECT part, quality = 1 AS good, toxic = 1 AS bad,
+    (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS m
+  FROM d LEFT JOIN labels USING (doc_id)
+), n AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM fails GROUP BY part, m),
+letters AS (SELECT chr((65 + i)::INT) AS x, i FROM range(5) r(i)),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, s.s::INT AS step, 1 << (ascii(o[s.s]) - 65) AS f, list_sum(list_transform(range(1, s.s), lambda i: 1 << (ascii(o[i]) - 65)))::INT AS before
+  FROM orders, range(1, 6) s(s)
+), counted AS (
+  SELECT part, o, step, f,
+    sum(n) FILTER (m & (coalesce(before, 0) | f) = 0) AS kept,
+    sum(n) FILTER (m & f > 0 AND m & coalesce(before, 0) = 0) AS removed,
+    sum(n) FILTER (m & f > 0 AND m & coalesce(before, 0) > 0) AS redundant,
+    sum(n) FILTER (m = f) AS unique_fails,
+    sum(good) FILTER (m & f > 0 AND m & coalesce(before, 0) = 0) AS good_lost,
+    sum(bad) FILTER (m & f > 0 AND m & coalesce(before, 0) = 0) AS toxic_lost
+  FROM steps, n GROUP BY part, o, step, f
+)
+SELECT part, o AS filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM counted""",
 }
