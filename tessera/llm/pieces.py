@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, groupby
 from operator import add
 
 import numpy as np
@@ -35,22 +35,39 @@ HELD_CHARS = 64
 #: Characters of the texts that are checked, and put out, at once, about.
 BATCH_CHARS = 1_000_000
 
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Spaces and what follows up to the next space.
+_COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @dataclass
 class Pieces:
     """A vocabulary of merges. rank: scores with the sign turned, of the pieces that merging may make; bytes_: ids of the 256 byte pieces, or none;
-    beside: the pairs of characters that stand side by side in a piece; surface: each id's text or byte."""
+    surface: each id's text, empty for a control id, or its byte; beside: the pairs of characters that stand side by side in a
+    piece."""
 
     ids: dict[str, int]
     rank: dict[str, float]
     bytes_: list[int]
     unknown: int
     end: int
-    surface: list[str | int | None]
+    surface: list[str | int]
     beside: set[str] = field(default_factory=set)
 
+    def words(self) -> re.Pattern:
+        """What cuts texts into words: spaces and letters, or spaces and other characters, if no piece has a letter beside
+        another character but a space; else spaces and what follows."""
+        odd = "".join(sorted({c for piece in self.ids for c in piece if c.isalnum() and not c.isalpha() and not c.isdecimal()}))
+        letter = rf"[^\W\d_{odd}]"
+        is_letter = re.compile(letter).match
+        if any(pair[0] != SPACE and bool(is_letter(pair[0])) != bool(is_letter(pair[1])) for pair in self.beside):
+            return _COARSE
+        return re.compile(rf"{SPACE}*(?:{letter}+|(?:[^\w{SPACE}]|[\d_{odd}])+)|{SPACE}+")
+
+    def stranger(self) -> str:
+        """A character that no piece holds."""
+        known = {c for piece in self.ids for c in piece}
+        return next(c for c in map(chr, range(0xE000, 0xF900)) if c not in known)
+
     @classmethod
     def of(cls, model: bytes) -> Pieces:
         """The vocabulary of a model file. ValueError for a model that is not one of merges, that changes texts other than
@@ -67,7 +84,7 @@ class Pieces:
             raise ValueError("this model's normalisation is not supported")
         made = cls({}, {}, [], trained.unk_id, trained.eos_id, [])
         for i, p in enumerate(spec.pieces):
-            made.surface.append(None)
+            made.surface.append("")
             if p.type == kind.NORMAL:
                 if re.search(f"[^{SPACE}]{SPACE}", p.piece):
                     raise ValueError(f"a piece with a space inside: {p.piece}")
@@ -130,68 +147,74 @@ class Encoder:
 
     def __init__(self, model: bytes, checked: bool = True):
         self.pieces = Pieces.of(model)
+        self.find = self.pieces.words().findall
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model) if checked else None
-        self.words: dict[str, list[int]] = {}
-        self.runs: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.runs: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts, each with the end id. An empty text has the end id only."""
-        words = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         for held in (self.words, self.runs):
             if len(held) >= HELD:
                 held.clear()
-        known = self.words
-        new = list({w for ws in words for w in ws if w not in known})
-        for w in new:
-            known[w] = self._word(w)
+        known, end, new, out = self.words, (self.pieces.end,), [], []
+        for t in texts:
+            words = self.find(SPACE + t.replace(" ", SPACE)) if t else []
+            found = list(map(known.get, words))
+            if None in found:
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        word = words[i]
+                        found[i] = known.get(word)
+                        if found[i] is None:
+                            found[i] = known[word] = self._word(word)
+                            new.append(word)
+            found.append(end)
+            out.append(list(chain.from_iterable(found)))
         if self.library:
             self._check(new)
-        end = [self.pieces.end]
-        out = [[*chain.from_iterable(map(known.__getitem__, ws)), *end] for ws in words]
         for w in new:
             if len(w) > HELD_CHARS:
                 del known[w]
         return out
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[int, ...]:
         beside = self.pieces.beside
         cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in beside]
+        if not cuts:
+            return tuple(merge(word, self.pieces))
         out: list[int] = []
         for a, b in zip([0, *cuts], [*cuts, len(word)]):
             run = word[a:b]
             found = self.runs.get(run)
             if found is None:
-                found = merge(run, self.pieces)
+                found = tuple(merge(run, self.pieces))
                 if len(run) <= HELD_CHARS:
                     self.runs[run] = found
             out += found
-        return out
+        return tuple(out)
 
     def _check(self, words: list[str]) -> None:
-        """Words start at a space but for what the library puts in front, or are a space alone."""
-        for w, theirs in zip(words, self.library.encode([w[1:] for w in words], num_threads=1), strict=True):
-            if self.words[w] != (theirs or [self.pieces.ids.get(SPACE)]):
+        """Behind a character that no piece holds, a word stands by itself for the library, too."""
+        front = self.pieces.stranger()
+        first, *all_ids = self.library.encode([front, *(front + w for w in words)], num_threads=1)
+        for w, theirs in zip(words, all_ids, strict=True):
+            if [*first, *self.words[w]] != theirs:
                 raise ValueError(f"differs from the library: {ascii(w[:200])}")
 
 
-def decode_ids(ids: list[int], surface: list[str | int | None]) -> str:
+def decode_ids(ids: list[int], surface: list[str | int]) -> str:
     """The text of ids: byte pieces are put together and read as UTF-8, each wrong byte as U+FFFD; control ids have no text;
     a space that the first piece begins with, as encoding puts it there, is taken away."""
-    out: list[str] = []
-    held = bytearray()
-    for s in map(surface.__getitem__, ids):
-        if type(s) is int:
-            held.append(s)
-            continue
-        if held:
-            out.append(_utf8(bytes(held)))
-            held.clear()
-        if s:
-            out.append(s)
-    if held:
-        out.append(_utf8(bytes(held)))
-    first = next((s for s in map(surface.__getitem__, ids) if s is not None), None)
-    text = "".join(out)
+    parts = list(map(surface.__getitem__, ids))
+    first = next((s for s in parts if s != ""), "")
+    try:
+        text = "".join(parts)
+    except TypeError:  # there are bytes
+        out: list[str] = []
+        for is_byte, group in groupby(parts, key=lambda s: type(s) is int):
+            out += [_utf8(bytes(group))] if is_byte else group
+        text = "".join(out)
     return text[1:] if type(first) is str and first[:1] == " " and first != UNKNOWN else text
 
 
