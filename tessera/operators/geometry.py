@@ -3,7 +3,10 @@
 An images table has one row per codestream:
 image_id, xsiz, ysiz, xosiz, yosiz, xtsiz, ytsiz, xtosiz, ytosiz (bigint), levels (int), reversible (boolean),
 comps array<struct<xr: int, yr: int>>, precincts array<struct<ppx: int, ppy: int>> from the lowest resolution up.
-Every table below has as many rows as the image has such parts; nothing is joined to make them.
+A component coded otherwise than the image has levels, reversible and precincts in its comps struct, which are null, or
+left out, where the image's hold. A tile's component coded otherwise than that is a row of a table of tile codings:
+image_id, t, c, levels, reversible, precincts; it lists exceptions only.
+Every table below has as many rows as the image has such parts; only tile codings are joined to make them.
 """
 
 from __future__ import annotations
@@ -37,10 +40,36 @@ def tiles(images: DataFrame) -> DataFrame:
     )
 
 
-def resolutions(of_tiles: DataFrame) -> DataFrame:
+#: What a component may have of its own.
+CODING = ("levels", "reversible", "precincts")
+
+
+def with_codings(images: DataFrame) -> DataFrame:
+    """images with all of CODING in each component's struct."""
+    given = images.schema["comps"].dataType.elementType.names
+    own = ", ".join(f"'{f}', " + (f"coalesce(x.{f}, {f})" if f in given else f) for f in CODING)
+    return images.withColumn("comps", F.expr(f"transform(comps, x -> named_struct('xr', x.xr, 'yr', x.yr, {own}))"))
+
+
+def most_levels(images: DataFrame, tile_codings: DataFrame | None = None) -> DataFrame:
+    """image_id, levels: the most that any component of any tile has. An image whose tiles all have codings of their own for
+    a component counts that component's own levels, too."""
+    found = with_codings(images).selectExpr("image_id", "coalesce(array_max(transform(comps, x -> x.levels)), levels) AS levels")
+    if tile_codings is None:
+        return found
+    return found.unionByName(tile_codings.select("image_id", "levels")).groupBy("image_id").agg(F.max("levels").alias("levels"))
+
+
+def resolutions(of_tiles: DataFrame, tile_codings: DataFrame | None = None) -> DataFrame:
     """One row per tile, component c and resolution r: its rectangle, its precinct grid npw x nph, and how many precincts of
-    the tile-component come before (s_offset)."""
-    by_comp = of_tiles.selectExpr("*", "posexplode(comps) AS (c, comp)")
+    the tile-component come before (s_offset). levels, reversible and precincts are those of the tile's component."""
+    by_comp = with_codings(of_tiles).selectExpr("*", "posexplode(comps) AS (c, comp)")
+    holds = {f: F.col(f"comp.{f}") for f in CODING}
+    if tile_codings is not None:
+        own = tile_codings.select("image_id", "t", "c", F.struct(*CODING).alias("_own"))
+        by_comp = by_comp.join(own, ["image_id", "t", "c"], "left")
+        holds = {f: F.when(F.col("_own").isNotNull(), F.col(f"_own.{f}")).otherwise(c) for f, c in holds.items()}
+    by_comp = by_comp.withColumns(holds).drop("_own")
     by_res = by_comp.selectExpr("*", "explode(sequence(0, levels)) AS r").selectExpr(
         "*", "shiftleft(1L, levels - r) AS scale", "shiftleft(1L, precincts[r].ppx) AS pw", "shiftleft(1L, precincts[r].ppy) AS ph"
     )
@@ -86,8 +115,9 @@ def code_blocks(of_subbands: DataFrame) -> DataFrame:
 
 
 def smallest_precinct(images: DataFrame) -> DataFrame:
-    """image_id, ppx, ppy: the least exponents over all resolutions."""
-    return images.selectExpr("image_id", "array_min(transform(precincts, p -> p.ppx)) AS ppx", "array_min(transform(precincts, p -> p.ppy)) AS ppy")
+    """image_id, ppx, ppy: the least exponents over all components and resolutions."""
+    each = with_codings(images).selectExpr("image_id", "flatten(transform(comps, x -> slice(x.precincts, 1, x.levels + 1))) AS p")
+    return each.selectExpr("image_id", "array_min(transform(p, p -> p.ppx)) AS ppx", "array_min(transform(p, p -> p.ppy)) AS ppy")
 
 
 def precincts(of_resolutions: DataFrame) -> DataFrame:

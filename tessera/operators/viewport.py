@@ -3,8 +3,8 @@
 A requests table has one row per query: req_id, fx, fy (canvas size wanted), ox, oy (offset), sx, sy (window size; both
 0 means the rest of the canvas), comps (component numbers; null or empty means all), round ('down', 'up', 'closest'),
 and image_id. Many queries over many images are one job: requests join images on image_id and everything else follows
-by arithmetic on the row, so no table of precincts is scanned. Components that are sampled alike need the same precincts
-of their own, so ranges are worked out once for each way of sampling.
+by arithmetic on the row, so no table of precincts is scanned. Components that are sampled and coded alike need the same
+precincts of their own, so ranges are worked out once for each way of sampling and coding (a class).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.geometry import cdiv, reduced_size, sat
+from tessera.operators.geometry import CODING, cdiv, most_levels, reduced_size, sat, with_codings
 
 
 def let(rows: DataFrame, **columns: str) -> DataFrame:
@@ -39,7 +39,7 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 
 
 def discard_levels(asked: DataFrame) -> DataFrame:
-    """Adds k, the number of resolutions left out. asked: requests joined with images."""
+    """Adds k, the number of resolutions left out. asked: requests joined with images, levels being the most of any component."""
     w = lambda q: reduced_size("xsiz", "xosiz", q)
     h = lambda q: reduced_size("ysiz", "yosiz", q)
     full = asked.selectExpr("*", f"if(fx = 0, {w('0')}, fx) AS _fx", f"if(fy = 0, {h('0')}, fy) AS _fy", "sequence(0, levels) AS _q")
@@ -77,20 +77,38 @@ def window_tiles(boxes: DataFrame) -> DataFrame:
     return let(each, t="ty * tiles_x + tx", **clipped).filter("cax < cbx AND cay < cby")
 
 
-def sampling_classes(images: DataFrame) -> DataFrame:
-    """Images with comps replaced by comps_n and classes: each way of sampling, with the components cs that have it."""
+def component_classes(images: DataFrame, tile_codings: DataFrame | None = None) -> DataFrame:
+    """Images with comps replaced by comps_n and classes: each way of sampling and coding, with the components cs that have
+    it. levels is the most of any component of any tile."""
     cs = "filter(sequence(0, size(comps) - 1), c -> comps[c] = s)"
-    each = f"transform(array_distinct(comps), s -> named_struct('xr', s.xr, 'yr', s.yr, 'cs', {cs}))"
-    return images.selectExpr("*", "size(comps) AS comps_n", f"{each} AS classes").drop("comps")
+    fields = ", ".join(f"'{f}', s.{f}" for f in ("xr", "yr", *CODING))
+    each = f"transform(array_distinct(comps), s -> named_struct({fields}, 'cs', {cs}))"
+    most = "coalesce(array_max(transform(comps, x -> x.levels)), levels)"
+    found = with_codings(images).selectExpr("*", "size(comps) AS comps_n", f"{each} AS classes", f"{most} AS _most").drop("comps", *CODING)
+    if tile_codings is not None:
+        found = found.drop("_most").join(most_levels(images, tile_codings).withColumnRenamed("levels", "_most"), "image_id")
+    return found.withColumnRenamed("_most", "levels")
+
+
+def tile_classes(of_tiles: DataFrame, tile_codings: DataFrame) -> DataFrame:
+    """Rows of window_tiles() with the classes of those tiles that have codings of their own."""
+    own = tile_codings.groupBy("image_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct(*CODING)))).alias("_own"))
+    holds = ", ".join(f"'{f}', if(_own[c] IS NOT NULL, _own[c].{f}, k.{f})" for f in CODING)
+    flat = f"flatten(transform(classes, k -> transform(k.cs, c -> named_struct('c', c, 'k', named_struct('xr', k.xr, 'yr', k.yr, {holds})))))"
+    fields = ", ".join(f"'{f}', k.{f}" for f in ("xr", "yr", *CODING))
+    again = f"transform(array_distinct(transform(_flat, f -> f.k)), k -> named_struct({fields}, 'cs', array_sort(transform(filter(_flat, f -> f.k = k), f -> f.c))))"
+    joined = let(of_tiles.join(own, ["image_id", "t"], "left"), _flat=f"if(_own IS NULL, NULL, {flat})")
+    return joined.withColumn("classes", F.expr(f"if(_own IS NULL, classes, {again})")).drop("_own", "_flat")
 
 
 def class_ranges(of_tiles: DataFrame) -> DataFrame:
-    """One row per request, tile, way of sampling and resolution with the range of precinct columns and rows that each of
-    the components cs needs, and their number n_each.
+    """One row per request, tile, class and resolution with the range of precinct columns and rows that each of the components
+    cs needs, and their number n_each.
 
-    A window is widened on each resolution but the top one by what the synthesis filters reach: 8 samples, or 4 if reversible.
+    A window is widened on each resolution but the top one by what the class's synthesis filters reach: 8 samples, or 4 if
+    reversible. A class with fewer levels than are left out keeps its lowest resolution.
     """
-    by_class = of_tiles.selectExpr("*", "inline(classes)")
+    by_class = of_tiles.drop(*CODING).selectExpr("*", "inline(classes)")
     wanted = "if(comps IS NULL OR size(comps) = 0, cs, array_intersect(cs, comps))"
     on_grid = {f"tc{end}{axis}": cdiv(f"c{end}{axis}", f"{axis}r") for axis in "xy" for end in "ab"}
     on_grid |= {f"tt{end}{axis}": cdiv(f"t{axis}{end}", f"{axis}r") for axis in "xy" for end in "01"}
@@ -121,17 +139,19 @@ def class_ranges(of_tiles: DataFrame) -> DataFrame:
     )
 
 
-def resolve_classes(requests: DataFrame, images: DataFrame) -> DataFrame:
+def resolve_classes(requests: DataFrame, images: DataFrame, tile_codings: DataFrame | None = None) -> DataFrame:
     """class_ranges of every request; requests that need nothing have no rows. Counting needs no more: sum n_each times
-    size(cs). The side that is joined is one row per image. Rows are dealt by request first: a request is small and
-    what follows from it is not, and sums by request then need no further exchange."""
-    asked = with_defaults(requests).repartition("req_id").join(sampling_classes(images), "image_id")
-    return class_ranges(window_tiles(canvas_boxes(discard_levels(asked))))
+    size(cs). The side that is joined is one row per image, and tiles' own codings, if there are any, one row per such tile.
+    Rows are dealt by request first: a request is small and what follows from it is not, and sums by request then need no
+    further exchange."""
+    asked = with_defaults(requests).repartition("req_id").join(component_classes(images, tile_codings), "image_id")
+    of_tiles = window_tiles(canvas_boxes(discard_levels(asked)))
+    return class_ranges(of_tiles if tile_codings is None else tile_classes(of_tiles, tile_codings))
 
 
-def resolve(requests: DataFrame, images: DataFrame) -> DataFrame:
+def resolve(requests: DataFrame, images: DataFrame, tile_codings: DataFrame | None = None) -> DataFrame:
     """The ranges of every request, one row per tile, component c and resolution, with their number n_precincts."""
-    found = resolve_classes(requests, images).selectExpr("*", "explode(cs) AS c", "n_each AS n_precincts")
+    found = resolve_classes(requests, images, tile_codings).selectExpr("*", "explode(cs) AS c", "n_each AS n_precincts")
     return found.drop("cs", "n_each")
 
 
@@ -158,7 +178,7 @@ def union_counts(ranges: DataFrame, by: list[str], part: str, parts: int) -> Dat
 def precinct_keys(ranges: DataFrame, of_resolutions: DataFrame) -> DataFrame:
     """(req_id, image_id, t, c, r, p, I) of each precinct in the ranges, sorted within a request by I when written in order.
 
-    of_resolutions: geometry.resolutions() of the same images, for the numbers of precincts before a resolution.
+    of_resolutions: geometry.resolutions() of the same images and tile codings, for the numbers of precincts before a resolution.
     """
     rows = ranges.selectExpr("*", "explode(sequence(py_lo, py_hi - 1)) AS py").selectExpr("*", "explode(sequence(px_lo, px_hi - 1)) AS px")
     before = of_resolutions.select("image_id", "t", "c", "r", "s_offset")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="tessera-")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder: what a query reads several times is not worked out again each time."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def canvas(spark: SparkSession, tile: int = 1920) -> DataFrame:
     """One image of 1920 x 1920 samples, three components, five levels, precincts of 64 x 64, 9/7 filters."""
     return spark.range(1).selectExpr(
