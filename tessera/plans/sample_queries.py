@@ -298,7 +298,7 @@ SELECT r, g, b, {_clamp('((x + 16) >> 5) + 128')}::BIGINT AS down, {_clamp('x *
     "ycbcr_fixed_rgb": f"WITH {_PIX} SELECT r, g, b, {_fixed('BT709', '7')}, {_fixed('BT601', '6')} FROM px",
     "matrix_select": f"""WITH {_PIX}, m AS (SELECT *, CASE r % 11 WHEN 0 THEN 'RGB' WHEN 1 THEN 'BT709' WHEN 5 THEN 'BT601' WHEN 6 THEN 'BT601' WHEN 9 THEN 'BT2020' ELSE 'none' END AS matrix FROM px)
 SELECT r, g, b, matrix, {_narrow(0)}, {_narrow(1)}, {_narrow(2)} FROM m""",
-    "chroma_upsample_nn": f"WITH {_VEC} SELECT l.vec_id, l.x, l.v AS luma, c.v AS chroma FROM s l JOIN s c ON c.vec_id = l.vec_id AND c.x = l.x * 32 // 64",
+    "chroma_upsample_nn": "SELECT vec_id, x.range AS x, trunc(embedding[x.range + 1]::DOUBLE * 1024)::BIGINT AS luma, trunc(embedding[x.range * 32 // 64 + 1]::DOUBLE * 1024)::BIGINT AS chroma FROM embeddings, range(64) x",
     "dwt53_forward": f"WITH {_VEC}, d AS ({_lift('s', 1, _D53)}) {_lift('d', 0, _S53)}",
     "dwt97_forward": f"""WITH {_VEC}, s0 AS (SELECT vec_id, x, v::DOUBLE AS v FROM s), a AS ({_lift('s0', 1, f'{transform.A97!r}::DOUBLE * ({{a}} + {{b}})')}),
 b AS ({_lift('a', 0, f'{transform.B97!r}::DOUBLE * ({{a}} + {{b}})')}), c AS ({_lift('b', 1, f'{transform.C97!r}::DOUBLE * ({{a}} + {{b}})')}),
