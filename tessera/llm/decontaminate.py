@@ -16,7 +16,7 @@ from tessera.llm.fm_index import FMIndex
 #: Words of a window.
 WINDOW = 10
 #: Words of one shard; a longer document is cut into several, which share the words that a window may bridge.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 #: Bytes of a text that are cut into words at once, and words of a piece of an item.
 RUN_BYTES, PIECE_WORDS = 1 << 20, 1 << 15
 #: Bytes of test text that one pass holds; more test text is searched in further passes over the documents.
@@ -94,7 +94,10 @@ def _pattern_block(pieces: Iterator) -> dict:
         for j in range(k):  # windows of one hash that differ stay apart
             same &= ids[start[1:] + j] == ids[start[:-1] + j]
         first = np.flatnonzero(np.concatenate(([True], ~same)))
-        lengths.append((k, ids, start[first].astype(np.int32), np.append(first, len(item)).astype(np.int32), item))
+        # an item that has a window many times is named once for it
+        once = np.concatenate(([True], ~(same & (item[1:] == item[:-1]))))
+        of = np.append(np.cumsum(once)[first] - 1, once.sum())
+        lengths.append((k, ids, start[first].astype(np.int32), of.astype(np.int32), item[once]))
     return {"vocab": b" ".join(vocab), "names": list(names), "lengths": lengths}
 
 
@@ -148,11 +151,32 @@ class _Shard:
                 count = hi[hit] - lo[hit]
                 which = np.repeat(some[hit], count)
                 where = index.locate(np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo[hit], count))
-                piece = np.searchsorted(start, where, side="right") - 1
-                for p, w, x in zip(piece.tolist(), (where - start[piece]).tolist(), which.tolist(), strict=True):
-                    row, first = self.rows[p], self.first[p] + w
-                    row.spans.append((first, first + k))
-                    row.items.update(block["names"][i] for i in items[of[x] : of[x + 1]].tolist())
+                self._note_spans(np.sort(where), start, k)
+                self._note_items(np.searchsorted(start, where, side="right") - 1, which, of, items, block["names"])
+        for row in self.rows:
+            if len(row.spans) > 1:
+                row.spans = _merge(row.spans)
+
+    def _note_spans(self, where: np.ndarray, start: np.ndarray, k: int) -> None:
+        """Words hit, from places in rising order; occurrences that overlap or touch are one span."""
+        if not len(where):
+            return
+        piece = np.searchsorted(start, where, side="right") - 1
+        begins = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (where[1:] > where[:-1] + k))))
+        ends = where[np.append(begins[1:] - 1, len(where) - 1)] + k
+        for p, a, b in zip(piece[begins].tolist(), where[begins].tolist(), ends.tolist(), strict=True):
+            at = self.first[p] - self.start[p]
+            self.rows[p].spans.append((at + a, at + b))
+
+    def _note_items(self, piece: np.ndarray, which: np.ndarray, of: np.ndarray, items: np.ndarray, names: list[str]) -> None:
+        """The items of each piece's windows, each once."""
+        pairs = np.unique(piece * np.int64(len(of)) + which)
+        piece, which = pairs // len(of), pairs % len(of)
+        count = of[which + 1] - of[which]
+        item = items[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - of[which], count)]
+        found = np.unique(np.repeat(piece, count) * np.int64(len(names)) + item)
+        for p, i in zip((found // len(names)).tolist(), (found % len(names)).tolist(), strict=True):
+            self.rows[p].items.add(names[i])
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -75,3 +76,21 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert contamination(d, b).count() == 0
     assert contamination(one, b).first()[:4] == (1, 3, 0, 0)
+
+
+def test_repeated_windows_and_texts(spark):
+    """Items that repeat a passage, and a long text of few words, over many shards: as by hand, and no slower for the repeats."""
+    quote = " ".join(f"word{i}" for i in range(12))
+    items = [(1, " x ".join([quote] * 400)), (2, "same " * 400), (3, quote + " x " + quote), (1, "same " * 12)]
+    docs = [(0, " and ".join([quote] * 50)), (1, "same " * 3000 + "end " + "same " * 9), (2, ("a b c " * 40 + quote + " ") * 30), (3, "same " * 9), (4, quote)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(brute(docs, items))
+    for options in ({}, {"shard_words": 700}):
+        found = contamination(d, b, **options).collect()
+        assert sorted(tuple(r)[:6] for r in found) == want
+        assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found}[1] == [(0, 3000)]
+    began = time.monotonic()
+    big = spark.createDataFrame([(0, " and ".join([quote] * 20_000) + " same" * 300_000)], "doc_id long, text string")
+    assert contamination(big, b).first()["n_items"] == 3
+    assert time.monotonic() - began < 60
