@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.topk import Grid, QueryBlock, _tiles, exact_top_k
+from tessera.llm.topk import Grid, QueryBlock, _sort_key, _tiles, exact_top_k
 
 
 def brute(rows, k, every):
@@ -19,7 +19,7 @@ def brute(rows, k, every):
     for i, q in seen.items():
         if i % every == 0:
             best = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, w in seen.items() if j != i and len(w) == len(q))[:k]
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+            out += [(i, r + 1, j, -s if -(1 << 63) <= -s < 1 << 63 else None) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
 
@@ -54,10 +54,19 @@ def test_scales_clusters_and_outliers(spark):
         assert sorted(map(tuple, exact_top_k(df, 5, 10).collect())) == brute(rows, 5, 10)
 
 
-def test_huge_components_take_no_part(spark):
-    rows = [(i, [float(i), 1.0]) for i in range(0, 40)] + [(40, [1e300, 1.0]), (41, [-1e300, 1e300]), (42, [1e17, 0.0])]
+def test_huge_components(spark):
+    """No finite vector is left out; scores beyond a long are null, but ranked."""
+    rows = [(i, [float(i), 1.0]) for i in range(0, 40)] + [(40, [1e300, 1.0]), (41, [-1e300, 1e300]), (42, [1e17, 0.0]), (44, [1e17, 1e3]), (60, [-1e17, 5.0]), (70, [1e300, -1e300])]
+    rows += [(101, [0.5, 0.5]), (102, [1e7, 0.0]), (50, [2e7, 1.0]), (103, [1e9, -1e9]), (104, [1e9, 1e9]), (105, [2.0**53, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, exact_top_k(df, 5, 10).collect())) == brute(rows[:40], 5, 10)
+    for some in (rows, rows[:40] + rows[46:], rows[:40]):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, exact_top_k(df, 5, 10).collect())) == brute(some, 5, 10)
+
+
+def test_order_of_scores_of_any_size():
+    values = [0, 1, -1, 2**63 - 1, 2**63, -(2**63), -(2**63) - 1, 10**30, 10**30 + 1, -(10**30), -(10**30) - 1, 10**400, 10**401, -(10**400), -(10**401), 99 * 10**30]
+    assert sorted(values) == sorted(values, key=lambda v: (*_sort_key(v)[:2], v))
 
 
 def test_a_task_holds_tiles_only():
