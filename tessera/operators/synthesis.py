@@ -56,6 +56,44 @@ def safe_reduction(directions: Column) -> Column:
     return F.when(odd > 0, odd - 1).otherwise(F.size(directions)).cast("int")
 
 
+def band_ranges(levels: DataFrame, by: list[str], k: str = "k") -> DataFrame:
+    """by..., level, band, range, number: the nominal range of each band's samples, with which its quantiser's step is scaled, and the
+    band's place among the steps that a header lists (the lowest band's is 0, then from the last level to the first).
+
+    levels: the levels table with a column of the kernel's low-pass gain. A split multiplies the range of what is low by the gain
+    and that of what is high by 2 / gain; an axis of one sample is not split. Levels of empty planes have no bands.
+    """
+    wide, tall = F.col("direction").isin(BOTH, ALONG), F.col("direction").isin(BOTH, DOWN)
+    names = F.when(wide & tall, F.array(F.lit("HL"), F.lit("LH"), F.lit("HH"))).when(wide, F.array(F.lit("HL"))).when(tall, F.array(F.lit("LH")))
+    one = F.struct("level", "direction", "u0", "u1", "v0", "v1", F.coalesce(names, F.array().cast("array<string>")).alias("names"))
+    all_ = levels.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_l"), F.first(k).alias("_k"))
+
+    def step(acc: Column, i: Column) -> Column:
+        """A level: what it splits is the plane of the level before, of a range that is carried along."""
+        last, before, now = F.element_at(acc, -1), F.get("_l", i - 1), F.get("_l", i)
+        across = now["direction"].isin(BOTH, ALONG) & (before["u1"] - before["u0"] > 1)
+        down = now["direction"].isin(BOTH, DOWN) & (before["v1"] - before["v0"] > 1)
+        low = lambda c: F.when(c, F.col("_k")).otherwise(1.0)
+        high = lambda c: F.when(c, 2.0 / F.col("_k")).otherwise(1.0)
+        n = last["low"]
+        return F.concat(acc, F.array(F.struct(
+            (n * low(across) * low(down)).alias("low"), (n * high(across) * low(down)).alias("HL"), (n * low(across) * high(down)).alias("LH"), (n * high(across) * high(down)).alias("HH"),
+        )))
+
+    start = F.array(F.struct(*[F.lit(1.0).alias(c) for c in ("low", "HL", "LH", "HH")]))
+    order = F.when(F.size("_l") > 1, F.sequence(F.lit(1), F.size("_l") - 1)).otherwise(F.array().cast("array<int>"))
+    held = all_.withColumn("_r", F.aggregate(order, start, step))
+    each = held.select(*by, "_l", F.size("_l").alias("_n"), F.posexplode("_r").alias("level", "_r"))
+    here, plane = F.get("_l", F.col("level")), F.get("_l", F.greatest(F.col("level") - 1, F.lit(0)))
+    later = F.aggregate(F.slice("_l", F.col("level") + 2, F.col("_n")), F.lit(1), lambda a, x: a + F.size(x["names"]))
+    deepest = F.when(F.col("level") == F.col("_n") - 1, F.array(F.struct(F.lit("LL").alias("band"), F.col("_r.low").alias("range"), F.lit(0).alias("number"))))
+    value = lambda b: F.when(b == "HL", F.col("_r.HL")).when(b == "LH", F.col("_r.LH")).otherwise(F.col("_r.HH"))
+    details = F.transform(here["names"], lambda b, i: F.struct(b.alias("band"), value(b).alias("range"), (later + i).alias("number")))
+    bands = F.concat(F.coalesce(deepest, F.slice(details, 1, 0)), F.when(F.col("level") > 0, details).otherwise(F.slice(details, 1, 0)))
+    some = each.filter((plane["u1"] > plane["u0"]) & (plane["v1"] > plane["v0"]))
+    return some.select(*by, "level", F.inline(bands))
+
+
 def _bound(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 

@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.operators.viewport import discard_levels, with_defaults
 from tessera.plans import stream_queries
 from tessera.plans.common import REQUESTS_SQL, canvas, order_requests, part_images, shared_dir, table
 from tessera.sources import codestream, jpp, requests, rtp
 from tessera.streaming.frames import assemble_stream, message_stream
+from tessera.streaming.sessions import serve_stream
 
 
 def rtp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,23 +70,40 @@ def frame_assembly_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_steps(rows: DataFrame, stream, order: str, name: str, steps: int = 4) -> DataFrame:
-    """What a streaming query gives for rows that come in so many files one after the other, each a micro-batch of its own,
-    so that state is carried from each to the next. The files are in the folder that driver and executors share."""
+    """What a streaming query gives for rows that come in so many steps, one after the other: it is started again for each, reads the
+    files that have come by then, and goes on with its state. The rows are worked out once and written by many tasks, into
+    the folder that driver and executors share."""
     spark = rows.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     lo, hi = rows.agg(F.min(order), F.max(order)).first()
     width = ((hi or 0) - (lo or 0)) // steps + 1
-    for k in range(steps):
-        rows.filter(F.expr(f"({order} - {lo or 0}) div {width} = {k}")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    rows.withColumn("_step", F.expr(f"({order} - {lo or 0}) div {width}")).write.partitionBy("_step").parquet(f"{at}/staged")
+    staged = spark.read.schema(StructType([*rows.schema, StructField("_step", LongType())])).parquet(f"{at}/staged")
     own = spark.newSession()  # so that the caller's settings stay as they are
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    source = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    query = stream(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
-    query.trigger(availableNow=True).start().awaitTermination()
+    for k in range(steps):
+        staged.filter(F.col("_step") == k).drop("_step").write.mode("append").parquet(f"{at}/in")
+        source = own.readStream.schema(rows.schema).parquet(f"{at}/in")
+        query = stream(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+        query.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
 
+def session_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests of their customers' sessions: five bins each, of which only those are sent that no request before has had."""
+    bins = "transform(sequence(0L, 4L), k -> named_struct('id', (o_orderkey + k * k * 3) % 40, 'size', 50 + (o_orderkey + k * k * 3) % 40 * 7))"
+    asked = table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_custkey % 200 AS string) AS session", "o_orderkey AS request", f"array_distinct({bins}) AS bins", "cast(null AS bigint) AS budget",
+        "cast(null AS array<struct<id: bigint, kind: string, bytes: bigint>>) AS model",
+    )
+    found = in_steps(asked, serve_stream, "request", "sessions")
+    whole = F.col("id").isNull()
+    return found.groupBy("session", "request").agg(
+        F.count("id").alias("bins"), F.max(F.when(whole, F.col("sent"))).alias("bytes"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids"), F.max("reason").cast("bigint").alias("reason")
+    )
+
+
 def jpp_resumed_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streams of jpp_parse in pieces of 700 bytes, which come in four micro-batches and cut messages anywhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("class"), F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("payload"))
@@ -98,9 +117,14 @@ def jpp_resumed_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (rtp_parse, jpp_parse, marker_parse, request_parse, frame_assembly_streaming, jpp_resumed_streaming)}
+QUERIES = {f.__name__: f for f in (rtp_parse, jpp_parse, marker_parse, request_parse, frame_assembly_streaming, jpp_resumed_streaming, session_responses)}
 
 ORACLE_SQL = {
+    "session_responses": """WITH q AS (SELECT (o_custkey % 200)::VARCHAR AS session, o_orderkey AS request, (o_orderkey + k.range * k.range * 3) % 40 AS id FROM orders, range(5) k),
+f AS (SELECT session, id, min(request) AS request FROM q GROUP BY session, id),
+s AS (SELECT session, request, count(*) AS bins, sum(50 + id * 7)::BIGINT AS bytes, sum(id)::BIGINT AS ids FROM f GROUP BY session, request)
+SELECT o.session, o.request, coalesce(bins, 0) AS bins, coalesce(bytes, 0) AS bytes, coalesce(ids, 0) AS ids, 2::BIGINT AS reason
+FROM (SELECT DISTINCT session, request FROM q) o LEFT JOIN s ON s.session = o.session AND s.request = o.request""",
     "rtp_parse": """WITH e AS (SELECT *, event_id % 19 = 0 AS cut FROM events)
 SELECT event_id, CASE WHEN cut THEN 'overrun' ELSE '' END AS reject, event_id % 65536 AS seq, event_id * 1500 % 4294967296 AS ts, user_id AS ssrc, event_id % 5 = 4 AS marker,
   event_id % 5 = 0 AS main, event_id % 5 = 0 AND event_type = 'view' AS r, event_id % 256 AS eseq, CASE WHEN cut THEN 0 ELSE event_id % 50 END AS length FROM e""",

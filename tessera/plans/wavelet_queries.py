@@ -70,7 +70,18 @@ def header_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (bands_with_origins, region_synthesis, region_needs, header_kernels)}
+def nominal_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of the bands of images of one to six levels in different directions, some of them one sample wide."""
+    sizes = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS image", "p_partkey % 3 AS x0", "p_partkey % 3 + if(p_partkey % 7 = 0, 1, 40) AS x1", "0L AS y0", "1 + p_partkey % 5 * 9 AS y1",
+        "transform(sequence(1, 1 + cast(p_partkey % 6 AS int)), k -> cast((p_partkey + k * k) % 4 AS int)) AS directions", "true AS reversible",
+    )
+    levels = synthesis.planes(sizes.withColumn("steps", synthesis.kernel("9/7")), ["image"])
+    found = synthesis.band_ranges(levels.withColumn("k", 1.0 + F.col("image") % 8 / 16), ["image"])
+    return found.select("image", F.col("level").cast("bigint").alias("level"), "band", F.round("range", 6).alias("range"), F.col("number").cast("bigint").alias("number"))
+
+
+QUERIES = {f.__name__: f for f in (nominal_ranges, bands_with_origins, region_synthesis, region_needs, header_kernels)}
 
 _PLANES = f"{_VEC}, p AS (SELECT vec_id // {_LINES} AS image, vec_id % {_LINES} + (vec_id // {_LINES}) % 3 AS y, x + (vec_id // {_LINES}) % 2 AS x, v FROM s)"
 
@@ -102,6 +113,26 @@ def _rule(whole: str, long: str, short: str) -> str:
 
 
 ORACLE_SQL = {
+    "nominal_ranges": """WITH RECURSIVE im AS (
+  SELECT p_partkey AS image, p_partkey % 3 AS u0, p_partkey % 3 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 40 END AS u1, 0::BIGINT AS v0, 1 + p_partkey % 5 * 9 AS v1,
+    1 + p_partkey % 6 AS n, 1.0::DOUBLE + p_partkey % 8 / 16.0::DOUBLE AS k FROM part
+), r AS (
+  SELECT image, 0 AS level, u0, u1, v0, v1, n, k, 1.0::DOUBLE AS low, 0 AS d, 1.0::DOUBLE AS hl, 1.0::DOUBLE AS lh, 1.0::DOUBLE AS hh, true AS ok FROM im
+  UNION ALL SELECT image, level, CASE WHEN d IN (1, 2) THEN (u0 + 1) // 2 ELSE u0 END, CASE WHEN d IN (1, 2) THEN (u1 + 1) // 2 ELSE u1 END,
+    CASE WHEN d IN (1, 3) THEN (v0 + 1) // 2 ELSE v0 END, CASE WHEN d IN (1, 3) THEN (v1 + 1) // 2 ELSE v1 END, n, k,
+    low * CASE WHEN a THEN k ELSE 1 END * CASE WHEN b THEN k ELSE 1 END, d, low * CASE WHEN a THEN 2 / k ELSE 1 END * CASE WHEN b THEN k ELSE 1 END,
+    low * CASE WHEN a THEN k ELSE 1 END * CASE WHEN b THEN 2 / k ELSE 1 END, low * CASE WHEN a THEN 2 / k ELSE 1 END * CASE WHEN b THEN 2 / k ELSE 1 END, u1 > u0 AND v1 > v0
+  FROM (
+    SELECT *, d IN (1, 2) AND u1 - u0 > 1 AS a, d IN (1, 3) AND v1 - v0 > 1 AS b
+    FROM (SELECT image, level + 1 AS level, u0, u1, v0, v1, n, k, low, ((image + (level + 1) * (level + 1)) % 4)::INT AS d FROM r WHERE level < n)
+  )
+), s AS (SELECT *, CASE d WHEN 1 THEN 3 WHEN 0 THEN 0 ELSE 1 END AS bands FROM r WHERE level > 0),
+o AS (SELECT *, 1 + coalesce(sum(bands) OVER (PARTITION BY image ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM s),
+b AS (
+  SELECT image, level, 'LL' AS band, low AS range, 0 AS number, ok FROM o WHERE level = n
+  UNION ALL SELECT image, level, 'HL', hl, first, ok FROM o WHERE d IN (1, 2) UNION ALL SELECT image, level, 'LH', lh, first + CASE d WHEN 1 THEN 1 ELSE 0 END, ok FROM o WHERE d IN (1, 3)
+  UNION ALL SELECT image, level, 'HH', hh, first + 2, ok FROM o WHERE d = 1
+) SELECT image, level::BIGINT AS level, band, round(range, 6) AS range, number::BIGINT AS number FROM b WHERE ok""",
     "bands_with_origins": f"""WITH {_PLANES}, a AS ({_lift('p', 1, _D53, 'image, x', 'y')}), b AS ({_lift('a', 0, _S53, 'image, x', 'y')}),
 c AS ({_lift('b', 1, _D53, 'image, y', 'x')}), d AS ({_lift('c', 0, _S53, 'image, y', 'x')})
 SELECT image, (CASE WHEN x % 2 = 0 AND y % 2 = 0 THEN 'LL' WHEN y % 2 = 0 THEN 'HL' WHEN x % 2 = 0 THEN 'LH' ELSE 'HH' END) AS band, y // 2 AS y, x // 2 AS x, v FROM d""",
