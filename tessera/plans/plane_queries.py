@@ -84,9 +84,6 @@ WHERE x // 8 >= 2 AND x // 8 < 7 AND x % 8 >= vec_id % 4 GROUP BY ALL""",
     "min_levels": "SELECT l_orderkey AS image_id, min(l_partkey % 7) AS most FROM lineitem GROUP BY l_orderkey",
     "coding_precedence": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'tile component' WHEN p_partkey % 2 = 1 AND p_partkey % 3 = 0 THEN 'main component'
   WHEN p_partkey % 5 = 0 THEN 'tile' ELSE 'main' END AS coding FROM part""",
-    "quantiser_dump": sample_queries.ORACLE_SQL["qfactor_bands"].replace(
-        " SELECT q, component, band::BIGINT AS band, eps * 2048 + mu AS word FROM pk",
-        """, l AS (SELECT q, string_agg(lower(printf('%04x', eps * 2048 + mu)), ' ' ORDER BY band) AS words FROM pk WHERE component = 'Y' GROUP BY q)
+    "quantiser_dump": f"""{sample_queries._WORDS_SQL}, l AS (SELECT q, string_agg(lower(printf('%04x', eps * 2048 + mu)), ' ' ORDER BY band) AS words FROM pk WHERE component = 'Y' GROUP BY q)
 SELECT p_partkey, 'QCD     : ' || words AS line FROM part JOIN l ON l.q = 1 + p_partkey % 100""",
-    ),
 }

@@ -174,11 +174,12 @@ def qfactor_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qfactor_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step words of all factors, for luma and both chroma components at 8 bits and five levels."""
+    """Step words of each part's factor, for luma and both chroma components at 8 bits and five levels."""
     out = None
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "1 + p_partkey % 100 AS q")
     for name in ("Y", "Cb", "Cr"):
-        rows = spark.range(1, 101).withColumnRenamed("id", "q").join(F.broadcast(quant.bands(spark, 5, name)))
-        found = quant.steps(rows, "q", name, 8).select("q", F.lit(name).alias("component"), *_named((F.col("band"), F.col("word")), ("band", "word")))
+        rows = parts.join(F.broadcast(quant.bands(spark, 5, name)))
+        found = quant.steps(rows, "q", name, 8).select("p_partkey", F.lit(name).alias("component"), *_named((F.col("band"), F.col("word")), ("band", "word")))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -285,6 +286,10 @@ def _tone_sql(e: str, name: str) -> str:
 {name} AS (SELECT * EXCLUDE (w), least(greatest(({_PQ.format(e='w')}) / {color.DISPLAY_PEAK!r}::DOUBLE, 0), 1) AS {name}_v FROM {name}3)"""
 
 
+#: The step words of all factors (pk).
+_WORDS_SQL = f"""WITH {_BANDS_SQL}, qs AS (SELECT i AS q FROM range(1, 101) t(i)), s AS (SELECT *, {_Q_SQL} FROM qs), qb AS (SELECT * FROM s, bd),
+{_STEPS_SQL.format(s=_SCALE)}, {_packed('step')}"""
+
 ORACLE_SQL = {
     "rct_forward_inverse": f"""WITH {_PIX}, f AS (SELECT *, ((r + 2 * g + b) >> 2)::BIGINT AS y, (b - g)::BIGINT AS cb, (r - g)::BIGINT AS cr FROM px)
 SELECT *, cr + y - ((cb + cr) >> 2) AS r2, y - ((cb + cr) >> 2) AS g2, cb + y - ((cb + cr) >> 2) AS b2 FROM f""",
@@ -328,8 +333,8 @@ SELECT a, b, round({_SRGB.format(e='tr_v')}, 7) AS r, round({_SRGB.format(e='tg_
 SELECT p_partkey, eps, mu, round(pow(2::DOUBLE, -eps) * (1 + mu / 2048.0::DOUBLE), 12) AS back FROM pk""",
     "qfactor_curve": f"""WITH p AS (SELECT p_partkey, 1 + p_partkey % 100 AS q FROM part), s AS (SELECT *, {_Q_SQL} FROM p)
 SELECT p_partkey, q, round({_SCALE}, 9) AS scale, round(power, 9) AS power FROM s""",
-    "qfactor_bands": f"""WITH {_BANDS_SQL}, qs AS (SELECT i AS q FROM range(1, 101) t(i)), s AS (SELECT *, {_Q_SQL} FROM qs), qb AS (SELECT * FROM s, bd),
-{_STEPS_SQL.format(s=_SCALE)}, {_packed('step')} SELECT q, component, band::BIGINT AS band, eps * 2048 + mu AS word FROM pk""",
+    "qfactor_bands": f"""{_WORDS_SQL}, w AS (SELECT q, component, band::BIGINT AS band, eps * 2048 + mu AS word FROM pk)
+SELECT p_partkey, component, band, word FROM part JOIN w ON w.q = 1 + p_partkey % 100""",
     "qfactor_estimate": f"""WITH {_BANDS_SQL}, qs AS (SELECT i AS q FROM range(1, 101) t(i)), s AS (SELECT *, {_Q_SQL} FROM qs), qb AS (SELECT * FROM s, bd WHERE component = 'Y'),
 {_STEPS_SQL.format(s=_SCALE)}, {_packed('step')}, w AS (SELECT q, band, eps, mu FROM pk),
 o AS (SELECT p_partkey, 1 + p_partkey % 99 AS made_with, band, eps, CASE WHEN p_partkey % 4 = 3 THEN (mu + 300 * (band % 3)) % 2048 ELSE mu END AS mu FROM part JOIN w ON w.q = 1 + p_partkey % 99),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import quant, transform
+from tessera.functions import color, quant, transform
 from tessera.operators import cache, frames, geometry, layout, viewport
 from tessera.plans import sample_queries, stream_queries
-from tessera.plans.common import SPANS_SQL, canvas, order_requests, part_images, table
-from tessera.sources import codestream, images, requests, rtp
+from tessera.plans.common import SPANS_SQL, canvas, order_requests, part_images, shared_dir, table
+from tessera.sources import codestream, images, jpp, requests, rtp
 
 
 def _hex(value: Column, size: int) -> Column:
@@ -221,13 +223,44 @@ def visual_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.explode(F.array(*out)).alias("w")).select("p_partkey", "w.*")
 
 
+def jpp_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sent as messages, put together again from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3 * 2).alias("class"), F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("payload"))
+    found = jpp.bins(jpp.messages(jpp.emit(docs, ["doc_id"], "id")), ["doc_id"])
+    return found.select("doc_id", F.col("class").cast("bigint").alias("class"), "id", F.col("bytes").cast("bigint").alias("bytes"), "complete", F.sha2("payload", 256).alias("sha"))
+
+
+def chroma_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "1 + p_partkey % 3 AS xr", "1 + p_partkey % 2 AS yr")
+    return rows.select("p_partkey", F.coalesce(color.chroma_format(F.col("xr"), F.col("yr")), F.lit("")).alias("format"))
+
+
+def _written_images(kind: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Vectors' planes as image files, written and read again."""
+        images.register(spark)
+        folder = f"{shared_dir(spark).removeprefix('file://')}/tessera/images-{uuid.uuid4().hex}"
+        signed = kind == "pgx"
+        lines = sample_queries._planes(spark, sf_dir).select(
+            F.concat(F.col("vec_id").cast("string"), F.lit(f".{kind}")).alias("path"), F.lit(0).alias("c"), F.col("y").cast("int").alias("y"),
+            F.transform("row", lambda x: (x % 1000 if signed else F.abs(x) % 256).cast("int")).alias("row"),
+        )
+        out = lines.repartition("path").sortWithinPartitions("path").write.format(kind).mode("append")
+        out.option("depth", 12 if signed else 8).option("signed", str(signed).lower()).save(folder)
+        found = spark.read.format(kind).load(folder)
+        image = F.regexp_extract("path", r"(\d+)(_00)?\.\w+$", 1).cast("bigint").alias("vec_id")
+        return found.select(image, F.col("y").cast("bigint").alias("y"), F.aggregate("row", F.lit(0).cast("bigint"), lambda a, x: a * 3 + x).alias("mixed"))
+
+    return query
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         component_codings, boxes, capture_parse, rtp_rejects, media_types, code_block_grid, precincts_in_order, smallest_precinct, layer_starts,
-        bytes_per_tile, precinct_filter, zero_rows, first_frames, session_commit, merged_headers, dwt53_real, block_coefficients, visual_weights,
+        bytes_per_tile, precinct_filter, zero_rows, first_frames, session_commit, merged_headers, dwt53_real, block_coefficients, visual_weights, jpp_bins, chroma_formats,
     )
-} | {"pnm_lines": _lines("pnm"), "pgx_lines": _lines("pgx")}
+} | {"pnm_lines": _lines("pnm"), "pgx_lines": _lines("pgx"), "pnm_written": _written_images("pnm"), "pgx_written": _written_images("pgx")}
 
 _IMAGE_LINES = """WITH f AS (SELECT p_partkey AS image, p_partkey % 5 + 1 AS h FROM part),
 s AS (SELECT image, y.y, x.range AS x, {v} AS v FROM f, LATERAL (SELECT unnest(range(h)) AS y) y, range(4) x WHERE image % 11 <> 0)
@@ -236,7 +269,14 @@ UNION ALL SELECT image, -1, 0, 0, true FROM f WHERE image % 11 = 0"""
 
 _MIDDLE = "CASE WHEN v <> 0 THEN v | (1::BIGINT << (18 + missing)) ELSE v END"
 
+_WRITTEN = """WITH s AS (SELECT vec_id, y.range AS y, x.range AS x, trunc(embedding[y.range * 8 + x.range + 1]::DOUBLE * 1024)::BIGINT AS v FROM embeddings, range(8) y, range(8) x)
+SELECT vec_id, y, sum({v} * pow(3, 7 - x)::BIGINT)::BIGINT AS mixed FROM s GROUP BY vec_id, y"""
+
 ORACLE_SQL = {
+    "jpp_bins": "SELECT doc_id, doc_id % 3 * 2 AS class, doc_id AS id, strlen(text) AS bytes, true AS complete, sha256(text) AS sha FROM documents",
+    "chroma_formats": "SELECT p_partkey, CASE 10 * (1 + p_partkey % 3) + 1 + p_partkey % 2 WHEN 11 THEN '444' WHEN 21 THEN '422' WHEN 22 THEN '420' ELSE '' END AS format FROM part",
+    "pnm_written": _WRITTEN.format(v="abs(v) % 256"),
+    "pgx_written": _WRITTEN.format(v="v % 1000"),
     "component_codings": """WITH p AS (SELECT p_partkey AS image_id, p_partkey % 6 AS levels, p_partkey % 2 = 1 AS reversible, c.range AS c FROM part, range(3) c),
 k AS (SELECT *, image_id % 5 = 0 AS own, image_id % 5 = 0 AND c = (image_id + 1) % 3 AS by_tile, image_id % 2 = 0 AND c = image_id % 3 AS by_image FROM p)
 SELECT image_id, c, CASE WHEN by_tile THEN (image_id + 2) % 6 WHEN by_image AND NOT own THEN (image_id + 1) % 6 ELSE levels END AS levels,
