@@ -11,7 +11,7 @@ from tessera.functions import color, quant, transform
 from tessera.operators import cache, frames, geometry, layout, viewport
 from tessera.plans import sample_queries, stream_queries
 from tessera.plans.common import SPANS_SQL, canvas, order_requests, part_images, shared_dir, table
-from tessera.sources import codestream, images, jpp, requests, rtp
+from tessera.sources import codestream, images, jpp, requests, rtp, table_functions
 
 
 def _hex(value: Column, size: int) -> Column:
@@ -32,19 +32,38 @@ def component_codings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", F.col("c").cast("bigint").alias("c"), F.col("levels").cast("bigint").alias("levels"), "reversible", "from")
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers with a plain box, a box of two boxes and a codestream box that takes the rest."""
     n = F.col("p_partkey") % 40
     plain = F.concat(_hex(n + 8, 4), F.hex(F.lit("free")), F.repeat(F.lit("aa"), n.cast("int")))
     head = F.concat(_hex(F.lit(36), 4), F.hex(F.lit("jp2h")), _hex(F.lit(12), 4), F.hex(F.lit("ihdr")), F.lit("00000001"), _hex(F.lit(16), 4), F.hex(F.lit("colr")), F.lit("00" * 8))
     rest = F.concat(F.lit("00000000"), F.hex(F.lit("jp2c")), F.repeat(F.lit("bb"), (n + 1).cast("int")))
-    files = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.concat(plain, head, rest)).alias("content"))
-    found = codestream.boxes(files)
+    return table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.concat(plain, head, rest)).alias("content"))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codestream.boxes(_containers(spark, sf_dir))
     return found.select(
         "p_partkey", F.col("number").cast("bigint").alias("number"), F.col("depth").cast("bigint").alias("depth"), "type", "begin", "end"
     )
 
 
+def boxes_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of the same containers, by a table function in SQL."""
+    table_functions.register(spark)
+    sql = "SELECT f.p_partkey, bigint(b.number) number, bigint(b.depth) depth, b.type, b.begin, b.end FROM {files} f, LATERAL boxes(f.content) b"
+    return spark.sql(sql, files=_containers(spark, sf_dir))
+
+
+def messages_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sent as messages, counted by a table function in SQL."""
+    table_functions.register(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("class"), F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("payload"))
+    sql = """SELECT s.doc_id, count_if(m.eor IS NULL) messages, sum(if(m.eor IS NULL, m.msg_length, 0)) bytes, bigint(max(m.eor)) eor, count_if(m.is_last AND m.eor IS NULL) last
+        FROM {streams} s, LATERAL jpp_messages(s.bytes) m GROUP BY s.doc_id"""
+    return spark.sql(sql, streams=jpp.emit(docs, ["doc_id"], "id"))
+
+
 def _image_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     i, height = F.col("p_partkey"), F.col("p_partkey") % 5 + 1
     count = (height * 4).cast("int")
@@ -258,7 +277,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         component_codings, boxes, capture_parse, rtp_rejects, media_types, code_block_grid, precincts_in_order, smallest_precinct, layer_starts,
-        bytes_per_tile, precinct_filter, zero_rows, first_frames, session_commit, merged_headers, dwt53_real, block_coefficients, visual_weights, jpp_bins, chroma_formats,
+        bytes_per_tile, precinct_filter, zero_rows, first_frames, session_commit, merged_headers, dwt53_real, block_coefficients, visual_weights, jpp_bins, chroma_formats, boxes_in_sql, messages_in_sql,
     )
 } | {"pnm_lines": _lines("pnm"), "pgx_lines": _lines("pgx"), "pnm_written": _written_images("pnm"), "pgx_written": _written_images("pgx")}
 
@@ -343,3 +362,7 @@ SELECT p_partkey, format, band,
   round(CASE WHEN fl <= df THEN 1 ELSE 0.801::DOUBLE * pow(1 + 0.7 / 100, -0.2) * 0.9 * fl * exp(-0.3::DOUBLE * pow(2, 0.15) * 0.9 * fl) * sqrt(1 + 0.06 * exp(0.3::DOUBLE * pow(2, 0.15) * 0.9 * fl)) / dt END, 6) AS daly,
   round(exp(-pow(0.1173 * fc, 0.840)), 6) AS cb, round(exp(-pow(0.0699 * fc, 1.050)), 6) AS cr FROM q, t""",
 }
+
+ORACLE_SQL["boxes_in_sql"] = ORACLE_SQL["boxes"]
+ORACLE_SQL["messages_in_sql"] = """WITH d AS (SELECT doc_id, strlen(text) AS n FROM documents)
+SELECT doc_id, greatest(1, (n + 986) // 987) AS messages, n AS bytes, 2::BIGINT AS eor, 1::BIGINT AS last FROM d"""
