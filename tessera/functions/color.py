@@ -194,3 +194,23 @@ def display_pipeline(
 def transfer_of(trans: Column) -> Column:
     """Curve by transfer code point: 16 is PQ, 18 is HLG, all else a plain gamma."""
     return F.when(trans == 16, "pq").when(trans == 18, "hlg").otherwise("gamma22")
+
+
+def colour_choice(
+    described: Column, trans: Column, prims: Column, transfer: str = "auto", fallback: str = "gamma22", wide_fallback: bool = False, wide_display: bool = False,
+    display: str = "srgb", tonemap: str = "auto",
+) -> Column:
+    """What display_pipeline() is to do with a frame: transfer, wide_gamut, bt2390 and display.
+
+    described: whether the frame describes its colours; trans and prims: its code points. Unless a transfer is asked for, a
+    described frame's code point decides, and the fallback where that is unknown or the frame describes nothing. Primaries of
+    code point 9 are wide, and are turned to those of a display that is not. Tone mapping is for absolute light only, so for PQ
+    and unless clipping is asked for.
+    """
+    known = F.when(trans.isin(1, 6, 14, 15), "gamma22").when(trans == 16, "pq").when(trans == 18, "hlg")
+    by_frame = F.coalesce(F.when(described, known), F.lit(fallback))
+    curve = by_frame if transfer == "auto" else F.lit(transfer)
+    wide = F.coalesce(F.when(described, F.coalesce(prims == 9, F.lit(False))), F.lit(wide_fallback))
+    return F.struct(
+        curve.alias("transfer"), (wide & F.lit(not wide_display)).alias("wide_gamut"), ((curve == "pq") & F.lit(tonemap != "clip")).alias("bt2390"), F.lit(display).alias("display")
+    )

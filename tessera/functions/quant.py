@@ -210,12 +210,20 @@ def block_coefficient(bits31: Column, negative: Column, missing: Column, magnitu
     return F.when(negative, -whole).otherwise(whole)
 
 
-def block_coefficient_ht(bits31: Column, negative: Column, magnitude_bits: int, reversible: bool, step: Column | None = None) -> Column:
-    """The same for a high-throughput block without a region of interest: no middle is added; lossy values are a real
-    product of the bits, the step and 13 fraction bits."""
+def block_coefficient_ht(bits31: Column, negative: Column, magnitude_bits: int, reversible: bool, step: Column | None = None, roi: int = 0) -> Column:
+    """The same for a high-throughput block: no middle is added. Lossy values are a real product of the bits, the step and 13
+    fraction bits; with a region of interest, they are rounded to 16 bits first, and so is the product, as a whole number."""
     below = 31 - magnitude_bits
     v = bits31.cast("bigint")
-    out = F.shiftright(v, below) if reversible else v * step * 2.0 ** (13 - below)
+    if roi:
+        v = F.when(v < 1 << below, F.shiftleft(v, roi)).otherwise(v)
+    if reversible:
+        out = F.shiftright(v, below)
+    elif roi:
+        scale = F.floor(step * F.pow(F.lit(2.0), F.lit(13 - below + 31)) + 0.5).cast("bigint")
+        out = F.shiftright(F.shiftright(v + (1 << 15), 16) * scale + (1 << 14), 15)
+    else:
+        out = v * step * 2.0 ** (13 - below)
     return F.when(negative, -out).otherwise(out)
 
 

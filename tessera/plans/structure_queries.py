@@ -254,6 +254,24 @@ def chroma_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.coalesce(color.chroma_format(F.col("xr"), F.col("yr")), F.lit("")).alias("format"))
 
 
+def colour_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is done with frames that describe their colours, or do not, under three sets of options."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 3 > 0 AS s", "cast(event_id % 20 AS int) AS trans", "cast(event_id % 11 AS int) AS prims")
+    options = ({}, {"fallback": "hlg", "wide_fallback": True, "tonemap": "clip"}, {"transfer": "pq", "wide_display": True, "display": "linear"})
+    made = [color.colour_choice(F.col("s"), F.col("trans"), F.col("prims"), **o).alias(f"o{i}") for i, o in enumerate(options)]
+    text = lambda o: F.concat_ws(" ", o["transfer"], o["wide_gamut"].cast("string"), o["bt2390"].cast("string"), o["display"])
+    chosen = rows.select("event_id", *made)
+    return chosen.select("event_id", *[text(F.col(f"o{i}")).alias(f"o{i}") for i in range(3)])
+
+
+def roi_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of high-throughput blocks with a region of interest shifted by 5 bits, of 12-bit bands."""
+    v = F.expr("if(event_id % 4 = 0, (event_id * 97) % 524288, shiftleft((event_id * 2654435761) % 4096, 19))")
+    rows = table(spark, sf_dir, "events").select("event_id", v.alias("v"))
+    negative, step = F.col("event_id") % 3 == 0, 0.25 + (F.col("event_id") % 8) * 0.125
+    return rows.select("event_id", quant.block_coefficient_ht(F.col("v"), negative, 12, True, roi=5).alias("whole"), quant.block_coefficient_ht(F.col("v"), negative, 12, False, step, 5).alias("lossy"))
+
+
 def _written_images(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Vectors' planes as image files, written and read again."""
@@ -277,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         component_codings, boxes, capture_parse, rtp_rejects, media_types, code_block_grid, precincts_in_order, smallest_precinct, layer_starts,
-        bytes_per_tile, precinct_filter, zero_rows, first_frames, session_commit, merged_headers, dwt53_real, block_coefficients, visual_weights, jpp_bins, chroma_formats, boxes_in_sql, messages_in_sql,
+        bytes_per_tile, precinct_filter, zero_rows, first_frames, session_commit, merged_headers, dwt53_real, block_coefficients, visual_weights, jpp_bins, chroma_formats, colour_choices, roi_coefficients, boxes_in_sql, messages_in_sql,
     )
 } | {"pnm_lines": _lines("pnm"), "pgx_lines": _lines("pgx"), "pnm_written": _written_images("pnm"), "pgx_written": _written_images("pgx")}
 
@@ -366,3 +384,11 @@ SELECT p_partkey, format, band,
 ORACLE_SQL["boxes_in_sql"] = ORACLE_SQL["boxes"]
 ORACLE_SQL["messages_in_sql"] = """WITH d AS (SELECT doc_id, strlen(text) AS n FROM documents)
 SELECT doc_id, greatest(1, (n + 986) // 987) AS messages, n AS bytes, 2::BIGINT AS eor, 1::BIGINT AS last FROM d"""
+ORACLE_SQL["roi_coefficients"] = """WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS s, 0.25::DOUBLE + event_id % 8 * 0.125::DOUBLE AS step,
+  CASE WHEN event_id % 4 = 0 THEN (event_id * 97) % 524288 ELSE ((event_id * 2654435761) % 4096) << 19 END AS v FROM events),
+u AS (SELECT *, CASE WHEN v < 524288 THEN v << 5 ELSE v END AS up, floor(step * pow(2, 25) + 0.5)::BIGINT AS scale FROM e)
+SELECT event_id, s * (up >> 19) AS whole, s * ((((up + 32768) >> 16) * scale + 16384) >> 15) AS lossy FROM u"""
+ORACLE_SQL["colour_choices"] = """WITH e AS (SELECT event_id, event_id % 3 > 0 AS s, event_id % 20 AS t, event_id % 11 AS p FROM events),
+c AS (SELECT *, CASE WHEN s AND t IN (1, 6, 14, 15) THEN 'gamma22' WHEN s AND t = 16 THEN 'pq' WHEN s AND t = 18 THEN 'hlg' END AS k FROM e)
+SELECT event_id, coalesce(k, 'gamma22') || ' ' || (s AND p = 9)::VARCHAR || ' ' || (coalesce(k, 'gamma22') = 'pq')::VARCHAR || ' srgb' AS o0,
+  coalesce(k, 'hlg') || ' ' || CASE WHEN s THEN (p = 9)::VARCHAR ELSE 'true' END || ' false srgb' AS o1, 'pq false true linear' AS o2 FROM c"""
