@@ -1,5 +1,6 @@
-"""Near-duplicate documents: rare shingles propose every pair that can be alike, wide SimHash fingerprints rule out most
-that are not, and the whole sets of shingles decide."""
+"""Near-duplicate documents: SimHash fingerprints are linked by the generalised pigeonhole principle (tessera.llm.simhash). Texts
+at the bound of the similarity are further apart than 64 bits can be linked, so rare shingles propose every other pair that can be
+alike, and wide fingerprints rule out most of these that are not. The whole sets of shingles decide on all links."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.llm.common import bucketed, drop_table, materialize
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import fingerprints, shingle_hashes
+from tessera.llm.simhash import fingerprints, link_fingerprints, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -199,6 +200,18 @@ def _propose(exact: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]
     return materialize(pairs, "pairs"), many.select("key", "cid", "n", "pos", "of")
 
 
+def _simhash_pairs(exact: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that operator 4 links: by correlated parts, allocated thresholds and verified probes, first texts of
+    fingerprints within two bits; and each other text of a fingerprint with its first one."""
+    prints = materialize(exact.groupBy(F.col(PRINT[0]).alias("fp")).agg(F.min("cid").alias("first")), "prints")
+    links = link_fingerprints(prints)
+    for c in "ab":
+        links = links.join(prints.select(F.col("fp").alias(c), F.col("first").alias(f"c{c}")), c)
+    apart = links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    same = exact.join(prints, F.col(PRINT[0]) == F.col("fp")).filter("first <> cid").select(F.col("first").alias("a"), F.col("cid").alias("b"))
+    return materialize(apart.unionByName(same).distinct(), "fingerprint-pairs")
+
+
 def _first_pairs(pairs: DataFrame) -> DataFrame:
     """One pair of each text: with the one that is in most pairs, so that a crowd meets in few texts."""
     both = pairs.select(F.col("a").alias("t"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("t"), F.col("a").alias("o")))
@@ -270,8 +283,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col
     Two texts are near copies if their sets of 5-word shingles have a Jaccard similarity of at least `similarity`; groups are
     the connected components of these links. A null text counts as an empty one; all texts without words are copies of
     each other. Null ids count as the greatest; of repeated rows of one id and text one stays.
+    SimHash fingerprints of 64 bits that operator 4 links propose the first pairs, one for each text. They are for texts that are
+    nearly the same: at 0.8, fingerprints differ in about 10 bits.
     Two sets alike share one of their first shingles in any order of all shingles, if of each set so many are first as a set
-    alike may lack, and one more; so every link is proposed, at any size of the table. Fingerprints of 512, then
+    alike may lack, and one more; so every other link is proposed, too, at any size of the table. Fingerprints of 512, then
     3072 bits rule out the pairs that are far from alike (_prints_near), and whole sets of shingles decide on the others.
     """
     spark = docs.sparkSession
@@ -283,14 +298,18 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col
     exact = materialize(exact.withColumn("cid", F.monotonically_increasing_id()), "texts")
     drop_table(rows)
 
+    linked = materialize(_first_pairs(_simhash_pairs(exact)), "linked")
     pairs, many = _propose(exact, similarity)
-    in_pairs = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(many.select("cid"))
+    either = linked.unionByName(pairs.select("a", "b"))
+    in_pairs = either.select(F.col("a").alias("cid")).unionByName(either.select(F.col("b").alias("cid"))).unionByName(many.select("cid"))
     names = exact.select("cid", "md5")
     named = docs.select(F.md5(text.cast("binary")).alias("md5"), text.alias("text")).groupBy("md5").agg(F.first("text").alias("text"))
     texts = bucketed(named.join(in_pairs.distinct().join(names, "cid").select("md5"), "md5"), "md5", "texts")
 
-    # one pair of each text, then one of each two groups, then of those that are still in different groups shares, and all
-    roots = connected_components(_verified(_first_pairs(pairs), names, texts, similarity))
+    # one pair of each text by its fingerprint and by its shingles, then one of each two groups, then of those that are still in
+    # different groups shares, and all
+    first = linked.unionByName(_first_pairs(pairs)).distinct()
+    roots = connected_components(_verified(first, names, texts, similarity))
     between = _between(pairs, roots)
     two = F.least("ra", "rb"), F.greatest("ra", "rb")
     best = between.groupBy(*two).agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b")

@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+
+from tessera.llm import near_dup
 from tessera.llm.near_dup import SHINGLE, drop_near_duplicates
+from tessera.llm.simhash import fingerprints, shingle_hashes
 
 
 def shingles(text):
@@ -122,3 +126,43 @@ def test_crowds_of_one_template(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"] for r in drop_near_duplicates(d).collect()}
     assert got == set(group) and 20 < len(got) < 230
+
+
+def nearly_the_same(rng):
+    """Crowds of long texts, each with the last of its words changed, and texts by themselves."""
+    texts = []
+    for size in (1, 2, 5, 90) * 4:
+        base = words(rng, 600)
+        texts += [" ".join(base[:-1] + words(rng, 1)) for _ in range(size)]
+    return texts
+
+
+def test_pairs_of_like_fingerprints(spark):
+    """Operator 4's links between texts: none over two bits, and groups as all pairs within two bits give."""
+    texts = nearly_the_same(random.Random(6)) + ["", " "]
+    fp = fingerprints([np.unique(shingle_hashes(t, SHINGLE)) for t in texts])[:, 0].tolist()
+    rows = [(i, np.uint64(f).view(np.int64).item()) for i, f in enumerate(fp)]
+    prints = spark.createDataFrame(rows, f"cid long, {near_dup.PRINT[0]} long")
+    got = [(r["a"], r["b"]) for r in near_dup._simhash_pairs(prints).collect()]
+    assert len(set(got)) == len(got) and all(a < b and (fp[a] ^ fp[b]).bit_count() <= 2 for a, b in got)
+
+    def groups(pairs):
+        group = list(range(len(texts)))
+        for a, b in pairs:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = [new if g == old else g for g in group]
+        return group
+
+    assert groups(got) == groups((a, b) for b in range(len(fp)) for a in range(b) if (fp[a] ^ fp[b]).bit_count() <= 2)
+
+
+def test_like_fingerprints_propose_links_themselves(spark, monkeypatch):
+    """Texts that are nearly the same are found without any pair of shingles; what operator 4 does not link, then is not."""
+    texts = nearly_the_same(random.Random(6))
+    propose = near_dup._propose
+    monkeypatch.setattr(near_dup, "_propose", lambda *a: tuple(found.limit(0) for found in propose(*a)))
+    groups = {}
+    for d, g in enumerate(brute_groups(list(enumerate(texts)))):
+        groups.setdefault(g, []).append(d)
+    kept = kept_ids(spark, texts)
+    assert set(map(min, groups.values())) <= set(kept) and len(kept) < len(groups) + 20
