@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from tessera.llm.common import drop_table, materialize
 
 #: The number of rounds grows with the logarithm of the longest path; this many hold any real graph.
 MAX_ROUNDS = 60
+#: Edges that a task of a round writes at least, but for as many tasks as FEW_TASKS: each file costs about as much as so many.
+EDGES_A_TASK, FEW_TASKS = 1 << 16, 16
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +45,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         sign = (n, h)
         large = _large_star(now).filter("a <> b").select(*greater).distinct()
-        new = materialize(_small_star(large).filter("a <> b").distinct(), "edges")
+        tasks = max(FEW_TASKS, math.ceil(n / EDGES_A_TASK))
+        new = materialize(_small_star(large).filter("a <> b").distinct().coalesce(tasks), "edges")
         drop_table(now)
         now = new
     else:

@@ -30,9 +30,11 @@ ALL_PAIRS = 4
 PIVOTS = 3
 #: Texts of one shingle that a task holds the others against.
 BLOCK = 1024
-#: 64-bit numbers of a fingerprint of a text's set of shingles, and how many of them a first look takes.
+#: 64-bit numbers of a fingerprint of a text's set of shingles, and how many of them a first look takes. Only these are columns by
+#: themselves, the others are an array: a join on 48 columns of each side is code whose compiling takes hundreds of MB.
 WORDS, FIRST_WORDS = 48, 8
-PRINT = [f"f{w}" for w in range(WORDS)]
+FIRST = [f"f{w}" for w in range(FIRST_WORDS)]
+PRINT = [*FIRST, "rest"]
 #: First shingles by which two texts are known to have met before.
 KNOWN_BY = 16
 #: One in so many pairs of a crowd is looked at first, and all that are still open in the end.
@@ -81,9 +83,10 @@ def _signatures(common, similarity: float):
     def run(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in texts]
         found = {"n": [len(s) for s in sets], "keys": [_prefix(s, common.value, similarity) for s in sets]}
-        return pd.DataFrame(found | dict(zip(PRINT, fingerprints(sets, WORDS).view(np.int64).T, strict=True)))
+        prints = fingerprints(sets, WORDS).view(np.int64)
+        return pd.DataFrame(found | dict(zip(FIRST, prints.T)) | {"rest": list(prints[:, FIRST_WORDS:])})
 
-    return F.pandas_udf(run, "n int, keys array<bigint>, " + ", ".join(f"{f} bigint" for f in PRINT)).asNondeterministic()
+    return F.pandas_udf(run, "n int, keys array<bigint>, " + ", ".join(f"{f} bigint" for f in FIRST) + ", rest array<bigint>").asNondeterministic()
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -112,15 +115,18 @@ def _first_of_smaller(similarity: float) -> Column:
     return F.col("pos") < F.greatest(F.col("n") - F.ceil(most * F.col("n") - SLACK) + 1, F.lit(1))
 
 
-def _prints_near(x: str, y: str, similarity: float, words: int = WORDS) -> Column:
-    """Whether so many words of two fingerprints differ by no more than those of sets alike may.
+def _prints_near(x: str, y: str, similarity: float, whole: bool = True) -> Column:
+    """Whether the first words of two fingerprints, or the whole, differ by no more than those of sets alike may.
 
     A bit of two sets alike differs by chance, as often as the angle between them says, and for small sets of n shingles
     somewhat more often, by under 0.3 / n. Six and a half standard deviations are added, so that one such pair in 10**10 is
     ruled out.
     """
-    bits, p = 64 * words, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    apart = sum(F.bit_count(F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}"))) for f in PRINT[:words])
+    bits, p = 64 * (WORDS if whole else FIRST_WORDS), math.acos(2 * similarity / (1 + similarity)) / math.pi
+    apart = sum(F.bit_count(F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}"))) for f in FIRST)
+    if whole:
+        by_word = F.zip_with(f"{x}.rest", f"{y}.rest", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        apart = apart + F.aggregate(by_word, F.lit(0), lambda all_, n: all_ + n)
     most = bits * p + 6.5 * math.sqrt(bits * (p + 0.04) * (0.96 - p))
     return apart <= F.lit(most) + 0.3 * bits / F.greatest(F.least(f"{x}.n", f"{y}.n"), F.lit(1))
 
@@ -193,22 +199,22 @@ def _propose(exact: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]
     many = shared.filter(F.col("of") > ALL_PAIRS)
     with_pivot = many.select(this.alias("x"), F.col("pivot").alias("y"))
     pairs = pairs.unionByName(with_pivot.filter(_alike("x", "y", similarity)).select(*_pair("x", "y")))
-    prints = exact.select("cid", "n", *PRINT[:FIRST_WORDS])
+    prints = exact.select("cid", "n", *FIRST)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = pairs.join(prints.alias("p"), F.col("a") == F.col("p.cid")).join(prints.alias("q"), F.col("b") == F.col("q.cid"))
-    pairs = pairs.filter(_prints_near("p", "q", similarity, FIRST_WORDS)).select("a", "b", "shared")
+    pairs = pairs.filter(_prints_near("p", "q", similarity, whole=False)).select("a", "b", "shared")
     return materialize(pairs, "pairs"), many.select("key", "cid", "n", "pos", "of")
 
 
 def _simhash_pairs(exact: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts that operator 4 links: by correlated parts, allocated thresholds and verified probes, first texts of
     fingerprints within two bits; and each other text of a fingerprint with its first one."""
-    prints = materialize(exact.groupBy(F.col(PRINT[0]).alias("fp")).agg(F.min("cid").alias("first")), "prints")
+    prints = materialize(exact.groupBy(F.col(FIRST[0]).alias("fp")).agg(F.min("cid").alias("first")), "prints")
     links = link_fingerprints(prints)
     for c in "ab":
         links = links.join(prints.select(F.col("fp").alias(c), F.col("first").alias(f"c{c}")), c)
     apart = links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-    same = exact.join(prints, F.col(PRINT[0]) == F.col("fp")).filter("first <> cid").select(F.col("first").alias("a"), F.col("cid").alias("b"))
+    same = exact.join(prints, F.col(FIRST[0]) == F.col("fp")).filter("first <> cid").select(F.col("first").alias("a"), F.col("cid").alias("b"))
     return materialize(apart.unionByName(same).distinct(), "fingerprint-pairs")
 
 
@@ -263,7 +269,8 @@ def _late(open_: DataFrame, similarity: float, share: int) -> DataFrame:
     new = F.coalesce(F.get(F.array_intersect("x.known", "y.known"), F.lit(0)) == F.col("x.key"), F.lit(True))
     size = lambda t: F.struct(f"{t}.n", f"{t}.cid")
     some = F.pmod(F.xxhash64(F.least("x.cid", "y.cid"), F.greatest("x.cid", "y.cid")), F.lit(share)) == 0
-    near = some & _alike("x", "y", similarity) & _prints_near("x", "y", similarity) & _sets_alike("x", "y", similarity) & new
+    prints = _prints_near("x", "y", similarity, whole=False) & _prints_near("x", "y", similarity)
+    near = some & _alike("x", "y", similarity) & prints & _sets_alike("x", "y", similarity) & new
     smaller = spread.filter("front").alias("x").join(dealt.alias("y"), same & (size("x") < size("y")) & near)
     larger = spread.alias("x").join(dealt.filter(inside & F.col("front")).alias("y"), same & (size("y") < size("x")) & near)
     return smaller.select(*_pair("x", "y")).unionByName(larger.select(*_pair("x", "y"))).distinct()

@@ -166,3 +166,25 @@ def test_like_fingerprints_propose_links_themselves(spark, monkeypatch):
         groups.setdefault(g, []).append(d)
     kept = kept_ids(spark, texts)
     assert set(map(min, groups.values())) <= set(kept) and len(kept) < len(groups) + 20
+
+
+def test_code_of_the_late_join_is_small(spark, monkeypatch):
+    """What Spark compiles for the join of a crowd: with a column for each of 48 words of both sides, compiling took hundreds of MB."""
+    rng, late, sizes = random.Random(4), near_dup._late, []
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+
+    def measured(*args):
+        found = late(*args)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+            code = debug.codegenStringSeq(found.select("*")._jdf.queryExecution().executedPlan())
+            sizes.extend(len(code.apply(i)._2()) for i in range(code.size()))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        return found
+
+    monkeypatch.setattr(near_dup, "_late", measured)
+    base = words(rng, 80)
+    kept_ids(spark, [" ".join(base[:70] + words(rng, 10)) for _ in range(12)])
+    assert sizes and max(sizes) < 45_000
