@@ -10,6 +10,7 @@ and decodes all ids, too; a difference is an error.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,6 +33,8 @@ UNKNOWN = " ⁇ "
 HELD = 400_000
 #: Longer words are not held.
 HELD_CHARS = 64
+#: The agenda of a run of up to so many characters is a list in the order of the text, of longer ones a heap.
+SHORT = 24
 #: Characters of the texts that are checked, and put out, at once, about.
 BATCH_CHARS = 1_000_000
 
@@ -112,6 +115,8 @@ def load_model(spark: SparkSession, path: str) -> bytes:
 def merge(run: str, pieces: Pieces) -> list[int]:
     """Ids of a run: pairs leave the agenda by falling score, of equal ones the leftmost first; a pair whose symbols have been
     merged otherwise meanwhile is passed over. Characters outside the vocabulary become bytes, or the unknown id."""
+    if len(run) <= SHORT:
+        return _ids(_merge_short(run, pieces.rank.get), pieces)
     n, rank = len(run), pieces.rank.get
     end = list(range(1, n + 1))  # the symbol that starts at i ends at end[i]; 0 once it is part of another
     before = list(range(-1, n - 1))
@@ -128,9 +133,34 @@ def merge(run: str, pieces: Pieces) -> list[int]:
                 heapq.heappush(agenda, (r, i, to, end[to]))
         if (h := before[i]) >= 0 and (r := rank(run[h:to])) is not None:
             heapq.heappush(agenda, (r, h, i, to))
-    out, i = [], 0
+    symbols, i = [], 0
     while i < n:
-        symbol = run[i : end[i]]
+        symbols.append(run[i : end[i]])
+        i = end[i]
+    return _ids(symbols, pieces)
+
+
+def _merge_short(run: str, rank) -> list[str]:
+    """Symbols of a short run. The agenda is one rank for each pair of neighbours, so its least is the leftmost of equal ones."""
+    symbols = list(run)
+    agenda = [rank(pair, math.inf) for pair in map(add, run, run[1:])]
+    while agenda and (least := min(agenda)) != math.inf:
+        i = agenda.index(least)
+        del agenda[i]
+        symbols[i] = symbol = symbols[i] + symbols.pop(i + 1)
+        if i < len(agenda):
+            agenda[i] = rank(symbol + symbols[i + 1], math.inf)
+        if i:
+            agenda[i - 1] = rank(symbols[i - 1] + symbol, math.inf)
+    return symbols
+
+
+def _ids(symbols: list[str], pieces: Pieces) -> list[int]:
+    out = list(map(pieces.ids.get, symbols))
+    if None not in out:
+        return out
+    out = []
+    for symbol in symbols:
         found = pieces.ids.get(symbol)
         if found is not None:
             out.append(found)
@@ -138,7 +168,6 @@ def merge(run: str, pieces: Pieces) -> list[int]:
             out += [pieces.bytes_[b] for b in symbol.encode()]
         else:
             out.append(pieces.unknown)
-        i = end[i]
     return out
 
 
@@ -180,9 +209,9 @@ class Encoder:
 
     def _word(self, word: str) -> tuple[int, ...]:
         beside = self.pieces.beside
-        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in beside]
-        if not cuts:
+        if beside.issuperset(map(add, word, word[1:])):
             return tuple(merge(word, self.pieces))
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in beside]
         out: list[int] = []
         for a, b in zip([0, *cuts], [*cuts, len(word)]):
             run = word[a:b]

@@ -47,6 +47,17 @@ def test_agenda_against_the_rule(model):
         assert P.merge(run, vocab) == want, run
 
 
+def test_short_and_long_runs_alike(model, monkeypatch):
+    """The agenda as a list and as a heap, on runs with equal pairs and characters outside the vocabulary; short runs need no heap."""
+    vocab, rng = P.Pieces.of(model), random.Random(8)
+    runs = ["".join(rng.choice("▁▁aaeinrst😀é\ue000") for _ in range(rng.randint(1, P.SHORT))) for _ in range(2000)]
+    monkeypatch.setattr(P, "SHORT", 0)
+    want = [P.merge(run, vocab) for run in runs]
+    monkeypatch.undo()
+    monkeypatch.setattr(P.heapq, "heappop", None)
+    assert [P.merge(run, vocab) for run in runs] == want
+
+
 def test_texts_as_the_library(model, library):
     encoder, rng = P.Encoder(model), random.Random(5)
     want = library.encode(texts(4000), add_eos=True)
