@@ -3,8 +3,9 @@
 A text starts as its characters. The agenda holds the pairs of neighbours that are pieces of the vocabulary; the pair of
 the greatest score, the leftmost of equal ones, is merged until none is left. Two characters that stand side by side in no
 piece can never come to lie in one, so a text falls into words before spaces, and words into runs, that are merged by
-themselves; a word that a worker has met before has its ids already. In each Arrow batch, the library encodes the new words
-and decodes all ids, too; a difference is an error.
+themselves; a word that a worker has met before has its ids already. The new short words of a batch of texts are merged side
+by side, each with an agenda of its own. In each batch, the library encodes the new words and decodes all ids, too; a
+difference is an error.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
-from itertools import chain, groupby
+from functools import cached_property, lru_cache, partial
+from itertools import groupby
 from operator import add
 
 import numpy as np
@@ -33,13 +34,20 @@ UNKNOWN = " ⁇ "
 HELD = 400_000
 #: Longer words are not held.
 HELD_CHARS = 64
-#: The agenda of a run of up to so many characters is a list in the order of the text, of longer ones a heap.
+#: The agenda of a run of up to so many characters is a list in the order of the text, of longer ones a heap. Words of up to so
+#: many are merged side by side.
 SHORT = 24
+#: Words are merged side by side with those of about their length: up to so many characters.
+LENGTHS = (8, 12, 16, SHORT)
 #: Characters of the texts that are checked, and put out, at once, about.
 BATCH_CHARS = 1_000_000
+#: Words that the library encodes as one text in a check.
+CHECKED = 32
 
-#: Spaces and what follows up to the next space.
-_COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: In an agenda of words side by side, the place of a pair is in the low bits of its key, and this is no pair.
+_PLACE_BITS = 5
+_NONE = np.iinfo(np.int32).max
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -56,16 +64,19 @@ class Pieces:
     surface: list[str | int]
     beside: set[str] = field(default_factory=set)
 
-    def words(self) -> re.Pattern:
-        """What cuts texts into words: spaces and letters, or spaces and other characters, if no piece has a letter beside
-        another character but a space; else spaces and what follows."""
+    def kinds(self) -> np.ndarray:
+        """What cuts texts into words, by code point: 0 is a space. A word is spaces and what follows of one kind: letters, or
+        other characters, if no piece has a letter beside another character but a space; else all are of one kind."""
+        kinds = np.ones(0x110000, np.uint8)
+        kinds[ord(SPACE)] = 0
         odd = "".join(sorted({c for piece in self.ids for c in piece if c.isalnum() and not c.isalpha() and not c.isdecimal()}))
-        letter = rf"[^\W\d_{odd}]"
-        is_letter = re.compile(letter).match
-        if any(pair[0] != SPACE and bool(is_letter(pair[0])) != bool(is_letter(pair[1])) for pair in self.beside):
-            return _COARSE
-        return re.compile(rf"{SPACE}*(?:{letter}+|(?:[^\w{SPACE}]|[\d_{odd}])+)|{SPACE}+")
+        letter = re.compile(rf"[^\W\d_{odd}]")
+        if not any(pair[0] != SPACE and bool(letter.match(pair[0])) != bool(letter.match(pair[1])) for pair in self.beside):
+            for run in re.finditer(f"{letter.pattern}+", "".join(map(chr, range(0x110000)))):
+                kinds[slice(*run.span())] = 2
+        return kinds
 
+    @cached_property
     def stranger(self) -> str:
         """A character that no piece holds."""
         known = {c for piece in self.ids for c in piece}
@@ -171,46 +182,207 @@ def _ids(symbols: list[str], pieces: Pieces) -> list[int]:
     return out
 
 
+class Merger:
+    """Merges many short words side by side. A symbol is a piece's id and 1, a character without a piece its code point and
+    `outside`, 0 is none. A word is a column, and its agenda a key for each place at which a pair begins: the pair's rank,
+    then the place, so the least is the next pair, of equal ones the leftmost."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, ids = pieces, pieces.ids
+        self.outside = len(pieces.surface) + 1
+        self.symbol = np.arange(self.outside, self.outside + 0x110000, dtype=np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i + 1
+        number = {piece: i + 1 for piece, i in ids.items()}
+        number |= {c: int(self.symbol[ord(c)]) for piece in ids for c in piece}
+        order = {rank: n << _PLACE_BITS for n, rank in enumerate(sorted(set(pieces.rank.values())))}
+        rows = [
+            (left << 32 | right, order[rank], number[piece])
+            for piece, rank in pieces.rank.items()
+            for k in range(1, len(piece))
+            if (left := number.get(piece[:k])) and (right := number.get(piece[k:]))
+        ]
+        self._table(*np.array(rows, np.uint64).reshape(-1, 3).T)
+
+    def _table(self, pairs: np.ndarray, order: np.ndarray, merged: np.ndarray) -> None:
+        """Pairs in slots by hash, or the next free one; a free slot's pair is 0."""
+        bits = max(4, int(2 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.pairs = np.zeros(1 << bits, np.uint64)
+        self.order, self.merged = np.full(1 << bits, _NONE, np.int32), np.zeros(1 << bits, np.int32)
+        at, left = self._slot(pairs), np.arange(len(pairs))
+        while left.size:
+            free = left[self.pairs[at[left]] == 0]
+            self.pairs[at[free]] = pairs[free]
+            left = left[self.pairs[at[left]] != pairs[left]]
+            at[left] = (at[left] + 1) & self.mask
+        self.order[at], self.merged[at] = order, merged
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs * _SPREAD) >> self.shift).astype(np.int64)
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank, shifted, and symbol of pairs; _NONE for those that are not to be merged."""
+        pairs = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        at = self._slot(pairs)
+        found = self.pairs[at]
+        others = np.flatnonzero((found != pairs) & (found != 0))
+        while others.size:
+            at[others] = on = (at[others] + 1) & self.mask
+            found = self.pairs[on]
+            others = others[(found != pairs[others]) & (found != 0)]
+        return self.order[at], self.merged[at]
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids, as 32-bit integers, of words of up to SHORT characters."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        by_size, out = np.argsort(sizes, kind="stable"), [b""] * len(words)
+        for some in np.split(by_size, np.searchsorted(sizes[by_size], LENGTHS[:-1], "right")):
+            if some.size:
+                some = some.tolist()
+                flat, counts = self._merge([words[i] for i in some])
+                raw, ends = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
+                for i, a, b in zip(some, [0, *ends], ends):
+                    out[i] = raw[a:b]
+        return out
+
+    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many are of each."""
+        n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        most = int(sizes.max())
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        # flat tables of `most` + 1 rows: the place behind a word, and the last one, which stands before the first, have no symbol
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        symbols = np.zeros((most + 1) * n, np.int32)
+        symbols[place * n + np.repeat(np.arange(n), sizes)] = self.symbol[codes]
+        after = np.repeat(np.arange(1, most + 2), n)
+        before = np.repeat(np.arange(-1, most), n)
+        before[:n] = most
+        agenda, merged = np.full(len(symbols), _NONE, np.int32), np.zeros(len(symbols), np.int32)
+        first = np.flatnonzero(symbols[n:])
+        order, merged[first] = self._find(symbols[first], symbols[first + n])
+        agenda[first] = order | first // n
+        while True:
+            least = agenda.reshape(-1, n).min(axis=0)
+            col = np.flatnonzero(least != _NONE)
+            if not col.size:
+                break
+            i = least[col].astype(np.int64) & ((1 << _PLACE_BITS) - 1)
+            at = i * n + col
+            gone = after[at] * n + col
+            to = after[gone]
+            next_, last = to * n + col, before[at] * n + col
+            symbols[at] = symbol = merged[at]
+            symbols[gone], agenda[gone] = 0, _NONE
+            after[at], before[next_] = to, i
+            order, merged[at] = self._find(symbol, symbols[next_])
+            agenda[at] = order | i
+            order, merged[last] = self._find(symbols[last], symbol)
+            agenda[last] = order | last // n
+        by_word = symbols.reshape(-1, n).T
+        left = by_word != 0
+        return self._out(by_word[left], left.sum(axis=1))
+
+    def _out(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols: characters without a piece become bytes, or the unknown id."""
+        strange = symbols >= self.outside
+        ids = symbols - 1
+        if not strange.any():
+            return ids, counts
+        if not self.pieces.bytes_:
+            ids[strange] = self.pieces.unknown
+            return ids, counts
+        codes = symbols - self.outside
+        each = np.where(strange, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), 1)
+        word = np.repeat(np.repeat(np.arange(len(counts)), counts), each)
+        ids, split = np.repeat(ids, each), np.repeat(strange, each)
+        raw = np.frombuffer("".join(map(chr, codes[strange].tolist())).encode(), np.uint8)
+        ids[split] = np.array(self.pieces.bytes_, np.int32)[raw]
+        return ids, np.bincount(word, minlength=len(counts))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of ranges one behind the other, and where each ends among them."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes), ends
+
+
 class Encoder:
     """Encodes texts. Words are merged once while they are held, and each new one is checked against the library."""
 
     def __init__(self, model: bytes, checked: bool = True):
         self.pieces = Pieces.of(model)
-        self.find = self.pieces.words().findall
+        self.kinds = self.pieces.kinds()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model) if checked else None
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
         self.runs: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def merger(self) -> Merger:
+        return Merger(self.pieces)
+
+    @cached_property
+    def _surface(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all ids' texts, where each begins, how many it has, and whether it loses a space in front of a text."""
+        surface = self.pieces.surface
+        raw = [s.encode() if type(s) is str else bytes([s]) for s in surface]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        spaced = np.array([type(s) is str and s[:1] == " " and s != UNKNOWN for s in surface])
+        return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes, spaced
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts, each with the end id. An empty text has the end id only."""
+        ids, ends = self.encode_all(texts)
+        return [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one behind the other, and where each text's end."""
         for held in (self.words, self.runs):
             if len(held) >= HELD:
                 held.clear()
-        known, end, new, out = self.words, (self.pieces.end,), [], []
-        for t in texts:
-            words = self.find(SPACE + t.replace(" ", SPACE)) if t else []
-            found = list(map(known.get, words))
-            if None in found:
-                for i, ids in enumerate(found):
-                    if ids is None:
-                        word = words[i]
-                        found[i] = known.get(word)
-                        if found[i] is None:
-                            found[i] = known[word] = self._word(word)
-                            new.append(word)
-            found.append(end)
-            out.append(list(chain.from_iterable(found)))
-        if self.library:
-            self._check(new)
-        for w in new:
-            if len(w) > HELD_CHARS:
-                del known[w]
-        return out
-
-    def _word(self, word: str) -> tuple[int, ...]:
+        words, which, each = self._cut(texts)
+        found = list(map(self.words.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            for i, ids in zip(new, self._merged([words[i] for i in new]), strict=True):
+                found[i] = ids
+            if self.library:
+                self._check([words[i] for i in new], [found[i] for i in new])
+            self.words.update((words[i], found[i]) for i in new if len(words[i]) <= HELD_CHARS)
+        found.append(np.int32(self.pieces.end).tobytes())  # the end id as a word behind each text
+        table = np.frombuffer(b"".join(found), np.int32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = np.insert(which, np.cumsum(each), len(words))
+        at, ends = _ranges((np.cumsum(sizes) - sizes)[which], sizes[which])
+        return table[at], ends[np.cumsum(each + 1) - 1]
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different words of texts, which one stands at each place, and how many places each text has."""
+        spaced = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        joined = "".join(spaced)
+        if not joined:
+            return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced)))
+        kind = self.kinds[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+        begins = np.empty(len(kind), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        begins[0] = begins[ends[ends < len(kind)]] = True
+        raw = joined.encode()
+        of_character = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        offsets = np.append(of_character[begins], len(raw))
+        places = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        behind = np.searchsorted(np.flatnonzero(begins), ends)
+        return places.dictionary.to_numpy(zero_copy_only=False).tolist(), places.indices.to_numpy(), np.diff(behind, prepend=0)
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        short = iter(self.merger.ids([w for w in words if len(w) <= SHORT]))
+        return [next(short) if len(w) <= SHORT else np.array(self._word(w), np.int32).tobytes() for w in words]
+
+    def _word(self, word: str) -> list[int]:
         beside = self.pieces.beside
         if beside.issuperset(map(add, word, word[1:])):
-            return tuple(merge(word, self.pieces))
+            return merge(word, self.pieces)
         cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in beside]
         out: list[int] = []
         for a, b in zip([0, *cuts], [*cuts, len(word)]):
@@ -221,15 +393,32 @@ class Encoder:
                 if len(run) <= HELD_CHARS:
                     self.runs[run] = found
             out += found
-        return tuple(out)
+        return out
 
-    def _check(self, words: list[str]) -> None:
-        """Behind a character that no piece holds, a word stands by itself for the library, too."""
-        front = self.pieces.stranger()
-        first, *all_ids = self.library.encode([front, *(front + w for w in words)], num_threads=1)
-        for w, theirs in zip(words, all_ids, strict=True):
-            if [*first, *self.words[w]] != theirs:
-                raise ValueError(f"differs from the library: {ascii(w[:200])}")
+    def _check(self, words: list[str], ids: list[bytes]) -> None:
+        """Behind a character that no piece holds, a word stands by itself for the library, too. Many are encoded as one text,
+        and one by one if that differs: a model without byte pieces makes strange characters that stand together one id."""
+        front, encode = self.pieces.stranger, partial(self.library.encode, num_threads=1)
+        first = np.array(encode(front), np.int32).tobytes()
+        between = first[len(self.merger.ids([SPACE])[0]) :]
+        some = [slice(at, at + CHECKED) for at in range(0, len(words), CHECKED)]
+        for x, together in zip(some, encode([front + front.join(words[x]) for x in some]), strict=True):
+            if first + between.join(ids[x]) != np.array(together, np.int32).tobytes():
+                for w, ours, theirs in zip(words[x], ids[x], encode([front + w for w in words[x]]), strict=True):
+                    if first + ours != np.array(theirs, np.int32).tobytes():
+                        raise ValueError(f"differs from the library: {ascii(w[:200])}")
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of what encode_all() gave, as decode_ids() has them."""
+        raw, begins, sizes, spaced = self._surface
+        at, behind = _ranges(begins[ids], sizes[ids])
+        behind, starts = behind[ends - 1], np.append(0, ends[:-1])
+        dropped = (behind - np.diff(behind, prepend=0))[spaced[ids[starts]]]  # each text has one id at least
+        offsets = np.append(0, behind - np.cumsum(spaced[ids[starts]])).astype(np.int32)
+        back = np.delete(raw[at], dropped)
+        made = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(back)])
+        made.validate(full=True)
+        return made
 
 
 def decode_ids(ids: list[int], surface: list[str | int]) -> str:
@@ -264,17 +453,17 @@ def _encoder(model: bytes, checked: bool) -> Encoder:
 def _encode(model, checked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model.value, checked)
-        surface, library = encoder.pieces.surface, encoder.library
+        library = encoder.library
 
         def out(keep: pa.Array, texts: list[str]) -> pa.RecordBatch:
-            ids = encoder.encode(texts)
-            back = [decode_ids(x, surface) for x in ids]
-            if library and library.decode(ids) != back:
-                raise ValueError("decoding differs from the library")
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            return pa.RecordBatch.from_arrays([keep, lists, pa.array(back, pa.string())], names=["_keep", "_tokens", "_text"])
+            ids, ends = encoder.encode_all(texts)
+            back = encoder.decode_all(ids, ends)
+            if library:
+                theirs = library.decode([ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)])
+                if not pa.array(theirs, pa.string()).equals(back):
+                    raise ValueError("decoding differs from the library")
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
+            return pa.RecordBatch.from_arrays([keep, lists, back], names=["_keep", "_tokens", "_text"])
 
         for batch in batches:
             begun, size, texts = 0, 0, []

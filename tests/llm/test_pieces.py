@@ -1,6 +1,8 @@
 import hashlib
 import random
+from itertools import product
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -58,6 +60,66 @@ def test_short_and_long_runs_alike(model, monkeypatch):
     assert [P.merge(run, vocab) for run in runs] == want
 
 
+def test_words_side_by_side(model):
+    """As one by one: of all short lengths, with spaces, equal pairs and characters outside the vocabulary."""
+    vocab, rng = P.Pieces.of(model), random.Random(4)
+    words = ["".join(rng.choice("▁▁aaeinrst1😀é\ue000\x00日") for _ in range(rng.randint(1, P.SHORT))) for _ in range(3000)]
+    for bytes_ in (vocab.bytes_, []):
+        vocab.bytes_ = bytes_
+        got = P.Merger(vocab).ids(words)
+        assert [np.frombuffer(g, np.int32).tolist() for g in got] == [P.merge(w, vocab) for w in words]
+
+
+def test_side_by_side_with_equal_ranks():
+    """The leftmost of equal pairs is first, whichever piece it makes; a character may be part of pieces and be none itself."""
+    ids = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "aa", "xa", "xab", "abab"], 1)}
+    vocab = P.Pieces(ids, dict.fromkeys(ids, 1.0) | {"abab": 2.0, "xab": 0.5}, [], 0, 9, [""] * 10)
+    words = ["".join(w) for n in range(1, 7) for w in product("abx", repeat=n)]
+    got = [np.frombuffer(g, np.int32).tolist() for g in P.Merger(vocab).ids(words)]
+    assert got == [P.merge(w, vocab) for w in words] == [[ids.get(s, 0) for s in literal(w, vocab)] for w in words]
+
+
+def test_no_step_for_each_short_word(model, library, monkeypatch):
+    """New short words are merged without a call for each."""
+    rng = random.Random(6)
+    some = [" ".join("".join(rng.choice("aeinrstéß") for _ in range(rng.randint(1, 20))) for _ in range(50)) for _ in range(40)]
+    monkeypatch.setattr(P, "merge", None)
+    assert P.Encoder(model).encode(some) == library.encode(some, add_eos=True)
+
+
+def test_texts_of_ids_at_once(model):
+    encoder = P.Encoder(model)
+    for some in (texts(300), ["", ""], [" "], ["", "  a", "▁", "日\ue000", ""]):
+        ids, ends = encoder.encode_all(some)
+        assert encoder.decode_all(ids, ends).to_pylist() == [P.decode_ids(x, encoder.pieces.surface) for x in encoder.encode(some)]
+    assert encoder.encode([]) == []
+
+
+def test_pieces_of_letters_and_digits(model):
+    """A piece with a letter beside a digit: words are cut before spaces only."""
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(model)
+    assert len(set(P.Pieces.of(model).kinds().tolist())) == 3
+    spec.pieces[20000].piece = "a1"
+    changed = spec.SerializeToString()
+    assert set(P.Pieces.of(changed).kinds().tolist()) == {0, 1}
+    some = ["a1 ba1b 1a a1a1", "x.a11 a", *texts(200)]
+    assert P.Encoder(changed).encode(some) == sentencepiece.SentencePieceProcessor(model_proto=changed).encode(some, add_eos=True)
+
+
+def test_model_without_byte_pieces(model):
+    """A strange character at a word's end meets the one that divides words in the check, which is no difference."""
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(model)
+    spec.trainer_spec.byte_fallback = False
+    for p in spec.pieces:
+        if p.type == 6:
+            p.type = 1
+    changed = spec.SerializeToString()
+    some = ["a word\ue000 and another\ue000", "日 a", "plain words"]
+    assert P.Encoder(changed).encode(some) == sentencepiece.SentencePieceProcessor(model_proto=changed).encode(some, add_eos=True)
+
+
 def test_texts_as_the_library(model, library):
     encoder, rng = P.Encoder(model), random.Random(5)
     want = library.encode(texts(4000), add_eos=True)
