@@ -94,14 +94,15 @@ def ycbcr_fixed_rgb(y: Column, cb: Column, cr: Column, matrix: str, depth: int)
 
 
 def ycbcr_rgb(y: Column, cb: Column, cr: Column, matrix: str, range_: str, depth: int) -> tuple[Column, Column, Column]:
-    """Real conversion to 8 bits. Narrow range takes off the black level and stretches before its own factors apply."""
+    """Real conversion to 8 bits. Narrow range takes off the black level and stretches before its own factors apply. Samples
+    are divided by their range, as the twin does: times its inverse, a value that lies on a half may come out below it."""
     cr_r, cb_g, cr_g, cb_b = MATRICES[matrix, range_]
     top, shift = float((1 << depth) - 1), depth - 8
     if range_ == "narrow":
-        y0, ys, cs = float(16 << shift), 1.0 / (219 << shift), 1.0 / (224 << shift)
+        y0, ys, cs = float(16 << shift), float(219 << shift), float(224 << shift)
     else:
-        y0, ys, cs = 0.0, 1.0 / top, 1.0 / top
-    yn, bn, rn = (y - y0) * ys, (cb - float(1 << (depth - 1))) * cs, (cr - float(1 << (depth - 1))) * cs
+        y0, ys, cs = 0.0, top, top
+    yn, bn, rn = (y - y0) / ys, (cb - float(1 << (depth - 1))) / cs, (cr - float(1 << (depth - 1))) / cs
     out = yn + cr_r * rn, yn - cb_g * bn - cr_g * rn, yn + cb_b * bn
     return tuple(F.floor(clamp(x, 0.0, 1.0) * 255.0 + 0.5).cast("int") for x in out)
 
