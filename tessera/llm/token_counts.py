@@ -159,7 +159,7 @@ def document_lengths(blocks: DataFrame, end_id: int, block_tokens: int = BLOCK_T
     spans = found.groupBy("file", "span").agg(F.sum(n).alias("n"), F.max(last).alias("last"), F.sum("size").alias("size"))
     earlier = Window.partitionBy("file").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.select("file", "span", F.sum("n").over(earlier).alias("n1"), F.max("last").over(earlier).alias("last1"))
-    placed = inside.join(carried, ["file", "span"]).select(
+    placed = inside.join(carried.hint("merge"), ["file", "span"]).select(
         "file",
         "ends",
         (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("first"),
@@ -183,7 +183,10 @@ def count_tokens(
 
     Ids are written in two bytes, if the vocabulary allows. A null or empty text has no tokens. Null ids and repeated rows are rows of their own; an empty table gives no rows; other
     columns are not read. A text is encoded as a whole, and may fill any number of blocks.
+
+    The last join is a sorted one at any size: files of places and ids are compressed to a byte or so a row, and Spark, which goes
+    by their size, would send all rows to the driver, with their files' names.
     """
     files, order, kind = token_files(docs, path, pattern, end_id, [id_col], text_col)
     counts = document_lengths(read_blocks(files, kind, block_tokens), end_id, block_tokens, kind)
-    return order.join(counts, ["file", "number"]).select(F.col(f"_keep.{id_col}").alias(id_col), "n_tokens")
+    return order.join(counts.hint("merge"), ["file", "number"]).select(F.col(f"_keep.{id_col}").alias(id_col), "n_tokens")
