@@ -1,6 +1,6 @@
 """Raster files as tables of lines: PNM (P5, P6) and PGX, read and written by Python data sources.
 
-A row is (path, c, y, row array<int>). Each file is a partition. Register with register(spark), then use the formats
+A row is (path, c, y, row array<int>). Small files are read together by one task. Register with register(spark), then use the formats
 "pnm" and "pgx"; samples are unsigned, or signed for PGX files that say so, of 1 to 16 bits.
 """
 
@@ -16,9 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, c int, y int, row array<int>"
+#: Bytes of files that one task reads, and bytes that opening one more counts for.
+SPLIT, OPEN = 64 << 20, 1 << 16
+#: Samples, and blocks of lines, that are handed on at once.
+BATCH, BATCH_BLOCKS = 1 << 20, 1 << 13
 _PNM = re.compile(rb"(P[56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s")
 _PGX = re.compile(rb"PG\s+(ML|LM)\s*([+-]?)\s*(\d+)\s+(\d+)\s+(\d+)[ \t]*\r?\n")
 
@@ -89,10 +93,22 @@ def image_lines(files: DataFrame, kind: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_lines(kind), f"{SCHEMA}, error string")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+class _FilesOf(InputPartition):
+    """Files that one task reads."""
+
+    def __init__(self, paths: list[str]):
+        super().__init__(len(paths))
+        self.paths = paths
+
+
+def _line_batch(lines: list[tuple[str, int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Blocks (path, c, first y, lines) as rows."""
+    counts = [len(block) for *_, block in lines]
+    wide = np.repeat([block.shape[1] for *_, block in lines], counts)
+    rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(wide)]), pa.int32()), pa.array(np.concatenate([block.ravel() for *_, block in lines]), pa.int32()))
+    paths = pa.array([path for path, *_ in lines], pa.string()).take(pa.array(np.repeat(np.arange(len(lines)), counts)))
+    columns = [paths, pa.array(np.repeat([c for _, c, *_ in lines], counts), pa.int32()), pa.array(np.concatenate([y + np.arange(len(block)) for _, _, y, block in lines]), pa.int32()), rows]
+    return pa.RecordBatch.from_arrays(columns, names=["path", "c", "y", "row"])
 
 
 class _Reader(DataSourceReader):
@@ -100,17 +116,34 @@ class _Reader(DataSourceReader):
         self.path, self.pattern, self.parse = path, pattern, parse
 
     def partitions(self):
+        """Files by their sizes, small ones together."""
         found = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(os.path.join(self.path, self.pattern)))
-        return [_File(p) for p in found] or [_File("")]
-
-    def read(self, partition) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        with open(partition.path, "rb") as f:
-            planes = self.parse(f.read())
-        for c, plane in enumerate(planes):
-            for y, row in enumerate(plane):
-                yield partition.path, c, y, row.tolist()
+        out, size = [[]], 0
+        for p in found:
+            n = os.path.getsize(p) + OPEN
+            if out[-1] and size + n > SPLIT:
+                out.append([])
+                size = 0
+            out[-1].append(p)
+            size += n
+        return [_FilesOf(paths) for paths in out]
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        held, samples = [], 0
+        for path in partition.paths:
+            with open(path, "rb") as f:
+                planes = self.parse(f.read())
+            for c, plane in enumerate(planes):
+                step = max(1, BATCH // max(1, plane.shape[1]))
+                for y in range(0, len(plane), step):
+                    block = plane[y : y + step]
+                    held.append((path, c, y, block))
+                    samples += block.size
+                    if samples >= BATCH or len(held) >= BATCH_BLOCKS:
+                        yield _line_batch(held)
+                        held, samples = [], 0
+        if held:
+            yield _line_batch(held)
 
 
 class _Written(WriterCommitMessage):
@@ -118,7 +151,7 @@ class _Written(WriterCommitMessage):
         self.files = files
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Writes the images of a partition to a folder that driver and executors share; repartition by path first, so that an
     image's lines are in one. Lines may come in any order; one image's are held at a time if they come image by image.
     Files get their names when all tasks are done; an image with lines in two partitions is an error."""
@@ -127,18 +160,22 @@ class _Writer(DataSourceWriter):
         self.path, self.suffix = path, suffix
         self.depth, self.signed = int(options.get("depth", 8)), options.get("signed", "false") == "true"
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches) -> WriterCommitMessage:
         os.makedirs(self.path, exist_ok=True)
         files: list[tuple[str, str]] = []
         now, comps = None, {}
-        for r in rows:
-            if r["path"] != now:
-                files += self._put(now, comps)
-                now, comps = r["path"], {}
-            comps.setdefault(r["c"], {})[r["y"]] = r["row"]
+        for batch in batches:
+            path, c, y = (batch.column(name).to_pylist() for name in ("path", "c", "y"))
+            lines = batch.column("row")
+            samples, at = np.asarray(lines.values), lines.offsets.to_pylist()
+            for i in range(batch.num_rows):
+                if path[i] != now:
+                    files += self._put(now, comps)
+                    now, comps = path[i], {}
+                comps.setdefault(c[i], {})[y[i]] = samples[at[i] : at[i + 1]]
         return _Written(files + self._put(now, comps))
 
-    def _put(self, path: str | None, comps: dict[int, dict[int, list[int]]]) -> list[tuple[str, str]]:
+    def _put(self, path: str | None, comps: dict[int, dict[int, np.ndarray]]) -> list[tuple[str, str]]:
         if path is None:
             return []
         planes = [np.array([lines[y] for y in sorted(lines)], np.int32) for _, lines in sorted(comps.items())]
@@ -181,7 +218,7 @@ class PnmSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"], "*.p[gpn]m", read_pnm)
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], ".pnm", self.options)
 
 
@@ -196,7 +233,7 @@ class PgxSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"], "*.pgx", read_pgx)
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], ".pgx", self.options)
 
 
