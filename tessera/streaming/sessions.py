@@ -22,25 +22,33 @@ class Session(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
+        self.now: dict[int, tuple[int, bool] | None] = {}  # bins that this call has met; each is read from the state once
+        self.kept: dict[int, tuple[int, bool] | None] = {}  # as the state has them
         for r in pd.concat(list(rows)).sort_values("request", kind="stable").itertuples(index=False):
             for said in [] if r.model is None else r.model:
                 self._say(int(said["id"]), said["kind"], said["bytes"])
             out += self._answer(key[0], int(r.request), [] if r.bins is None else r.bins, None if pd.isna(r.budget) else int(r.budget))
+        for i, value in self.now.items():
+            if value is None and self.kept[i] is not None:
+                self.held.removeKey((i,))
+            elif value != self.kept[i]:
+                self.held.updateValue((i,), value)
         columns = [x.split()[0] for x in OUTPUT.split(", ")]
         yield pd.DataFrame(out, columns=columns).astype({"id": "Int64", "skip": "Int64", "sent": "Int64", "complete": "boolean", "reason": "Int32"})
 
     def _have(self, i: int) -> tuple[int, bool]:
-        return tuple(self.held.getValue((i,))) if self.held.containsKey((i,)) else (0, False)
+        if i not in self.now:
+            self.now[i] = self.kept[i] = tuple(self.held.getValue((i,))) if self.held.containsKey((i,)) else None
+        return self.now[i] or (0, False)
 
     def _say(self, i: int, kind: str, size) -> None:
-        if kind == "remove":
-            self.held.removeKey((i,))
-            return
         bytes_, complete = self._have(i)
-        if kind == "complete":
-            self.held.updateValue((i,), (bytes_, True))
+        if kind == "remove":
+            self.now[i] = None
+        elif kind == "complete":
+            self.now[i] = (bytes_, True)
         elif not complete:
-            self.held.updateValue((i,), (max(bytes_, 0 if pd.isna(size) else int(size)), False))
+            self.now[i] = (max(bytes_, 0 if pd.isna(size) else int(size)), False)
 
     def _answer(self, session: str, request: int, bins, budget: int | None) -> list[tuple]:
         out, reason = [], WINDOW_DONE
@@ -65,7 +73,7 @@ class Session(StatefulProcessor):
                 reason = BYTE_LIMIT
                 break
         for i, bytes_, done in sent:
-            self.held.updateValue((i,), (bytes_, done))
+            self.now[i] = (bytes_, done)
         return [*out, (session, request, None, None, sum(x[4] for x in out), None, reason)]
 
     def close(self) -> None:
