@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.operators.viewport import discard_levels, with_defaults
 from tessera.plans import stream_queries
@@ -78,13 +77,18 @@ def in_steps(rows: DataFrame, stream, order: str, name: str, steps: int = 4) ->
     lo, hi = rows.agg(F.min(order), F.max(order)).first()
     width = ((hi or 0) - (lo or 0)) // steps + 1
     rows.withColumn("_step", F.expr(f"({order} - {lo or 0}) div {width}")).write.partitionBy("_step").parquet(f"{at}/staged")
-    staged = spark.read.schema(StructType([*rows.schema, StructField("_step", LongType())])).parquet(f"{at}/staged")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path(f"{at}/in"))
     own = spark.newSession()  # so that the caller's settings stay as they are
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(steps):
-        staged.filter(F.col("_step") == k).drop("_step").write.mode("append").parquet(f"{at}/in")
-        source = own.readStream.schema(rows.schema).parquet(f"{at}/in")
+        if store.exists(path(f"{at}/staged/_step={k}")):
+            store.rename(path(f"{at}/staged/_step={k}"), path(f"{at}/in/{k}"))
+        else:
+            spark.createDataFrame([], rows.schema).write.parquet(f"{at}/in/{k}")
+        source = own.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
         query = stream(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
         query.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")

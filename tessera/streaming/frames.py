@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.frames import WRAP
@@ -77,39 +77,38 @@ def assemble_stream(packets: DataFrame) -> DataFrame:
     return packets.groupBy("ssrc").transformWithStateInPandas(FrameAssembler(), OUTPUT, "Append", "none")
 
 
+MESSAGES = "stream_id bigint, number bigint, class int, stream int, id bigint, msg_offset bigint, msg_length bigint, aux bigint, is_last boolean, eor int, payload binary, error string"
+_MESSAGE = Row(*[x.split()[0] for x in MESSAGES.split(", ")])
+
+
 class BinAssembler(StatefulProcessor):
-    """Keeps what of a stream's bytes did not make a whole message yet, and the class and stream in force."""
+    """Keeps what of a stream's bytes did not make a whole message yet, and the class and stream in force. Rows, not frames of
+    pandas: most streams have a few chunks a micro-batch, for which making a frame takes longer than reading them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tail = handle.getValueState("tail", "data binary, class int, stream int, number bigint, broken boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        data, class_, stream, number, broken = self.tail.get() if self.tail.exists() else (b"", 0, 0, 0, False)
-        names = ["class", "stream", "id", "msg_offset", "msg_length", "aux", "is_last", "eor"]
-        chunks = pd.concat(list(rows)).sort_values("arrival")["bytes"]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        data, class_, stream, number, broken = self.tail.get() or (b"", 0, 0, 0, False)
         if broken:
             return
-        data, error = bytes(data) + b"".join(map(bytes, chunks)), None
+        chunks = sorted(((r["arrival"], r["bytes"]) for r in rows), key=lambda x: x[0])
+        data, error = bytes(data) + b"".join(bytes(x) for _, x in chunks), None
         try:
             found, end, class_, stream = read_messages(data, class_, stream)
         except Malformed as e:
             found, end, error = e.found, len(data), str(e)
         count = len(found) + (error is not None)
         self.tail.update((data[end:], class_, stream, number + count, error is not None))
-        out = pd.DataFrame([m[:8] for m in found] + [(None,) * 8] * (count - len(found)), columns=names).astype({n: "Int64" for n in names if n != "is_last"})
-        out.insert(0, "number", range(number, number + count))
-        out.insert(0, "stream_id", key[0])
-        out["payload"] = [data[m[8] : m[9]] for m in found] + [None] * (count - len(found))
-        out["error"] = [None] * len(found) + [error] * (count - len(found))
-        yield out.astype({"class": "Int32", "stream": "Int32", "eor": "Int32"})
+        for i, m in enumerate(found):
+            yield _MESSAGE(key[0], number + i, *m[:8], data[m[8] : m[9]], None)
+        if error is not None:
+            yield _MESSAGE(key[0], number + len(found), *[None] * 9, error)
 
     def close(self) -> None:
         pass
 
 
-MESSAGES = "stream_id bigint, number bigint, class int, stream int, id bigint, msg_offset bigint, msg_length bigint, aux bigint, is_last boolean, eor int, payload binary, error string"
-
-
 def message_stream(chunks: DataFrame) -> DataFrame:
     """Messages of streams that arrive cut anywhere: chunks has stream_id, arrival, bytes. What follows an error is ignored."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(BinAssembler(), MESSAGES, "Append", "none")
+    return chunks.groupBy("stream_id").transformWithState(BinAssembler(), MESSAGES, "Append", "none")
